@@ -8,9 +8,6 @@ remembered in a bounded memo.
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,65 +20,71 @@ from prismatica.llm.common import small_batches
 
 #: Fixed value: the published pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same pattern for texts without the characters of ODD, for which the classes of the standard library's re mean the same.
-FAST = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
-
-@lru_cache(maxsize=1)
-def odd_characters() -> re.Pattern:
-    """Numbers other than decimal digits, and separators that only re takes as white space."""
-    odd = [chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("No", "Nl")]
-    return re.compile("[\x1c-\x1f" + "".join(map(re.escape, odd)) + "]")
 
 
 class PrefixCodec:
-    """Encoder and decoder of one vocabulary; ``limit`` bounds the memo of pre-tokens."""
+    """Encoder and decoder of one vocabulary; ``limit`` bounds the memo of pre-tokens and the remembered automaton transitions.
 
-    def __init__(self, path: str, limit: int = 250_000):
-        import ahocorasick
+    An automaton state is the longest suffix read so far that some token begins with; its matches are the tokens that end here.
+    """
+
+    def __init__(self, path: str, limit: int = 150_000):
         import regex
 
         self.table, self.limit = merge_table(path), limit
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.automaton = ahocorasick.Automaton()
-        for spelled, i in self.table.ids.items():
-            if self.table.whole[i]:
-                self.automaton.add_word(spelled, (i, len(spelled)))
-        self.automaton.make_automaton()
-        self.pieces, self.odd = regex.compile(PRETOKEN), odd_characters()
+        self.states = {s[:n]: None for s in self.table.ids for n in range(len(s) + 1)}
+        self.states = {s: i for i, s in enumerate(self.states)}
+        self.names = list(self.states)
+        self.matches: list[tuple | None] = [None] * len(self.names)
+        self.moves: dict[int, int] = {}
+        self.pieces = regex.compile(PRETOKEN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.table.specials, key=len, reverse=True)))) if self.table.specials else None
         self.bytes = [s.encode("latin-1") for s in self.table.spelled]
         for content, i in self.table.specials.items():
             self.bytes[i] = content.encode()
 
+    def _move(self, key: int) -> int:
+        """The state after one more byte: its suffix link is followed until some token begins with what is left."""
+        grown = self.names[key >> 8] + chr(key & 255)
+        while grown not in self.states:
+            grown = grown[1:]
+        to = self.states[grown]
+        if self.matches[to] is None:
+            ends = [(self.table.ids.get(grown[k:]), len(grown) - k) for k in range(len(grown))]
+            self.matches[to] = tuple((t, n) for t, n in ends if t is not None and self.table.whole[t])
+        if len(self.moves) >= 4 * self.limit:
+            self.moves.clear()
+        self.moves[key] = to
+        return to
+
     def word(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
-        known = self.table.ids.get(raw)
-        if known is not None and self.table.whole[known]:
-            return (known,)
-        last = [-1] * (len(raw) + 1)
-        back = [0] * (len(raw) + 1)
-        memo, compatible = self.table.memo, self.table.compatible
-        for end, (token, length) in self.automaton.iter(raw):
-            at = end + 1
-            if last[at] >= 0:
-                continue
-            before = at - length
-            if before:
-                previous = last[before]
-                if previous < 0:
-                    continue
-                fits = memo.get(previous << 20 | token)
-                if fits is None:
-                    fits = compatible(previous, token)
-                if not fits:
-                    continue
-            last[at], back[at] = token, before
-        ids, at = [], len(raw)
+        raw = piece.encode("utf-8", "surrogatepass")
+        memo, compatible, moves, matches = self.table.memo, self.table.compatible, self.moves, self.matches
+        last, back, state, at = [-1], [0], 0, 0
+        for byte in raw:
+            at += 1
+            key = state << 8 | byte
+            state = moves.get(key)
+            if state is None:
+                state = self._move(key)
+            for token, length in matches[state]:
+                if length < at:
+                    previous = last[at - length]
+                    fits = memo.get(previous << 20 | token)
+                    if fits is None:
+                        fits = compatible(previous, token)
+                    if not fits:
+                        continue
+                last.append(token)
+                back.append(at - length)
+                break
+        ids = []
         while at:
             ids.append(last[at])
             at = back[at]
-        return tuple(reversed(ids))
+        ids.reverse()
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -98,12 +101,11 @@ class PrefixCodec:
 
     def _plain(self, text: str, out: list[int]) -> None:
         memo = self.memo
-        pieces = FAST if self.odd.search(text) is None else self.pieces
-        for piece in pieces.findall(text):
+        for piece in self.pieces.findall(text):
             ids = memo.get(piece)
             if ids is None:
                 ids = self.word(piece)
-                if len(piece) <= 64:
+                if len(piece) <= 48:
                     if len(memo) >= self.limit:
                         memo.clear()
                     memo[piece] = ids
