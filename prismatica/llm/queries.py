@@ -7,12 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from prismatica.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.decontaminate import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.substring_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismatica.llm.bpe_codec import digests
 
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.suffix_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismatica.llm.chat_format import format_chat, read_back
 
@@ -22,16 +40,49 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(given.unionByName(added)))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.cross_polytope import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismatica.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.minhash import link_classes
+
+    return link_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.quality_crf import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismatica.llm.secret_scan import report
 
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op5_chat_format, op7_token_counts, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_substring_dedup,
+        op3_bpe_codec,
+        op4_suffix_dedup,
+        op5_chat_format,
+        op6_nearest_neighbours,
+        op7_token_counts,
+        op8_minhash,
+        op9_quality,
+        op10_secret_scan,
+    )
+}

@@ -27,6 +27,7 @@ WEAK = (
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: r for k, r, _ in WEAK}
 #: Roles whose presence in scope completes a weak candidate of a role.
 COMPLEMENTS = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("identifier", "secret")}
+SPANS = "array<struct<start:int,end:int,rank:int,kind:string,kept:boolean>>"
 #: Width of a scope in code points.
 SCOPE = 400
 BLOCK = 64
@@ -67,44 +68,54 @@ def _written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """Every row without its text but with base (array of spans), weak (array of reported weak spans) and n_assign, n_access, n_hex.
+def _found(docs: DataFrame, text: str, keep: list[str], scope: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with __text and __key, and (__key, kept columns, base, weak, counts) of the same rows without texts.
 
-    A null text counts as empty and has no spans.  Repeated rows each get the same spans.  Spans of different kinds may overlap;
-    those of one kind don't.  Columns named as the results are replaced.  One pass over the texts; only rows of found parts are
-    shuffled, by text and bin, and pre-aggregated to one row for each bin before they meet.
+    Rows are told apart by all their plain columns and their text; equal rows share one key and one result.
     """
-    results = ("base", "weak", "n_assign", "n_access", "n_hex")
-    keep = [c for c in docs.columns if c not in (text, *results)]
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"))
-    empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,kept:boolean>>")
+    plain = [c for c in keep if docs.schema[c].dataType.typeName() not in ("array", "map", "struct", "variant")]
+    rows = docs.withColumn("__text", whole)
+    rows = rows.withColumn("__key", F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in plain], F.col("__text")), 256))
+    empty = F.array().cast(SPANS)
+    spans = rows
     for kind, pattern in (*BASE, *((k, p) for k, _, p in WEAK)):
-        rows = rows.withColumn(f"__{kind}", F.when(F.col("__text").rlike(pattern), _spans(F.col("__text"), kind, pattern).cast(empty_type())).otherwise(empty))
+        spans = spans.withColumn(f"__{kind}", F.when(F.col("__text").rlike(pattern), _spans(F.col("__text"), kind, pattern).cast(SPANS)).otherwise(empty))
     base = F.concat(*[F.col(f"__{k}") for k, _ in BASE])
     weak = F.concat(*[F.col(f"__{k}") for k, *_ in WEAK])
-    # Rows are told apart by all their columns and text; equal rows share one key and one result.
-    key = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in keep if not isinstance_complex(docs, c)], F.col("__text")), 256)
-    found = checkpoint(
-        rows.select(
-            *[F.col(f"`{c}`") for c in keep],
-            key.alias("__key"),
-            base.alias("base"),
-            weak.alias("__weak"),
-            *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k, _ in BASE],
-        )
-    )
+    counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k, _ in BASE]
+    found = checkpoint(spans.select(*[F.col(f"`{c}`") for c in keep], "__key", base.alias("base"), weak.alias("__weak"), *counts))
     linked = link(found.where(F.size("__weak") > 0).select("__key", F.explode(F.array_distinct(F.concat("base", "__weak"))).alias("part")), scope)
-    out = found.join(linked, "__key", "left").drop("__key", "__weak")
-    return out.withColumn("weak", F.coalesce("weak", empty))
+    return rows, found.join(linked, "__key", "left").drop("__weak").withColumn("weak", F.coalesce("weak", empty))
+
+
+def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
+    """Every row without its text but with base (array of spans), weak (array of reported weak spans) and n_assign, n_access, n_hex.
 
+    A null text counts as empty and has no spans.  Repeated rows each get the same spans.  Spans of different kinds may overlap;
+    those of one kind don't.  Columns named as the results are replaced.  One pass over the texts; only rows of found parts are
+    shuffled, by text and bin, and pre-aggregated to one row for each bin before they meet.
+    """
+    results = ("base", "weak", "n_assign", "n_access", "n_hex")
+    return _found(docs, text, [c for c in docs.columns if c not in (text, *results)], scope)[1].drop("__key")
 
-def empty_type() -> str:
-    return "array<struct<start:int,end:int,rank:int,kind:string,kept:boolean>>"
 
+def redact(docs: DataFrame, mask: str, text: str = "text", scope: int = SCOPE) -> DataFrame:
+    """Every row with all spans of ``scan`` replaced by ``mask`` in its text, overlapping ones by one; a column n_chars counts anew.
 
-def isinstance_complex(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() in ("array", "map", "struct", "variant")
+    Rows without spans, null texts included, stay as they are.
+    """
+    rows, found = _found(docs, text, [c for c in docs.columns if c != text], scope)
+    hits = found.select("__key", F.array_sort(F.concat("base", "weak")).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__key"])
+    at = lambda start, end: F.substring(F.col("__text"), start + 1, end - start)
+    step = lambda acc, s: F.when(s["end"] <= acc["pos"], acc).otherwise(
+        F.struct(s["end"].alias("pos"), F.when(s["start"] >= acc["pos"], F.concat(acc["out"], at(acc["pos"], s["start"]), F.lit(mask))).otherwise(acc["out"]).alias("out")).cast("struct<pos:int,out:string>")
+    )
+    blank = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")).cast("struct<pos:int,out:string>"), step, lambda acc: F.concat(acc["out"], at(acc["pos"], F.length("__text"))))
+    out = rows.join(hits, "__key", "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(blank))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def link(parts: DataFrame, scope: int) -> DataFrame:
