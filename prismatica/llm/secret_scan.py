@@ -68,13 +68,13 @@ def _written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def _found(docs: DataFrame, text: str, keep: list[str], scope: int) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, text: str, keep: list[str], scope: int, told_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with __text and __key, and (__key, kept columns, base, weak, counts) of the same rows without texts.
 
     Rows are told apart by all their plain columns and their text; equal rows share one key and one result.
     """
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    plain = [c for c in keep if docs.schema[c].dataType.typeName() not in ("array", "map", "struct", "variant")]
+    plain = [c for c in (keep if told_by is None else told_by) if docs.schema[c].dataType.typeName() not in ("array", "map", "struct", "variant")]
     rows = docs.withColumn("__text", whole)
     rows = rows.withColumn("__key", F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in plain], F.col("__text")), 256))
     empty = F.array().cast(SPANS)
@@ -105,7 +105,7 @@ def redact(docs: DataFrame, mask: str, text: str = "text", scope: int = SCOPE) -
 
     Rows without spans, null texts included, stay as they are.
     """
-    rows, found = _found(docs, text, [c for c in docs.columns if c != text], scope)
+    rows, found = _found(docs, text, [], scope, told_by=[c for c in docs.columns if c != text])
     hits = found.select("__key", F.array_sort(F.concat("base", "weak")).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__key"])
     at = lambda start, end: F.substring(F.col("__text"), start + 1, end - start)
     step = lambda acc, s: F.when(s["end"] <= acc["pos"], acc).otherwise(

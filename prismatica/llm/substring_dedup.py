@@ -24,6 +24,8 @@ from prismatica.llm.common import checkpoint, small_batches
 from prismatica.llm.rolling import BASES, Rolling, covered, runs, signed, sliding_least
 
 K = 16
+#: Columns of what is known about a text's nodes.
+FIELDS = ("__at", "__end", "__source", "__source_text", "__source_at", "__same")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -68,7 +70,7 @@ def verified_spans(own, at, end, source, source_text, source_at, same) -> tuple[
 
 
 def _known(row) -> tuple[np.ndarray, ...]:
-    at, end, source, source_text, source_at, same = (np.asarray(row[c]) for c in ("at", "end", "source", "source_text", "source_at", "same"))
+    at, end, source, source_text, source_at, same = (np.asarray(row[c]) for c in FIELDS)
     _, keep = np.unique(at, return_index=True)
     return at[keep], end[keep], source[keep], source_text[keep], source_at[keep], same[keep].astype(bool)
 
@@ -111,11 +113,10 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         .where("src.__doc < last")
         .select("head", F.col("src.__doc").alias("source"), F.col("src.__th").alias("source_text"), F.col("src.at").alias("source_at"), F.col("src.edge").alias("source_edge"))
     )
-    fields = ("at", "end", "source", "source_text", "source_at", "same")
     # At most a node for each word of a text in one list.
     joined = made.join(least, "head").withColumn("same", F.col("edge") == F.col("source_edge"))
-    lists = joined.groupBy("__doc", "__th").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("n"))
-    known = checkpoint(lists.select("__doc", "__th", *[F.col(f"n.{c}").alias(c) for c in fields]))
+    lists = joined.groupBy("__doc", "__th").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c.removeprefix("__")) for c in FIELDS]))).alias("n"))
+    known = checkpoint(lists.select("__doc", "__th", *[F.col(f"n.{c.removeprefix('__')}").alias(c) for c in FIELDS]))
 
     dealt = base.repartition("__doc", "__th")  # the only shuffle of texts, shared by both passes below
     here = dealt.select("__doc", "__th", "__text").join(known.hint("shuffle_hash"), ["__doc", "__th"])
@@ -143,24 +144,24 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     digests = here.mapInPandas(open_windows, "__doc long, __th long, s int, w1 long, w2 long")
     first = digests.groupBy("w1", "w2").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").drop("last")
-    repeats = digests.join(first, ["w1", "w2"]).where("__doc > first").groupBy("__doc", "__th").agg(F.collect_set("s").alias("s"))
+    repeats = digests.join(first, ["w1", "w2"]).where("__doc > first").groupBy("__doc", "__th").agg(F.collect_set("s").alias("__s"))
 
     whole = dealt.join(known.hint("shuffle_hash"), ["__doc", "__th"], "left").join(repeats.hint("shuffle_hash"), ["__doc", "__th"], "left")
-    whole = whole.select("doc_id", *[F.col(f"`{c}`") for c in keep], "__doc", "__text", *fields, "s")
+    whole = whole.select("doc_id", *[F.col(f"`{c}`") for c in keep], "__doc", "__text", *FIELDS, "__s")
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = {c: [] for c in results}
-            for r in _records(b[["__doc", "__text", *fields, "s"]]):
+            for r in _records(b[["__doc", "__text", *FIELDS, "__s"]]):
                 words = words_of(r["__text"] or "")
                 gone = np.zeros(len(words), bool)
-                if r["at"] is not None:
+                if r["__at"] is not None:
                     lo, hi = verified_spans(r["__doc"], *_known(r))
                     long = hi - lo >= window
                     lo, hi = lo[long], hi[long]
-                    if r["s"] is not None:
-                        lo, hi = np.append(lo, r["s"]), np.append(hi, np.asarray(r["s"]) + window)
+                    if r["__s"] is not None:
+                        lo, hi = np.append(lo, r["__s"]), np.append(hi, np.asarray(r["__s"]) + window)
                     gone = covered(len(words), lo, hi)
                 a, z = runs(gone)
                 out["kept"].append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode("utf-8", "surrogatepass") if gone.any() else b" ".join(words).decode("utf-8", "surrogatepass"))

@@ -182,19 +182,19 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("text", "data", "lo", "hi")]
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__doc"), F.xxhash64("text").alias("__th"), F.col("text").cast("string").cast("binary").alias("data"), *[F.col(f"`{c}`") for c in keep])
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__doc"), F.xxhash64("text").alias("__th"), F.col("text").cast("string").cast("binary").alias("__data"), *[F.col(f"`{c}`") for c in keep])
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, th, data in zip(b["__doc"], b["__th"], b["data"], strict=True):
+            for doc, th, data in zip(b["__doc"], b["__th"], b["__data"], strict=True):
                 head, at, low, high, local = attached_nodes(data, window)
                 a, z = runs(covered(len(data), local, local + 1)) if len(local) else (local, local)
                 rows.append((doc, th, signed(head), at, low, high, a, z))
             yield pd.DataFrame(rows, columns=["__doc", "__th", "head", "at", "low", "high", "local_from", "local_to"])
 
     ints = "array<int>"
-    texts = checkpoint(base.select("__doc", "__th", "data").where(F.octet_length("data") >= window).mapInPandas(nodes, f"__doc long, __th long, head array<long>, at {ints}, low {ints}, high {ints}, local_from {ints}, local_to {ints}"))
+    texts = checkpoint(base.select("__doc", "__th", "__data").where(F.octet_length("__data") >= window).mapInPandas(nodes, f"__doc long, __th long, head array<long>, at {ints}, low {ints}, high {ints}, local_from {ints}, local_to {ints}"))
     # Copies: all their bytes go; the one with the least id stands for them.
     same = texts.groupBy("__th").agg(F.count("*").alias("copies"), F.min("__doc").alias("chosen"))
     marked = texts.join(same, "__th")
@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     tasks = max(1, -(-known.count() // SUFFIXES_A_TASK))
 
     dealt = base.repartition("__doc", "__th")  # the one shuffle of texts, shared by the passes below
-    here = dealt.select("__doc", "__th", "data").join(warm.hint("shuffle_hash"), ["__doc", "__th"])
+    here = dealt.select("__doc", "__th", "__data").join(warm.hint("shuffle_hash"), ["__doc", "__th"])
 
     def sorted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[tuple[bytes, bytes]]] = defaultdict(list)
@@ -219,7 +219,7 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
 
         for b in batches:
             seen = set()
-            for doc, th, data, ats, lows, highs in zip(b["__doc"], b["__th"], b["data"], b["at"], b["low"], b["high"], strict=True):
+            for doc, th, data, ats, lows, highs in zip(b["__doc"], b["__th"], b["__data"], b["at"], b["low"], b["high"], strict=True):
                 if (doc, th) in seen:
                     continue
                 seen.add((doc, th))
@@ -268,14 +268,14 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     hot = known.where(F.col("n") > HOT)
     if has_rows(hot):
         spans = spans.unionByName(_hot_spans(dealt, hot, window))
-    lists = spans.groupBy("__doc", "__th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    whole = marked.select("__doc", "__th", "copies", "local_from", "local_to").dropDuplicates(["__doc", "__th"])
+    lists = spans.groupBy("__doc", "__th").agg(F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
+    whole = marked.select("__doc", "__th", F.col("copies").alias("__copies"), F.col("local_from").alias("__from"), F.col("local_to").alias("__to")).dropDuplicates(["__doc", "__th"])
     whole = dealt.join(whole.hint("shuffle_hash"), ["__doc", "__th"], "left").join(lists.hint("shuffle_hash"), ["__doc", "__th"], "left")
-    n, none = F.octet_length("data"), F.array().cast(ints)
-    own = F.when(F.col("copies") > 1, F.array(F.lit(0))), F.when(F.col("copies") > 1, F.array(n))
-    lo = F.concat(F.coalesce(own[0], none), F.coalesce("local_from", none), F.coalesce("lo", none))
-    hi = F.concat(F.coalesce(own[1], none), F.coalesce(F.transform("local_to", lambda x: x + (window - 1)), none), F.coalesce("hi", none))
-    return whole.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("data", F.lit(b"")).alias("data"), lo.alias("lo"), hi.alias("hi"))
+    n, none = F.octet_length("__data"), F.array().cast(ints)
+    own = F.when(F.col("__copies") > 1, F.array(F.lit(0))), F.when(F.col("__copies") > 1, F.array(n))
+    lo = F.concat(F.coalesce(own[0], none), F.coalesce("__from", none), F.coalesce("__lo", none))
+    hi = F.concat(F.coalesce(own[1], none), F.coalesce(F.transform("__to", lambda x: x + (window - 1)), none), F.coalesce("__hi", none))
+    return whole.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("__data", F.lit(b"")).alias("data"), lo.alias("lo"), hi.alias("hi"))
 
 
 def _task(suffix: bytes, tasks: int) -> int:
@@ -287,11 +287,11 @@ def _task(suffix: bytes, tasks: int) -> int:
 def _hot_spans(dealt: DataFrame, hot: DataFrame, window: int) -> DataFrame:
     """Repeated windows of k-mers that too many suffixes share: counted by digests, partly where they are made."""
     lists = hot.groupBy("__doc", "__th").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("k"))
-    here = dealt.select("__doc", "__th", "data").join(lists.hint("shuffle_hash"), ["__doc", "__th"]).select("__doc", "__th", "data", *[F.col(f"k.{c}").alias(c) for c in ("at", "low", "high")])
+    here = dealt.select("__doc", "__th", "__data").join(lists.hint("shuffle_hash"), ["__doc", "__th"]).select("__doc", "__th", "__data", *[F.col(f"k.{c}").alias(c) for c in ("at", "low", "high")])
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, th, data, at, low, high in zip(b["__doc"], b["__th"], b["data"], b["at"], b["low"], b["high"], strict=True):
+            for doc, th, data, at, low, high in zip(b["__doc"], b["__th"], b["__data"], b["at"], b["low"], b["high"], strict=True):
                 tokens = BYTES[np.frombuffer(data, np.uint8)]
                 s = np.unique(np.concatenate([np.arange(a - h, a - w + 1) for a, w, h in zip(at, low, high, strict=True)]))
                 yield pd.DataFrame({"__doc": doc, "__th": th, "lo": s, "w1": signed(Rolling(tokens).slices(s, s + window)), "w2": signed(Rolling(tokens, BASES[1]).slices(s, s + window))})
