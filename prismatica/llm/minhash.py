@@ -6,8 +6,8 @@ candidates; links are confirmed on the full sets.
 
 No pairs are emitted within a bucket at first.  Each member is compared with its bucket's hub (the member that meets most others over
 all bands), best hub first; confirmed links give components.  Only members of a bucket that lie in different components are then
-compared: those outside the bucket's largest component with all members of other components.  So every candidate pair is either
-confirmed, refuted, or known to be connected already, and the work grows with the pairs that are not near-duplicates of each other.
+compared: those outside the bucket's largest component with all of other components, in blocks where a bucket is crowded.  So every
+candidate pair is either confirmed, refuted, or known to be connected already.
 Candidates whose signatures agree in so few places that a link is out of the question (over five standard deviations) are left out.
 """
 
@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from prismatica.llm.common import checkpoint, connected_components, has_rows, small_batches
 from prismatica.llm.rolling import Rolling, mix, signed
 from prismatica.llm.substring_dedup import word_tokens
@@ -29,6 +28,8 @@ from prismatica.llm.substring_dedup import word_tokens
 ROWS, BANDS = 6, 46
 COORDINATES = ROWS * BANDS
 SLOTS = 1 << 18
+#: Members of a bucket beyond which its pairs are compared in blocks, and queries and members of one block.
+LARGE, QUERIES, GROUP = 16, 256, 2048
 
 
 @lru_cache(maxsize=1)
@@ -144,27 +145,20 @@ def _with_sets(given: DataFrame, made: DataFrame, degree: DataFrame, words: int)
 
 
 def _confirm_links(members: DataFrame, needed: DataFrame, hundredths: int) -> DataFrame:
-    degrees = needed.select("v", "degree")
-    hubs = members.join(degrees, "v").groupBy("bucket").agg(F.max(F.struct("degree", F.col("v").alias("hub"))).alias("top")).select("bucket", "top.hub")
+    ranked = members.join(needed.select("v", "degree"), "v")
+    top = F.max(F.struct("degree", F.col("v").alias("hub")))
+    hubs = checkpoint(ranked.groupBy("bucket").agg(top.alias("top")).select("bucket", "top.hub"))
     pairs = members.join(hubs, "bucket").where("v <> hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
     likely = checkpoint(_likely(pairs, needed, hundredths))
-    # First only the most similar hub of each vertex.
-    best = likely.select(F.explode(F.array("a", "b")).alias("v"), "a", "b", "agree").groupBy("v").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = checkpoint(_exact(best, needed, hundredths))
-    tried = best
-    for step in ("other hubs", "all that is left"):
-        labels = checkpoint(connected_components(links))
-        if step == "other hubs":
-            more = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-            more = _apart(more, labels)
-        else:
-            more = _cross_pairs(members, labels)
-            more = _likely(more.join(tried, ["a", "b"], "left_anti"), needed, hundredths).select("a", "b")
-        more = checkpoint(more)
-        if has_rows(more):
-            links = checkpoint(links.unionAll(_exact(more, needed, hundredths)))
-            tried = tried.unionAll(more)
-    return links
+    # First only the most similar hub of each vertex, then its other hubs, then all that is still apart.
+    tried = likely.select(F.explode(F.array("a", "b")).alias("v"), "a", "b", "agree").groupBy("v").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    links = checkpoint(_exact(tried, needed, hundredths))
+    more = _apart(likely.select("a", "b").join(tried, ["a", "b"], "left_anti"), checkpoint(connected_components(links)))
+    links = checkpoint(links.unionAll(_exact(more, needed, hundredths)))
+    labels = checkpoint(connected_components(links))
+    crossing = _likely(_cross_pairs(members.where(F.col("n") <= LARGE), labels).join(likely.select("a", "b"), ["a", "b"], "left_anti"), needed, hundredths)
+    crowded = _block_links(members.where(F.col("n") > LARGE), hubs, labels, needed, hundredths)
+    return checkpoint(links.unionAll(_exact(crossing.select("a", "b"), needed, hundredths)).unionAll(crowded).distinct())
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,14 +168,56 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
 
+def _labelled(members: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """Members of the groups that hold more than one component: key, v, label, few (outside the largest component)."""
+    held = members.join(labels.withColumnRenamed("node", "v"), "v", "left").select(key, "v", F.coalesce("label", "v").alias("label"))
+    counted = held.groupBy(key, "label").agg(F.count("*").alias("k"))
+    mixed = counted.groupBy(key).agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("top")).where("kinds > 1").select(key, F.col("top.label").alias("main"))
+    return held.join(mixed, key).select(key, "v", "label", (F.col("label") != F.col("main")).alias("few"))
+
+
 def _cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs over components within buckets: each member outside its bucket's largest component, with all of other components."""
-    held = members.join(labels.withColumnRenamed("node", "v"), "v", "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
-    counted = held.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "label")).alias("top")).where("kinds > 1").select("bucket", F.col("top.label").alias("main"))
-    rest = held.join(mixed, "bucket")
-    few = rest.where("label <> main").select("bucket", F.col("v").alias("few"), F.col("label").alias("few_label"))
-    return few.join(rest, "bucket").where("label <> few_label").select(F.least("v", "few").alias("a"), F.greatest("v", "few").alias("b")).distinct()
+    """Pairs over components within small buckets: each member outside the largest component, with all of other components."""
+    held = _labelled(members, "bucket", labels)
+    few = held.where("few").select("bucket", F.col("v").alias("w"), F.col("label").alias("w_label"))
+    return few.join(held, "bucket").where("label <> w_label").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+
+
+def _block_links(members: DataFrame, hubs: DataFrame, labels: DataFrame, needed: DataFrame, hundredths: int) -> DataFrame:
+    """Links over components within crowded buckets, for all buckets of a hub at once.
+
+    The members outside the group's largest component are a query set against all its members, in blocks of both; each block counts
+    the shared shingles of its pairs on one matrix and returns at most one link from a query to each component.
+    """
+    held = _labelled(members.join(hubs, "bucket").select("hub", "v").distinct(), "hub", labels)
+    blocks = held.groupBy("hub").agg(F.ceil(F.count_if("few") / QUERIES).cast("int").alias("q"), F.ceil(F.count("*") / GROUP).cast("int").alias("g"))
+    both = held.join(blocks, "hub").join(needed.select("v", "shingles"), "v")
+    spread = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = both.where("few").select("hub", spread("q").alias("i"), each("g").alias("j"), "v", "label", "shingles", F.lit(True).alias("asks"))
+    all_of = both.select("hub", each("q").alias("i"), spread("g").alias("j"), "v", "label", "shingles", F.lit(False).alias("asks"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        queries, group = block[block["asks"]], block[~block["asks"]]
+        out: list[tuple[int, int]] = []
+        if len(queries) and len(group):
+            sets = [np.frombuffer(x, np.uint64) for x in queries["shingles"]]
+            universe, places = np.unique(np.concatenate(sets), return_inverse=True)
+            inside = np.zeros((len(universe), len(sets)), np.uint8)
+            inside[places, np.repeat(np.arange(len(sets)), [len(x) for x in sets])] = 1
+            sizes, ids, own = np.array([len(x) for x in sets]), queries["v"].to_numpy(), queries["label"].to_numpy()
+            linked: set[tuple[int, int]] = set()
+            for v, label, packed in zip(group["v"], group["label"], group["shingles"], strict=True):
+                s = np.frombuffer(packed, np.uint64)
+                at = np.minimum(np.searchsorted(universe, s), len(universe) - 1)
+                common = inside[at[universe[at] == s]].sum(axis=0, dtype=np.int64)
+                for q in np.flatnonzero((100 * common >= hundredths * (sizes + len(s) - common)) & (own != label)):
+                    if (q, label) not in linked:
+                        linked.add((q, label))
+                        out.append((min(v, ids[q]), max(v, ids[q])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return asks.unionAll(all_of).groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _likely(pairs: DataFrame, needed: DataFrame, hundredths: int) -> DataFrame:
