@@ -38,11 +38,13 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
         if not rendered.startswith(OPEN, at):
             return None
         line = rendered.find("\n", at)
-        end = rendered.find(CLOSE, line + 1)
-        if line < 0 or end < 0:
+        end = rendered.find("<|", line + 1)
+        if line < 0 or end < 0 or not rendered.startswith(CLOSE, end):  # no control string but the closing one may follow a text
             return None
-        role = rendered[at + len(OPEN) : line]
-        turns.append((unescape(role.replace(LINE, "\n")), unescape(rendered[line + 1 : end]), line + 1, end))
+        role = rendered[at + len(OPEN) : line].replace(LINE, "\n")
+        if "<|" in role:
+            return None
+        turns.append((unescape(role), unescape(rendered[line + 1 : end]), line + 1, end))
         at = end + len(CLOSE)
     return turns
 

@@ -56,7 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismatica.llm.minhash import link_classes
 
-    return link_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+    return link_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2).drop("n_links")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
