@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prismatica import samples
 from prismatica.functions import naming, sqltext
 from prismatica.functions.timeframes import TIMEFRAMES, in_year, timeframe
-from prismatica.operators import corpus, fields, profile
+from prismatica.operators import corpus, fields, profile, proposals
 from prismatica.plans.explore import build
 from prismatica.plans.model import Dimension, Explore, Join, Measure, Model, Request, View
 from prismatica.sources.corpus import metadata_coverage
@@ -560,6 +560,91 @@ def metadata_share(spark, sf):
     return metadata_coverage(spark.createDataFrame(rows, "table string, name string, description string"))
 
 
+# --- proposals and gates ----------------------------------------------------------------------------------------------------------
+
+_TYPES = [("orders", "o_orderstatus", "STRING"), ("orders", "o_custkey", "INT64"), ("customer", "c_nationkey", "INTEGER")]
+_AGGREGATES = samples.values([(v, f, c, d) for _, v, _, a, _, _, _ in samples.FACETS for f, c, d in a], ("view", "f", "col", "dist"))
+_PLAIN = samples.values([(v, c) for _, v, d, _, f, _, _ in samples.FACETS for c in [*d, *f] if c != "o_orderdate"], ("view", "col"))
+
+
+def _context(spark):
+    viewed = _viewed(spark).withColumnRenamed("view", "table")
+    dates = F.array(F.struct(F.lit("o_orderdate").alias("column"), F.lit("YEAR").alias("function")))
+    grouped = viewed.groupBy("table").agg(F.flatten(F.collect_list("filter_columns")).alias("filter_columns"), F.flatten(F.collect_list("dimensions")).alias("dimensions"), F.flatten(F.collect_list("aggregations")).alias("aggregations"))
+    return grouped.withColumn("date_parts", F.when(F.col("table") == "orders", dates).otherwise(F.array().cast("array<struct<column:string,function:string>>"))).withColumn("ctes", F.array(F.lit("recent")))
+
+
+def _proposed(spark):
+    return proposals.propose_fields(_context(spark), spark.createDataFrame(_TYPES, "table string, name string, type string"))
+
+
+_PROPOSED = (
+    f"a AS (SELECT * FROM {_AGGREGATES}), p AS (SELECT DISTINCT view, col FROM {_PLAIN}), t AS (SELECT * FROM {samples.values(_TYPES, ('view', 'col', 'w'))}), "
+    "fields AS (SELECT p.view AS \"table\", 'dimension' AS kind, p.col AS name, CASE WHEN w IN ('NUMERIC', 'FLOAT64', 'INT64', 'INTEGER', 'NUMBER') THEN 'number' WHEN w IN ('BOOL', 'BOOLEAN') THEN 'yesno' ELSE 'string' END AS type FROM p "
+    "LEFT JOIN t ON p.view = t.view AND p.col = t.col WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.view = p.view AND a.col = p.col) UNION SELECT 'orders', 'dimension_group', 'o_orderdate', 'time' UNION "
+    "SELECT view, 'measure', CASE WHEN dist THEN 'unique' ELSE LIST_EXTRACT(['total', 'count', 'avg', 'min', 'max'], LIST_POSITION(['SUM', 'COUNT', 'AVG', 'MIN', 'MAX'], f)) END || '_' || col, "
+    "CASE WHEN dist THEN 'count_distinct' ELSE LIST_EXTRACT(['sum', 'count', 'average', 'min', 'max'], LIST_POSITION(['SUM', 'COUNT', 'AVG', 'MIN', 'MAX'], f)) END FROM a WHERE col IS NOT NULL "
+    "UNION SELECT view, 'derived_table', 'recent_dt', NULL FROM a)"
+)
+
+
+@query(f"WITH {_PROPOSED} SELECT * FROM fields")
+def propose_fields(spark, sf):
+    return _proposed(spark).drop("sql")
+
+
+_EXISTING = [("orders", "dimension", "o_orderstatus"), ("customer", "derived_table", "recent_dt"), ("orders", "dimension_group", "o_orderdate")]
+
+
+@query(
+    f"WITH {_PROPOSED}, old AS (SELECT * FROM {samples.values(_EXISTING, ('tbl', 'kind', 'name'))}), new AS (SELECT f.* FROM fields f ANTI JOIN old ON f.\"table\" = old.tbl AND f.kind = old.kind AND f.name = old.name) "
+    "SELECT \"table\", COUNT(*) AS n_changes, COUNT(*) FILTER (WHERE kind IN ('primary_key', 'dimension_group', 'derived_table', 'case_dimension')) = 0 AS auto_approved FROM new GROUP BY 1"
+)
+def auto_approval(spark, sf):
+    return proposals.auto_approved(proposals.changes(_proposed(spark), spark.createDataFrame(_EXISTING, "table string, kind string, name string")))
+
+
+_REVIEWS = [
+    ("orders", "- [x] APPROVED\n- [ ] REJECTED\n"),
+    ("customer", "- [x] APPROVED\n- [X] REJECTED\nFeedback: rename it"),
+    ("part", "- [ ] APPROVED\n- [ ] REJECTED\nFeedback:"),
+    ("nation", "* [x] REJECTED\n"),
+]
+_REVIEW_ROWS = samples.values(_REVIEWS, ("tbl", "text"))
+_DECIDED = (
+    f"r AS (SELECT tbl, text, REGEXP_EXTRACT_ALL(text, '(?m)^\\s*[-*]\\s*\\[[xX]\\]\\s*(APPROVED|REJECTED)', 1) AS t FROM {_REVIEW_ROWS}), "
+    "decided AS (SELECT tbl, CASE WHEN LEN(t) > 0 THEN LOWER(t[-1]) ELSE 'pending' END AS decision, TRIM(REGEXP_EXTRACT(text, '(?is)feedback:\\s*(.*)$', 1)) AS feedback FROM r)"
+)
+
+
+def _decided(spark):
+    return proposals.approvals(spark.createDataFrame(_REVIEWS, "table string, text string"))
+
+
+@query(f'WITH {_DECIDED} SELECT tbl AS "table", decision, feedback FROM decided')
+def review_decisions(spark, sf):
+    return _decided(spark)
+
+
+@query(
+    f"WITH {_DECIDED}, n AS (SELECT COUNT(*) FILTER (WHERE decision = 'pending') AS p, COUNT(*) FILTER (WHERE decision = 'rejected' AND feedback = '') AS m, COUNT(*) FILTER (WHERE decision = 'approved') AS a, COUNT(*) AS k FROM decided) "
+    "SELECT CASE WHEN p + m > 0 THEN 'fail' WHEN 2 * a < k THEN 'warn' ELSE 'pass' END AS status, CONCAT_WS('; ', CASE WHEN p > 0 THEN p || ' pending' END, CASE WHEN m > 0 THEN m || ' rejected without feedback' END) AS blocking, "
+    "COALESCE(CASE WHEN 2 * a < k THEN 'under half approved' END, '') AS warnings FROM n"
+)
+def approval_gate(spark, sf):
+    return proposals.approval_gate(spark.createDataFrame([(t,) for t, _ in _REVIEWS], "table string"), _decided(spark))
+
+
+@query(f"WITH {_TABLES_SQL}, m AS (SELECT * FROM (VALUES ('orders', 0.5), ('customer', 0.2)) t(tbl, coverage)) SELECT DISTINCT u.tbl AS subject, 'warn' AS level, 'few columns are described' AS finding FROM used u LEFT JOIN m ON u.tbl = m.tbl WHERE COALESCE(coverage, 0) < 0.5")
+def discovery_gate(spark, sf):
+    return proposals.discovery_gate(_prints(spark), spark.createDataFrame([("orders", 0.5), ("customer", 0.2)], "table string, coverage double"))
+
+
+@query(f"WITH {_PROPOSED} SELECT t AS \"table\", 'no dimension or measure' AS fault FROM (VALUES ('orders'), ('part')) v(t) WHERE t NOT IN (SELECT \"table\" FROM fields WHERE kind IN ('dimension', 'measure')) UNION ALL SELECT NULL, 'too many tokens'")
+def planning_gate(spark, sf):
+    return proposals.planning_gate(spark.createDataFrame([("orders",), ("part",)], "table string"), _proposed(spark), spark.createDataFrame([(500_000,), (400_000,)], "tokens int"))
+
+
 # --- profiles ---------------------------------------------------------------------------------------------------------------------
 
 
