@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prismatica import samples
 from prismatica.functions import naming, sqltext
-from prismatica.functions.timeframes import TIMEFRAMES, in_year, timeframe
+from prismatica.functions.timeframes import TIMEFRAMES, in_year
 from prismatica.operators import corpus, fields, profile, proposals
 from prismatica.plans.explore import build
 from prismatica.plans.model import Dimension, Explore, Join, Measure, Model, Request, View
