@@ -47,10 +47,6 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable vertex of every vertex in ``edges(a, b)``: columns ``node, label``.
 
