@@ -23,8 +23,8 @@ from prismatica.llm.rolling import Rolling, mix
 
 SAMPLE, SAMPLE_CHARS, ROUNDS, STEPS, RIDGE = 2000, 20_000, 3, 120, 1e-3
 THRESHOLD = 0.3
-#: Bytes of texts whose lines are measured at once.
-BLOCK_BYTES = 2_000_000
+#: Characters of texts whose lines are measured at once; arrays of several words a byte stay small.
+BLOCK_CHARS = 400_000
 
 UPPER, LOWER, DIGIT, SPACE, BANG, BAR, SYMBOL, STOP, OTHER = range(9)
 
@@ -43,6 +43,28 @@ BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 NAMES = ("upper", "bangs", "bars", "symbols", "digits", "same_word", "same_line", "words", "word_length", "stops", "blank")
 
 
+def blocks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of at most BLOCK_CHARS characters, or one longer text."""
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK_CHARS):
+            size += len(texts[to])
+            to += 1
+        yield texts[at:to]
+        at = to
+
+
+def all_line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of any number of texts, block by block."""
+    parts, before = [], 0
+    for block in blocks(texts):
+        x, doc, length = line_features(block)
+        parts.append((x, doc + before, length))
+        before += len(block)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features with those of the neighbouring lines, number of the text, and length of every line; an empty text has one empty line."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -139,14 +161,7 @@ class Model:
         return np.bincount(doc, weights=p * length, minlength=len(texts)) / np.bincount(doc, weights=length, minlength=len(texts))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        out, at = [], 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK_BYTES):
-                size += len(texts[to])
-                to += 1
-            out.append(self.calibrated(self.means(texts[at:to])))
-            at = to
+        out = [self.calibrated(self.means(block)) for block in blocks(texts)]
         return np.concatenate(out) if out else np.empty(0)
 
     def calibrated(self, means: np.ndarray) -> np.ndarray:
@@ -181,7 +196,7 @@ def train(texts: list[str], quality: list[int]) -> Model:
         share = float(label.mean()) if len(label) else 0.5
         model.slope, model.offset = 0.0, float(_logit(np.array([share]))[0])
         return model
-    x, doc, length = line_features(texts)
+    x, doc, length = all_line_features(texts)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     model.mean[-1], model.scale[-1] = 0, 1
     x = (x - model.mean) / model.scale
