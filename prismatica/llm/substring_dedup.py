@@ -4,7 +4,7 @@ Token k-mers at content-defined positions are the graph's nodes, and the words f
 a passage is a path.  Nodes are joined on their k-mer; an edge of a document whose smallest source has the same edge is verified, and
 verified edges that follow each other at the same source offset (a path that doesn't branch on the way) compact into one span of
 source coordinates.  Windows of a repeated node outside such spans, near the ends of passages and at branches, are compared one by
-one by 128-bit digests.
+one by digests of 96 bits.
 
 Why this is exact: the smallest document with a window never has it in a verified span, since a span's text also lies in a smaller
 document.  So that document always gives the window's digest, and every other document either has it verified or gives it too.
@@ -90,8 +90,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     results = ("kept", "n_words", "n_removed", "spans")
+    # A row's key is its doc_id with 32 bits that tell rows of the same id apart.
     keep = [c for c in docs.columns if c not in (*results, "text", "doc_id")]
-    base = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__th"), F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in ("doc_id", *keep)])
+    base = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.hash("text").alias("__th"), F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in ("doc_id", *keep)])
     given = base.select("__doc", "__th", "__text").where("__doc is not null and length(__text) > 0")
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +107,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 yield pd.DataFrame(dict(zip(("__doc", "__th", "head", "edge", "at", "end"), cols, strict=True)))
 
-    made = given.mapInPandas(nodes, "__doc long, __th long, head long, edge long, at int, end int")
+    made = given.mapInPandas(nodes, "__doc long, __th int, head long, edge long, at int, end int")
     least = (
         made.groupBy("head")
         .agg(F.min(F.struct("__doc", "__th", "at", "edge")).alias("src"), F.max("__doc").alias("last"))
@@ -138,11 +139,11 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 s = np.flatnonzero(todo)
                 if len(s):
                     second = Rolling(tokens, BASES[1])
-                    parts.append((np.full(len(s), r["__doc"]), np.full(len(s), r["__th"]), s, signed(rolled.slices(s, s + window)), signed(second.slices(s, s + window))))
+                    parts.append((np.full(len(s), r["__doc"]), np.full(len(s), r["__th"]), s, signed(rolled.slices(s, s + window)), (second.slices(s, s + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             if parts:
                 yield pd.DataFrame(dict(zip(("__doc", "__th", "s", "w1", "w2"), [np.concatenate(c) for c in zip(*parts, strict=True)], strict=True)))
 
-    digests = here.mapInPandas(open_windows, "__doc long, __th long, s int, w1 long, w2 long")
+    digests = here.mapInPandas(open_windows, "__doc long, __th int, s int, w1 long, w2 int")
     first = digests.groupBy("w1", "w2").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").drop("last")
     repeats = digests.join(first, ["w1", "w2"]).where("__doc > first").groupBy("__doc", "__th").agg(F.collect_set("s").alias("__s"))
 
