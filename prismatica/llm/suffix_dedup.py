@@ -196,8 +196,10 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     ints = "array<int>"
     texts = checkpoint(base.select("__doc", "__th", "__data").where(F.octet_length("__data") >= window).mapInPandas(nodes, f"__doc long, __th long, head array<long>, at {ints}, low {ints}, high {ints}, local_from {ints}, local_to {ints}"))
     # Copies: all their bytes go; the one with the least id stands for them.
-    same = texts.groupBy("__th").agg(F.count("*").alias("copies"), F.min("__doc").alias("chosen"))
-    marked = texts.join(same, "__th")
+    # The join's key is a struct, not the aggregate's column: both of its sides are shuffled for it, so Spark can split a hot group.
+    alike = F.struct("__th").alias("alike")
+    same = texts.groupBy("__th").agg(F.count("*").alias("copies"), F.min("__doc").alias("chosen")).select(alike, "copies", "chosen")
+    marked = texts.select("*", alike).join(same, "alike").drop("alike")
     node = marked.where("__doc = chosen").select("__doc", "__th", F.explode(F.arrays_zip("head", "at", "low", "high")).alias("n")).select("__doc", "__th", "n.*")
     counted = node.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
     known = checkpoint(node.join(counted, "head"))
