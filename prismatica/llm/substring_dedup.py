@@ -144,8 +144,10 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield pd.DataFrame(dict(zip(("__doc", "__th", "s", "w1", "w2"), [np.concatenate(c) for c in zip(*parts, strict=True)], strict=True)))
 
     digests = here.mapInPandas(open_windows, "__doc long, __th int, s int, w1 long, w2 int")
-    first = digests.groupBy("w1", "w2").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").drop("last")
-    repeats = digests.join(first, ["w1", "w2"]).where("__doc > first").groupBy("__doc", "__th").agg(F.collect_set("s").alias("__s"))
+    # The join's key is a struct, not the aggregate's columns: both of its sides are shuffled for it, so Spark can split a hot window.
+    pair = F.struct("w1", "w2").alias("w")
+    first = digests.groupBy("w1", "w2").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select(pair, "first")
+    repeats = digests.select("__doc", "__th", "s", pair).join(first, "w").where("__doc > first").groupBy("__doc", "__th").agg(F.collect_set("s").alias("__s"))
 
     whole = dealt.join(known.hint("shuffle_hash"), ["__doc", "__th"], "left").join(repeats.hint("shuffle_hash"), ["__doc", "__th"], "left")
     whole = whole.select("doc_id", *[F.col(f"`{c}`") for c in keep], "__doc", "__text", *FIELDS, "__s")
