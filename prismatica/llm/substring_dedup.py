@@ -108,14 +108,15 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield pd.DataFrame(dict(zip(("__doc", "__th", "head", "edge", "at", "end"), cols, strict=True)))
 
     made = given.mapInPandas(nodes, "__doc long, __th int, head long, edge long, at int, end int")
+    # The joins' keys are structs, not the aggregates' columns: both sides are shuffled for them, so Spark can split a hot node or window.
     least = (
         made.groupBy("head")
         .agg(F.min(F.struct("__doc", "__th", "at", "edge")).alias("src"), F.max("__doc").alias("last"))
         .where("src.__doc < last")
-        .select("head", F.col("src.__doc").alias("source"), F.col("src.__th").alias("source_text"), F.col("src.at").alias("source_at"), F.col("src.edge").alias("source_edge"))
+        .select(F.struct("head").alias("node"), F.col("src.__doc").alias("source"), F.col("src.__th").alias("source_text"), F.col("src.at").alias("source_at"), F.col("src.edge").alias("source_edge"))
     )
     # At most a node for each word of a text in one list.
-    joined = made.join(least, "head").withColumn("same", F.col("edge") == F.col("source_edge"))
+    joined = made.select("*", F.struct("head").alias("node")).join(least, "node").withColumn("same", F.col("edge") == F.col("source_edge"))
     lists = joined.groupBy("__doc", "__th").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c.removeprefix("__")) for c in FIELDS]))).alias("n"))
     known = checkpoint(lists.select("__doc", "__th", *[F.col(f"n.{c.removeprefix('__')}").alias(c) for c in FIELDS]))
 
@@ -144,7 +145,6 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield pd.DataFrame(dict(zip(("__doc", "__th", "s", "w1", "w2"), [np.concatenate(c) for c in zip(*parts, strict=True)], strict=True)))
 
     digests = here.mapInPandas(open_windows, "__doc long, __th int, s int, w1 long, w2 int")
-    # The join's key is a struct, not the aggregate's columns: both of its sides are shuffled for it, so Spark can split a hot window.
     pair = F.struct("w1", "w2").alias("w")
     first = digests.groupBy("w1", "w2").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select(pair, "first")
     repeats = digests.select("__doc", "__th", "s", pair).join(first, "w").where("__doc > first").groupBy("__doc", "__th").agg(F.collect_set("s").alias("__s"))
