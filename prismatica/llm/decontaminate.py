@@ -20,9 +20,10 @@ from prismatica.llm.common import small_batches
 from prismatica.llm.rolling import Rolling, mix
 from prismatica.llm.substring_dedup import word_tokens
 
-#: Repetitions, and sampled coordinates of each: at a fifth of the words edited about two in five coordinates differ, so one
-#: repetition agrees with a probability of 0.6**4 = 0.13, and one of 64 with over 0.999.
-REPETITIONS, SAMPLED, WALK = 64, 4, 3
+#: Repetitions and sampled coordinates of each, by the most words of an item.  Walks that an edit pushed apart stay apart for long, so
+#: coordinates don't differ independently and longer items need fewer in one sample.  Set from measured recall at floor(m / 5) edits
+#: (README, notes on exactness).
+SAMPLING, WALK = ((30, 128, 2), (None, 64, 1)), 3
 #: Words of the items that one pass over the documents holds.
 BLOCK_WORDS = 1_000_000
 MIN_WORDS = 5
@@ -34,15 +35,21 @@ def tokens_of(text: str | None) -> np.ndarray:
     return word_tokens((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
+def sampling(m: int) -> tuple[int, int]:
+    """Repetitions, and sampled coordinates of each, for items of m words."""
+    return next((r, min(c, m)) for most, r, c in SAMPLING if most is None or m <= most)
+
+
 @lru_cache(maxsize=256)
 def walk(m: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds of the random walks, and the sampled steps of each repetition, for items of m words."""
     rng = np.random.default_rng(1_000_003 + m)
-    seeds = rng.integers(0, 1 << 63, size=(WALK * m, REPETITIONS), dtype=np.uint64)
-    sampled = np.zeros((WALK * m, REPETITIONS), bool)
-    for r in range(REPETITIONS):
+    repetitions, coordinates = sampling(m)
+    seeds = rng.integers(0, 1 << 63, size=(WALK * m, repetitions), dtype=np.uint64)
+    sampled = np.zeros((WALK * m, repetitions), bool)
+    for r in range(repetitions):
         # The first m steps never run past the end of a window, where all windows look alike.
-        sampled[rng.choice(m, size=min(SAMPLED, m), replace=False), r] = True
+        sampled[rng.choice(m, size=coordinates, replace=False), r] = True
     return seeds, sampled
 
 
@@ -51,8 +58,8 @@ def sample_keys(windows: np.ndarray) -> np.ndarray:
     n, m = windows.shape
     seeds, sampled = walk(m)
     last = int(np.flatnonzero(sampled.any(axis=1))[-1]) + 1
-    at = np.zeros((n, REPETITIONS), np.int64)
-    keys = np.zeros((n, REPETITIONS), np.uint64)
+    at = np.zeros((n, seeds.shape[1]), np.int64)
+    keys = np.zeros((n, seeds.shape[1]), np.uint64)
     rows = np.arange(n)[:, None]
     for step in range(last):
         symbol = np.where(at < m, windows[rows, np.minimum(at, m - 1)], np.uint64(0))
@@ -131,7 +138,8 @@ class Items:
                 windows = padded[(block + k)[:, None] + np.arange(m)]
                 hit = (sample_keys(windows) == self.keys[number]).any(axis=1)
                 for s in _spread_out(block[hit], m):
-                    lo, hi = max(0, s - k), min(len(tokens), s + 2 * m + k)
+                    # A window's stretch may start up to 2k words away from it.
+                    lo, hi = max(0, s - 2 * k), min(len(tokens), s + 2 * m + 3 * k)
                     edits, end = closest_stretch(item, tokens[lo:hi])
                     if edits <= k and (best is None or edits < best[3]):
                         _, back = closest_stretch(item[::-1], tokens[lo : lo + end][::-1])

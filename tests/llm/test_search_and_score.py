@@ -65,6 +65,17 @@ def test_leaks_against_brute_force(spark, docs, corpus, sf):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize(("m", "trials"), [(25, 100), (50, 60), (100, 20)])
+def test_leaks_with_all_allowed_deletions(m, trials):
+    rnd = random.Random(m)
+    for _ in range(trials):
+        words = [f"w{rnd.random()}" for _ in range(m)]
+        gone = set(rnd.sample(range(m), m // 5))
+        around = [f"x{rnd.random()}" for _ in range(2 * m)]
+        text = around[:m] + [w for i, w in enumerate(words) if i not in gone] + around[m:]
+        assert decontaminate.Items([(1, " ".join(words))]).leaks(decontaminate.tokens_of(" ".join(text)))
+
+
 def test_edit_distance():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert decontaminate.closest_stretch(a, np.array([9, 1, 2, 7, 4, 5, 9], np.uint64)) == (1, 6)
