@@ -32,6 +32,39 @@ def test_neighbours_recall_and_rules(spark, sf):
     assert cross_polytope.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def _nearest_by_force(rows, q, k=5):
+    x = dict(rows)[q]
+    return [i for _, i in sorted((-float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), i) for i, y in rows if i != q and len(y) == len(x))[:k]]
+
+
+@pytest.mark.parametrize("few", [cross_polytope.FEW, 0])
+def test_few_neighbours_are_all_found(spark, few):
+    """Lengths with few vectors, compared as a whole, and (few = 0) queries whose cells hold too few."""
+    rng = np.random.default_rng(4)
+    rows, at = [], 0
+    for width, n in ((64, 3), (63, 5), (62, 10), (60, 1)):
+        rows += [(at + i, rng.normal(size=width)) for i in range(n)]
+        at += n
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(cross_polytope.nearest(frame, frame, few=few).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {i: _nearest_by_force(rows, i) for i, _ in rows if i != at - 1}
+    assert {i: len(g) for i, g in got.items()} == {i: len(w) for i, w in want.items()}
+    if few:
+        assert got == want
+
+
+def test_hashed_neighbours_recall(spark, sf):
+    rows = [(r[0], np.array(r[1], float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.nearest(frame, frame.where("vec_id % 50 = 0"), few=0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = sum(len(g & set(_nearest_by_force(rows, q))) for q, g in got.items())
+    assert hit / (5 * len(got)) >= 0.9 and all(len(g) == 5 for g in got.values())
+
+
 def test_transform_is_a_rotation():
     x = np.random.default_rng(0).normal(size=(5, 64))
     turned = cross_polytope.rotated(x, cross_polytope.rotations(64, 1)[0])
