@@ -26,7 +26,6 @@ from prismatica.llm.substring_dedup import word_tokens
 SAMPLING, WALK = ((30, 128, 2), (None, 64, 1)), 3
 #: Words of the items that one pass over the documents holds.
 BLOCK_WORDS = 1_000_000
-MIN_WORDS = 5
 FILTER_BITS = 22
 
 
@@ -90,7 +89,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, tokens_of(t)) for i, t in items]
-        self.items = [(i, t) for i, t in self.items if len(t) >= MIN_WORDS]
+        self.items = [(i, t) for i, t in self.items if len(t)]
         self.edits = [len(t) // 5 for _, t in self.items]
         seeds: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for number, (_, t) in enumerate(self.items):
@@ -134,6 +133,8 @@ class Items:
             padded = np.concatenate([np.zeros(k, np.uint64), tokens, np.zeros(m + k, np.uint64)])
             best = None
             for at in range(0, len(starts), 256):
+                if best is not None and best[3] == 0:
+                    break
                 block = np.array(starts[at : at + 256])
                 windows = padded[(block + k)[:, None] + np.arange(m)]
                 hit = (sample_keys(windows) == self.keys[number]).any(axis=1)
@@ -161,8 +162,9 @@ def _spread_out(starts: np.ndarray, m: int) -> list[int]:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", leaks: str = "leaks") -> DataFrame:
     """Every row with leaks: array of (item_id, start, end, edits), word positions, one for each leaked item, end exclusive.
 
-    A null text has no words and leaks nothing.  Items of fewer than MIN_WORDS words, and null ones, are no benchmark passages;
-    repeated items are all reported; of equally close stretches the first counts.  A column named as the result is replaced.
+    A null text has no words and leaks nothing.  Items of fewer than 5 words leak where they occur unchanged; null ones and
+    those without words never do; repeated items are all reported; of equally close stretches the first counts.  A column named as
+    the result is replaced.
     Items are held in blocks of at most BLOCK_WORDS words (or one longer item), one row-local pass over the documents for each block.
     """
     small_batches(docs.sparkSession)

@@ -109,6 +109,13 @@ def test_leaks_with_all_allowed_deletions(m, trials):
         assert decontaminate.Items([(1, " ".join(words))]).leaks(decontaminate.tokens_of(" ".join(text)))
 
 
+def test_short_items_leak_where_they_occur_unchanged():
+    items = decontaminate.Items([(1, "Paris"), (2, "one two"), (3, "a b c d"), (4, " \n"), (5, "of paris in"), (6, "one three")])
+    assert items.leaks(decontaminate.tokens_of("x PARIS one two a b c a b c d")) == [(1, 1, 2, 0), (2, 2, 4, 0), (3, 7, 11, 0)]
+    assert items.leaks(decontaminate.tokens_of("paris")) == [(1, 0, 1, 0)]
+    assert not items.leaks(decontaminate.tokens_of("a b c x d one")) and not items.leaks(decontaminate.tokens_of(""))
+
+
 def test_edit_distance():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert decontaminate.closest_stretch(a, np.array([9, 1, 2, 7, 4, 5, 9], np.uint64)) == (1, 6)
