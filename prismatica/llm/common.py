@@ -50,25 +50,33 @@ def has_rows(df: DataFrame) -> bool:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable vertex of every vertex in ``edges(a, b)``: columns ``node, label``.
 
-    Alternates large-star and small-star steps (each a groupBy on the edge list) until the edge set is stable.  Every step is one
-    shuffle over the edges; hubs are aggregated with a map-side minimum, so no neighbour list is gathered.
+    Alternates large-star and small-star steps until every vertex points straight to its component's smallest one.  Hubs are aggregated
+    with a map-side minimum, so no neighbour list is gathered, and the joins' keys are structs that only they use, so Spark can split
+    a hot hub.
     """
-    work = edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u > v").distinct()
-    work = checkpoint(work)
-    seen = None
-    while True:
-        # large-star: link every larger neighbour of a vertex to the smallest vertex around it
-        both = work.unionAll(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small-star: link the smaller neighbours, and the vertex itself, to the smallest of them
-        large = large.where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        work = checkpoint(small.where("u > v").distinct())
-        now = work.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+    work = checkpoint(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u > v").distinct())
+    while has_rows(_bent(work)):
+        work = checkpoint(_straighter(work))
     labels = work.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.unionAll(labels.select(F.col("label").alias("node"), "label")).distinct()
+    return labels.unionAll(labels.select(F.col("label").alias("node"), "label").distinct())
+
+
+def _bent(edges: DataFrame) -> DataFrame:
+    """Vertices that point to several others, or to one and are pointed to as well."""
+    ends = edges.select(F.explode(F.expr("array(struct(u as node, 1 as out, 0 as into), struct(v as node, 0 as out, 1 as into))")).alias("x")).select("x.*")
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the smallest of u and all v of the same u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.struct("u").alias("key"), F.least("u", "m").alias("m"))
+    return edges.withColumn("key", F.struct("u")).join(least, "key").select("u", "v", "m")
+
+
+def _straighter(edges: DataFrame) -> DataFrame:
+    # large-star: every larger neighbour of a vertex is linked to the smallest vertex around it
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _with_least(both).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # small-star: the smaller neighbours, and the vertex itself, are linked to the smallest of them
+    small = _with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return small.where("u > v").distinct()

@@ -4,11 +4,10 @@ Two permutations of a universe of slots make all signature coordinates: one scat
 shifted circularly by k, gives coordinate k as a minimum.  Equal shingle sets are one vertex.  Documents that share a band's rows are
 candidates; links are confirmed on the full sets.
 
-No pairs are emitted within a bucket at first.  Each member is compared with its bucket's hub (the member that meets most others over
-all bands), best hub first; confirmed links give components.  Only members of a bucket that lie in different components are then
-compared: those outside the bucket's largest component with all of other components, in blocks where a bucket is crowded.  So every
-candidate pair is either confirmed, refuted, or known to be connected already.
-Candidates whose signatures agree in so few places that a link is out of the question (over five standard deviations) are left out.
+No pairs are emitted within a bucket.  Each member is compared with its bucket's hub (its least vertex), which gives most links.  All
+members of one hub's buckets form a group; where a group holds several components, those members outside its largest component are
+compared with all members of other components, in blocks of bounded size.  So every candidate pair is either confirmed, refuted, or
+known to be connected already.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from prismatica.llm.common import checkpoint, connected_components, has_rows, small_batches
 from prismatica.llm.rolling import Rolling, mix, signed
 from prismatica.llm.substring_dedup import word_tokens
@@ -28,8 +28,8 @@ from prismatica.llm.substring_dedup import word_tokens
 ROWS, BANDS = 6, 46
 COORDINATES = ROWS * BANDS
 SLOTS = 1 << 18
-#: Members of a bucket beyond which its pairs are compared in blocks, and queries and members of one block.
-LARGE, QUERIES, GROUP = 16, 256, 2048
+#: Shingles of the queries, and of the members, of one block; a single set may be larger.
+QUERY_SHINGLES, GROUP_SHINGLES = 400_000, 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -70,19 +70,21 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def vertex(shingles: np.ndarray) -> int:
-    """64-bit digest of a whole set."""
+def vertex(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a whole set."""
+    out = []
     with np.errstate(over="ignore"):
-        return int(signed(mix(np.array([mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(shingles))], np.uint64)))[0])
+        for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+            out.append(int(signed(mix(np.array([mix(shingles ^ np.uint64(salt)).sum() + np.uint64(len(shingles))], np.uint64)))[0]))
+    return out[0], out[1]
 
 
 def link_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: id, n_shingles, component_id (least id reachable over links), kept (id = component_id), n_links.
+    """One row for each document: id, n_shingles, component_id (least id reachable over links), kept (id = component_id).
 
     Linked are documents whose intersection holds at least ``similarity`` of the union of their shingle sets.  Documents without
-    words are linked with nothing.  n_links counts the confirmed links of the document's set that were needed, 0 for a set alone.
-    Rows with the same id count as documents of their own; rows with a null id take part, and have a null component_id only where no
-    member has an id.
+    words are linked with nothing.  Rows with the same id count as documents of their own; rows with a null id take part, and have a
+    null component_id only where no member has an id.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -91,171 +93,129 @@ def link_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sizes, keys, bands, marks = [], [], [], []
-            for t in b["text"]:
-                s = shingle_set(t, words)
-                sizes.append(len(s))
-                if len(s):
-                    sig = signature(s)
-                    keys.append(vertex(s))
-                    bands.append(signed(band_keys(sig)))
-                    marks.append(sig.astype(np.uint8).tobytes())
-                else:
-                    keys.append(None), bands.append(None), marks.append(None)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "n_shingles": sizes, "v": pd.array(keys, dtype="Int64"), "bands": bands, "marks": marks})
-
-    made = checkpoint(given.mapInPandas(signatures, "id long, n_shingles long, v long, bands array<long>, marks binary"))
-    sets = made.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    keyed = sets.select("v", F.explode("bands").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(keyed.join(sizes, "bucket"))
-    links = None
+            sets = [shingle_set(t, words) for t in b["text"]]
+            marks = [vertex(s) if len(s) else (None, None) for s in sets]
+            v, w = (pd.array([m[i] for m in marks], dtype="Int64") for i in (0, 1))
+            bands = [signed(band_keys(signature(s))) if len(s) else None for s in sets]
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "v": v, "w": w, "bands": bands})
+
+    made = checkpoint(given.mapInPandas(signatures, "id long, n_shingles long, v long, w long, bands array<long>"))
+    made, clashes = _told_apart(made)
+    found = made.where("v is not null")
+    least = found.groupBy("v").agg(F.min("id").alias("least"))
+    # The joins' keys are structs, not the aggregates' columns: both sides are shuffled for them, so Spark can split a hot key.
+    keyed = found.select("v", "bands").dropDuplicates(["v"]).select("v", F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").count().where("count > 1").select(F.struct("bucket").alias("key"))
+    members = checkpoint(keyed.withColumn("key", F.struct("bucket")).join(shared, "key").drop("key"))
+    labels = None
     if has_rows(members):
-        degree = members.groupBy("v").agg(F.sum(F.col("n") - 1).alias("degree"))
-        marks = sets.join(degree, "v").select("v", "degree", "marks")
-        needed = checkpoint(_with_sets(given, made, degree, words).join(marks, "v"))
-        links = _confirm_links(members, needed, hundredths)
-    if links is None or not has_rows(links):
-        label = made.select("id", "n_shingles", "v", F.col("v").alias("label"), F.lit(0).cast("long").alias("n_links"))
+        hubs = members.groupBy("bucket").agg(F.min("v").alias("hub")).select(F.struct("bucket").alias("key"), "hub")
+        groups = checkpoint(members.withColumn("key", F.struct("bucket")).join(hubs, "key").select("hub", "v").distinct())
+        needed = checkpoint(_with_sets(given, found, groups, words, clashes))
+        labels = _labels(groups, needed, hundredths)
+    if labels is None:
+        known = least.select(F.struct("v").alias("key"), F.col("least").alias("component_id"))
     else:
-        labels = connected_components(links)
-        degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
-        label = made.select("id", "n_shingles", "v").join(labels.withColumnRenamed("node", "v"), "v", "left").join(degree, "v", "left")
-        label = label.select("id", "n_shingles", "v", F.coalesce("label", "v").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    least = label.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
-    full = label.where("label is not null").join(least, "label")
-    none = label.where("label is null").withColumn("component_id", F.col("id"))
-    out = full.select("id", "n_shingles", "component_id", "n_links").unionByName(none.select("id", "n_shingles", "component_id", "n_links"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
-
-
-def _with_sets(given: DataFrame, made: DataFrame, degree: DataFrame, words: int) -> DataFrame:
-    """(v, shingles as packed sorted 64-bit values) of the vertices that met another one; only their texts are shuffled."""
-    wanted = made.where("v is not null").join(degree.select("v"), "v", "left_semi").groupBy("v").agg(F.min("id").alias("id"), F.count("id").alias("n"))
-    texts = given.join(wanted.where("n > 0").select("id").distinct(), "id", "left_semi").select("text")
-    if has_rows(wanted.where("n = 0")):  # sets that only rows without an id have
-        texts = texts.unionAll(given.where("id is null").select("text"))
-
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [s for s in (shingle_set(t, words) for t in b["text"]) if len(s)]
-            yield pd.DataFrame({"v": [vertex(s) for s in found], "shingles": [s.tobytes() for s in found]}, columns=["v", "shingles"])
-
-    return texts.mapInPandas(shingles, "v long, shingles binary").dropDuplicates(["v"])
-
-
-def _confirm_links(members: DataFrame, needed: DataFrame, hundredths: int) -> DataFrame:
-    ranked = members.join(needed.select("v", "degree"), "v")
-    top = F.max(F.struct("degree", F.col("v").alias("hub")))
-    hubs = checkpoint(ranked.groupBy("bucket").agg(top.alias("top")).select("bucket", "top.hub"))
-    pairs = members.join(hubs, "bucket").where("v <> hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
-    likely = checkpoint(_likely(pairs, needed, hundredths))
-    # First only the most similar hub of each vertex, then its other hubs, then all that is still apart.
-    tried = likely.select(F.explode(F.array("a", "b")).alias("v"), "a", "b", "agree").groupBy("v").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = checkpoint(_exact(tried, needed, hundredths))
-    more = _apart(likely.select("a", "b").join(tried, ["a", "b"], "left_anti"), checkpoint(connected_components(links)))
-    links = checkpoint(links.unionAll(_exact(more, needed, hundredths)))
-    labels = checkpoint(connected_components(links))
-    crossing = _likely(_cross_pairs(members.where(F.col("n") <= LARGE), labels).join(likely.select("a", "b"), ["a", "b"], "left_anti"), needed, hundredths)
-    crowded = _block_links(members.where(F.col("n") > LARGE), hubs, labels, needed, hundredths)
-    return checkpoint(links.unionAll(_exact(crossing.select("a", "b"), needed, hundredths)).unionAll(crowded).distinct())
+        joined = labels.join(least, "v")
+        first = joined.groupBy("label").agg(F.min("least").alias("component_id")).select(F.struct("label").alias("key"), "component_id")
+        linked = joined.select("v", F.struct("label").alias("key")).join(first, "key").select("v", "component_id", F.lit(True).alias("linked"))
+        known = least.join(linked, "v", "left").select(F.struct("v").alias("key"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    full = found.select("id", "n_shingles", F.struct("v").alias("key")).join(known, "key").select("id", "n_shingles", "component_id")
+    out = full.unionAll(made.where("v is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that aren't in one component yet."""
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
-    return pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+def _told_apart(made: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose different sets share the first digest get both digests as their vertex; and those first digests, if any."""
+    clashes = made.where("v is not null").groupBy("v").agg(F.min("w").alias("low"), F.max("w").alias("high")).where("low <> high").select("v")
+    if not has_rows(clashes):
+        return made, None
+    clashes = checkpoint(clashes)
+    return checkpoint(_renamed(made, clashes)), clashes
 
 
-def _labelled(members: DataFrame, key: str, labels: DataFrame) -> DataFrame:
-    """Members of the groups that hold more than one component: key, v, label, few (outside the largest component)."""
-    held = members.join(labels.withColumnRenamed("node", "v"), "v", "left").select(key, "v", F.coalesce("label", "v").alias("label"))
-    counted = held.groupBy(key, "label").agg(F.count("*").alias("k"))
-    mixed = counted.groupBy(key).agg(F.count("*").alias("kinds"), F.max(F.struct("k", "label")).alias("top")).where("kinds > 1").select(key, F.col("top.label").alias("main"))
-    return held.join(mixed, key).select(key, "v", "label", (F.col("label") != F.col("main")).alias("few"))
+def _renamed(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    columns = [F.when(F.col("clash"), F.xxhash64("v", "w")).otherwise(F.col("v")).alias("v") if c == "v" else F.col(c) for c in rows.columns]
+    return rows.join(clashes.withColumn("clash", F.lit(True)), "v", "left").select(*columns)
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs over components within small buckets: each member outside the largest component, with all of other components."""
-    held = _labelled(members, "bucket", labels)
-    few = held.where("few").select("bucket", F.col("v").alias("w"), F.col("label").alias("w_label"))
-    return few.join(held, "bucket").where("label <> w_label").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-
-
-def _block_links(members: DataFrame, hubs: DataFrame, labels: DataFrame, needed: DataFrame, hundredths: int) -> DataFrame:
-    """Links over components within crowded buckets, for all buckets of a hub at once.
+def _with_sets(given: DataFrame, found: DataFrame, groups: DataFrame, words: int, clashes: DataFrame | None) -> DataFrame:
+    """(v, n, shingles) of the vertices that met another one; only their texts go through Python."""
+    wanted = found.join(groups.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.min("id").alias("id"), F.count("id").alias("n"))
+    texts = given.join(wanted.where("n > 0").select("id").distinct(), "id", "left_semi").select("text")
+    if has_rows(given.where("id is null")):  # their sets may be no other row's
+        texts = texts.unionAll(given.where("id is null").select("text"))
 
-    The members outside the group's largest component are a query set against all its members, in blocks of both; each block counts
-    the shared shingles of its pairs on one matrix and returns at most one link from a query to each component.
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [s for s in (shingle_set(t, words) for t in b["text"]) if len(s)]
+            yield pd.DataFrame([(*vertex(s), len(s), signed(s)) for s in found], columns=["v", "w", "n", "shingles"])
+
+    sets = texts.mapInPandas(shingles, "v long, w long, n long, shingles array<long>")
+    return (sets if clashes is None else _renamed(sets, clashes)).drop("w").dropDuplicates(["v"])
+
+
+def _labels(groups: DataFrame, needed: DataFrame, hundredths: int) -> DataFrame:
+    """(v, label) of the vertices that are linked with any other; vertices of one component share a label."""
+    a = groups.where("v <> hub").join(needed, "v").select("v", F.struct("hub").alias("key"), "n", "shingles")
+    b = needed.select(F.struct(F.col("v").alias("hub")).alias("key"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_shingles"))
+    common = F.when(F.lit(100) * F.least("n", "hub_n") >= F.lit(hundredths) * F.greatest("n", "hub_n"), F.size(F.array_intersect("shingles", "hub_shingles"))).otherwise(0)
+    pairs = a.join(b, "key").select("v", "key.hub", "n", "hub_n", common.alias("common"))
+    links = checkpoint(pairs.where(F.lit(100) * F.col("common") >= F.lit(hundredths) * (F.col("n") + F.col("hub_n") - F.col("common"))).select("v", "hub"))
+    labels = checkpoint(connected_components(links.select(F.col("v").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("v"), "label"))
+    more = checkpoint(_links_across(groups, needed, labels, hundredths))
+    if not has_rows(more):
+        return labels
+    joined = connected_components(more).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    labels = labels.unionAll(more.select(F.explode(F.array("a", "b")).alias("v")).distinct().select("v", F.col("v").alias("label"))).distinct()
+    labels = labels.join(joined.select(F.struct("label").alias("key"), "to"), labels.label == F.col("key.label"), "left")
+    return checkpoint(labels.select("v", F.coalesce("to", "label").alias("label")).distinct())
+
+
+def _links_across(groups: DataFrame, needed: DataFrame, labels: DataFrame, hundredths: int) -> DataFrame:
+    """Links (a, b) between labels of one group: the members outside its largest component against all its members.
+
+    A group is cut into blocks of queries and of members by the sizes of their sets; each block counts shared shingles in one pass
+    and returns at most one link from a query to each component.
     """
-    held = _labelled(members.join(hubs, "bucket").select("hub", "v").distinct(), "hub", labels)
-    blocks = held.groupBy("hub").agg(F.ceil(F.count_if("few") / QUERIES).cast("int").alias("q"), F.ceil(F.count("*") / GROUP).cast("int").alias("g"))
-    both = held.join(blocks, "hub").join(needed.select("v", "shingles"), "v")
+    held = groups.join(needed.select("v", "n").join(labels, "v", "left"), "v").select("hub", "v", "n", F.coalesce("label", "v").alias("label"))
+    held = checkpoint(held)
+    counted = held.groupBy("hub", "label").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    mixed = counted.groupBy("hub").agg(F.sum("k").alias("k"), F.sum("size").alias("size"), F.max(F.struct("k", "label", "size")).alias("main")).where("main.k < k and k > 2")
+    parts = lambda size, most: F.greatest(F.ceil(size / most), F.lit(1)).cast("int")
+    mixed = mixed.select(F.struct("hub").alias("key"), F.col("main.label").alias("main"), parts(F.col("size") - F.col("main.size"), QUERY_SHINGLES).alias("q"), parts(F.col("size"), GROUP_SHINGLES).alias("g"))
+    rows = checkpoint(held.withColumn("key", F.struct("hub")).join(mixed, "key").select("hub", "v", "label", "main", "q", "g"))
+    both = rows.join(needed.select("v", "shingles"), "v")
     spread = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = both.where("few").select("hub", spread("q").alias("i"), each("g").alias("j"), "v", "label", "shingles", F.lit(True).alias("asks"))
-    all_of = both.select("hub", each("q").alias("i"), spread("g").alias("j"), "v", "label", "shingles", F.lit(False).alias("asks"))
+    # The hub has met all of its group.
+    asks = both.where("label <> main and v <> hub").select("hub", spread("q").alias("i"), each("g").alias("j"), "v", "label", "shingles", F.lit(True).alias("asks"))
+    all_of = both.where("v <> hub").select("hub", each("q").alias("i"), spread("g").alias("j"), "v", "label", "shingles", F.lit(False).alias("asks"))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         queries, group = block[block["asks"]], block[~block["asks"]]
         out: list[tuple[int, int]] = []
         if len(queries) and len(group):
-            sets = [np.frombuffer(x, np.uint64) for x in queries["shingles"]]
-            universe, places = np.unique(np.concatenate(sets), return_inverse=True)
-            inside = np.zeros((len(universe), len(sets)), np.uint8)
-            inside[places, np.repeat(np.arange(len(sets)), [len(x) for x in sets])] = 1
-            sizes, ids, own = np.array([len(x) for x in sets]), queries["v"].to_numpy(), queries["label"].to_numpy()
+            sets = [np.asarray(x) for x in queries["shingles"]]
+            sizes, own = np.array([len(x) for x in sets]), queries["label"].to_numpy()
+            flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            universe, first, times = np.unique(flat[order], return_index=True, return_counts=True)
+            of = of[order]
             linked: set[tuple[int, int]] = set()
-            for v, label, packed in zip(group["v"], group["label"], group["shingles"], strict=True):
-                s = np.frombuffer(packed, np.uint64)
+            for label, s in zip(group["label"], group["shingles"], strict=True):
+                s = np.asarray(s)
                 at = np.minimum(np.searchsorted(universe, s), len(universe) - 1)
-                common = inside[at[universe[at] == s]].sum(axis=0, dtype=np.int64)
+                at = at[universe[at] == s]
+                if not len(at):
+                    continue
+                n = times[at]
+                places = np.repeat(first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(of[places], minlength=len(sets))
                 for q in np.flatnonzero((100 * common >= hundredths * (sizes + len(s) - common)) & (own != label)):
                     if (q, label) not in linked:
                         linked.add((q, label))
-                        out.append((min(v, ids[q]), max(v, ids[q])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return asks.unionAll(all_of).groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long")
-
-
-def _likely(pairs: DataFrame, needed: DataFrame, hundredths: int) -> DataFrame:
-    """(a, b, agree) of the pairs whose signatures agree as often as linked sets may, five and a half deviations below included."""
-    share = hundredths / 100
-    least = int(COORDINATES * (share - 5.5 * (share * (1 - share) / COORDINATES) ** 0.5))
-    for side in ("a", "b"):
-        pairs = pairs.join(needed.select(F.col("v").alias(side), F.col("marks").alias(f"{side}_marks")), side)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            x = np.frombuffer(b"".join(p["a_marks"]), np.uint8).reshape(len(p), -1)
-            y = np.frombuffer(b"".join(p["b_marks"]), np.uint8).reshape(len(p), -1)
-            agree = (x == y).sum(axis=1)
-            keep = agree >= least
-            yield pd.DataFrame({"a": p["a"][keep], "b": p["b"][keep], "agree": agree[keep]})
-
-    return pairs.mapInPandas(compare, "a long, b long, agree int")
-
-
-def _exact(pairs: DataFrame, needed: DataFrame, hundredths: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    for side in ("a", "b"):
-        pairs = pairs.join(needed.select(F.col("v").alias(side), F.col("shingles").alias(f"{side}_set")), side)
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            keep = []
-            for x, y in zip(p["a_set"], p["b_set"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if 100 * small < hundredths * large:
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= hundredths * (len(x) + len(y) - shared))
-            yield p.loc[keep, ["a", "b"]]
+                        out.append((min(label, own[q]), max(label, own[q])))
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
-    return pairs.mapInPandas(confirm, "a long, b long")
+    return asks.unionAll(all_of).groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long").distinct()

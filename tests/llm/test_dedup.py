@@ -71,11 +71,10 @@ def components(sets, hundredths):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("words", "large"), [(2, 16), (2, 1), (5, 16)])
-def test_near_duplicates_equal_brute_force(spark, docs, corpus, words, large, monkeypatch):
-    monkeypatch.setattr(minhash, "LARGE", large)
-    monkeypatch.setattr(minhash, "QUERIES", 3)
-    monkeypatch.setattr(minhash, "GROUP", 4)
+@pytest.mark.parametrize(("words", "block"), [(2, 2_000_000), (2, 200), (5, 200)])
+def test_near_duplicates_equal_brute_force(spark, docs, corpus, words, block, monkeypatch):
+    monkeypatch.setattr(minhash, "QUERY_SHINGLES", block)
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", block)
     got = {r[0]: tuple(r)[1:4] for r in minhash.link_classes(docs, words).collect()}
     sets = {i: set(minhash.shingle_set(t, words).tolist()) for i, t in corpus}
     labels = components(sets, 80)
