@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismatica.llm.bpe import merge_table, tokenizer_path
-from prismatica.llm.common import small_batches
+from prismatica.llm.common import small_batches, names_apart
 
 #: Fixed value: the published pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -121,6 +121,7 @@ def codec(path: str) -> PrefixCodec:
     return PrefixCodec(path)
 
 
+@names_apart(named=("ids", "decoded"))
 def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``ids array<int>`` and ``decoded string`` to every row.
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,45 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def names_apart(*read: str, replaced: tuple[str, ...] = (), named: tuple[str, ...] = ()) -> Callable:
+    """For operators on frames: their internal columns never meet the given frame's.
+
+    Columns that the operator doesn't read (``read``, and the one named by ``text``) are numbered inside and get their names back in the
+    result; those named as its results (``replaced``, and what the arguments ``named`` say) are left out.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        takes = signature(operator)
+
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            given = takes.bind(docs, *args, **options)
+            given.apply_defaults()
+            known = {*read, given.arguments.get("text", "text")}
+            gone = {c.lower() for c in (*replaced, *(given.arguments[n] for n in named))} - {c.lower() for c in known}
+            back = {f"given{i}": c for i, c in enumerate(docs.columns) if c not in known and c.lower() not in gone}
+            inside = {c: i for i, c in back.items()}
+            plain = docs.select(*[quoted(c).alias(inside.get(c, c)) for c in docs.columns if c in known or c in inside])
+            out = operator(plain, *args, **options)
+            return out.select(*[quoted(c).alias(back.get(c, c)) for c in out.columns])
+
+        return run
+
+    return wrap
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismatica.llm.common import small_batches
+from prismatica.llm.common import names_apart, small_batches, unused
 from prismatica.llm.rolling import Rolling, mix
 from prismatica.llm.substring_dedup import word_tokens
 
@@ -159,6 +159,7 @@ def _spread_out(starts: np.ndarray, m: int) -> list[int]:
     return kept
 
 
+@names_apart(named=("leaks",))
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", leaks: str = "leaks") -> DataFrame:
     """Every row with leaks: array of (item_id, start, end, edits), word positions, one for each leaked item, end exclusive.
 
@@ -196,4 +197,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any leak, as they are."""
-    return with_leaks(docs, benchmark, leaks="__leaks").where(F.size("__leaks") == 0).drop("__leaks")
+    leaks = unused(docs, "leaks")
+    return with_leaks(docs, benchmark, leaks=leaks).where(F.size(leaks) == 0).drop(leaks)

@@ -3,8 +3,8 @@
 Each line is good or bad; its features are measures of its own text and of the lines before and after it.  Forward-backward gives
 each line's marginal; their length-weighted mean, calibrated on the training rows, is the document's score.
 
-Training takes a bounded sample: at most ``SAMPLE`` labelled documents (smallest hashes of their text) of at most ``SAMPLE_CHARS``
-characters.  Lines first take their document's label; then lines of bad documents that the field finds good are labelled anew and the
+Training takes a bounded sample: labelled documents of any length by the hash of their text, ``SAMPLE`` of them, or as many of those
+as have ``SAMPLE_CHARS`` characters together.  Lines first take their document's label; then lines of bad documents that the field finds good are labelled anew and the
 field is fitted again.
 """
 
@@ -17,11 +17,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from prismatica.llm.common import small_batches
+from prismatica.llm.common import names_apart, small_batches
 from prismatica.llm.rolling import Rolling, mix
 
-SAMPLE, SAMPLE_CHARS, ROUNDS, STEPS, RIDGE = 2000, 20_000, 3, 120, 1e-3
+SAMPLE, SAMPLE_CHARS, ROUNDS, STEPS, RIDGE = 2000, 50_000_000, 3, 120, 1e-3
 THRESHOLD = 0.3
 #: Characters of texts whose lines are measured at once; arrays of several words a byte stay small.
 BLOCK_CHARS = 400_000
@@ -231,11 +232,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     document the least counts."""
     chosen = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)  # a bounded sample of labelled rows
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("text"), "doc_id").limit(sample).select("text", "quality").collect()
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    order = [F.xxhash64("text"), F.col("doc_id")]
+    rows = texts.join(F.broadcast(ids), "doc_id").orderBy(*order).limit(sample)
+    held = F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample only
+    rows = rows.withColumn("held", held).where(F.col("held") <= SAMPLE_CHARS).select("text", "quality").collect()
     return train([r[0] for r in rows], [int(r[1]) for r in rows])
 
 
+@names_apart(named=("column",))
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """Every row with its score; null and empty texts score as one empty line.  A column named as the result is replaced.  Row-local."""
     small_batches(docs.sparkSession)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismatica.llm.common import checkpoint
+from prismatica.llm.common import checkpoint, names_apart
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -89,6 +89,7 @@ def _found(docs: DataFrame, text: str, keep: list[str], scope: int, told_by: lis
     return rows, found.join(linked, "__key", "left").drop("__weak").withColumn("weak", F.coalesce("weak", empty))
 
 
+@names_apart(replaced=("base", "weak", "n_assign", "n_access", "n_hex"))
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """Every row without its text but with base (array of spans), weak (array of reported weak spans) and n_assign, n_access, n_hex.
 
@@ -100,6 +101,7 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     return _found(docs, text, [c for c in docs.columns if c not in (text, *results)], scope)[1].drop("__key")
 
 
+@names_apart("n_chars")
 def redact(docs: DataFrame, mask: str, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """Every row with all spans of ``scan`` replaced by ``mask`` in its text, overlapping ones by one; a column n_chars counts anew.
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismatica.llm.common import checkpoint, small_batches
+from prismatica.llm.common import checkpoint, names_apart, small_batches
 from prismatica.llm.rolling import BASES, Rolling, covered, runs, signed, sliding_least
 
 K = 16
@@ -81,6 +81,7 @@ def _records(batch: pd.DataFrame) -> Iterator[dict]:
         yield dict(zip(names, values, strict=True))
 
 
+@names_apart("doc_id", replaced=("kept", "n_words", "n_removed", "spans"))
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """Every row with kept (its kept words joined by one space), n_words, n_removed and spans (removed word ranges, end exclusive).
 

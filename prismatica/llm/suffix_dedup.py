@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismatica.llm.common import checkpoint, has_rows, small_batches
+from prismatica.llm.common import checkpoint, has_rows, names_apart, small_batches
 from prismatica.llm.rolling import BASES, Rolling, covered, mix, runs, signed, sliding_least
 
 K = 32
@@ -173,6 +173,7 @@ def _pack(doc: int, th: int, at: int, low: int, high: int, left: bytes) -> bytes
     return struct.pack("<qqiHH", doc, th, at, low, high) + left
 
 
+@names_apart("doc_id", replaced=("data", "lo", "hi"))
 def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     """Every row with data (its UTF-8 bytes) and lo, hi: starts and ends of strings to remove, which may overlap.
 
@@ -303,6 +304,7 @@ def _hot_spans(dealt: DataFrame, hot: DataFrame, window: int) -> DataFrame:
     return made.join(often, ["w1", "w2"]).select("__doc", "__th", "lo", (F.col("lo") + window).alias("hi"))
 
 
+@names_apart("doc_id", replaced=("data", "lo", "hi", "kept", "n_bytes", "n_removed", "n_spans"))
 def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     """Every row of ``repeated_spans`` with kept (remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs)."""
     spans = repeated_spans(docs, window)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismatica.llm.bpe import END, merge_table, tokenizer_path
-from prismatica.llm.common import small_batches
+from prismatica.llm.common import names_apart, small_batches
 
 #: Code points of one chunk.
 CHUNK = 32_768
@@ -194,6 +194,7 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+@names_apart(replaced=("n_bytes", "n_tokens", "over_limit"))
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, text: str = "text") -> DataFrame:
     """Every row with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
