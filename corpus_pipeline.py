@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismatica.llm import bpe_codec, decontaminate, minhash, quality_crf, secret_scan
-from prismatica.llm.common import shared_folder, table
+from prismatica.llm.common import shared_folder, table, unused
 
 MASK = "[redacted]"
 
@@ -28,7 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score at least the threshold; a null text scores as an empty one."""
     # Labels belong to the documents of the input table, so the field is fitted on what this stage was given.
     model = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_crf.score(docs, model, "__score").where(F.col("__score") >= quality_crf.THRESHOLD).drop("__score").select(*docs.columns)
+    score = unused(docs, "score")
+    return quality_crf.score(docs, model, score).where(F.col(score) >= quality_crf.THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +37,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     equal; rows with a null id, and documents without words, always stay."""
     classes = minhash.link_classes(docs.select("doc_id", "text"), words=5, similarity=0.8)
     gone = classes.where("doc_id is not null and component_id is not null and doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that leak no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blanks every reported span out of the texts; documents stay, n_chars counts the new text."""
-    return secret_scan.redact(docs, MASK).select(*docs.columns)
+    return secret_scan.redact(docs, MASK)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
