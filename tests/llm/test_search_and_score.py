@@ -55,14 +55,19 @@ def test_few_neighbours_are_all_found(spark, few):
         assert got == want
 
 
-def test_hashed_neighbours_recall(spark, sf):
-    rows = [(r[0], np.array(r[1], float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+@pytest.mark.parametrize("joined", [1, 2, 3])
+def test_hashed_neighbours_recall(spark, joined, monkeypatch):
+    """Groups of six vectors with cosines of about 0.5 among others with cosines of up to 0.4."""
+    monkeypatch.setattr(cross_polytope, "hashes", lambda members, axes: joined)
+    rng = np.random.default_rng(8)
+    centre = np.repeat(rng.normal(size=(300, 64)), 6, axis=0)
+    rows = list(enumerate(centre + rng.normal(size=centre.shape)))
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
     got = {}
     for r in cross_polytope.nearest(frame, frame.where("vec_id % 50 = 0"), few=0).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hit = sum(len(g & set(_nearest_by_force(rows, q))) for q, g in got.items())
-    assert hit / (5 * len(got)) >= 0.9 and all(len(g) == 5 for g in got.values())
+    assert len(got) == 36 and hit / (5 * len(got)) >= 0.9 and all(len(g) == 5 for g in got.values())
 
 
 def test_transform_is_a_rotation():
