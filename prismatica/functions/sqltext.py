@@ -1,31 +1,14 @@
-"""Structural facets of SQL texts as column expressions, so that a corpus of any size is analysed where it lies.
-
-The expressions read texts by patterns; they don't parse.  Comments and the contents of string literals that could be mistaken for
-keywords are taken out first.  Known limits: nested parentheses inside an aggregate's argument give no column, predicates are those of
-all WHERE clauses, and a table's name is its last part.
-"""
+"""Cleaning of SQL texts and what can be told of them without their tokens, as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Aggregate functions that are recorded, and those that only tell that an item is no dimension.
+#: Aggregate functions that are recorded.
 AGGREGATES = ("sum", "count", "avg", "min", "max", "stddev", "variance")
-OTHER_AGGREGATES = ("median", "count_distinct", "approx_distinct", "any_value", "array_agg")
-
-TABLE = r"(?i)\b(?:from|join)\s+([`\w.\-]+)"
-CTE = r"(?i)(?:\bwith\s+(?:recursive\s+)?|\)\s*,\s*)(\w+)\s+as\s*\("
-CREATED = r"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?([`\w.\-]+)\s+as\b"
-AGGREGATE = r"(?i)\b(sum|count|avg|min|max|stddev|variance)\s*\(\s*(distinct\s+)?(?:([A-Za-z_][\w.]*)\s*\)|)"
-JOIN = r"(?i)\b(?:(left|right|full|inner|cross)\s+)?(?:outer\s+)?join\s+([`\w.\-]+)"
-WINDOW = r"(?i)\bover\s*\("
-CASE = r"(?i)\bcase\b"
-WHERE = r"(?is)\bwhere\b(.*?)(?=\bgroup\s+by\b|\border\s+by\b|\bhaving\b|\blimit\b|\bqualify\b|\bunion\b|\bselect\b|\)\s*(?:,|select\b|$)|$)"
-EQUALITY = r"(?i)([A-Za-z_][\w.]*)\s*=\s*('[^']*'|-?\d+(?:\.\d+)?)"
-FILTER_COLUMN = r"(?i)([A-Za-z_][\w.]*)\)?\s*(?:=|!=|<>|>=|<=|>|<|\bnot\s+in\b|\bin\b|\bbetween\b|\bis\b|\blike\b)"
-GROUP_BY = r"(?is)\bgroup\s+by\s+(.*?)(?=\border\s+by\b|\bhaving\b|\blimit\b|\)|$)"
-DATE_PART = r"(?i)\bextract\s*\(\s*(year|month|quarter|week|day)\s+from\s+([A-Za-z_][\w.]*)\s*\)"
+#: A literal (kept), or a comment; literals come first, so that what looks like a comment inside one stays.
+QUOTED = r"""(?s)('(?:[^'\\]|''|\\.)*'|"(?:[^"\\]|\\.)*")|--[^\n]*|/\*.*?\*/"""
 
 
 def cleaned(sql: Column) -> Column:
@@ -37,91 +20,5 @@ def cleaned(sql: Column) -> Column:
 
 def normalised(sql: Column) -> Column:
     """Without byte order mark, comments, line breaks, and trailing semicolons."""
-    bare = F.regexp_replace(F.regexp_replace(sql, "^\\ufeff", ""), r"(?s)--[^\n]*|/\*.*?\*/", " ")
+    bare = F.regexp_replace(F.regexp_replace(sql, "^\\ufeff", ""), QUOTED, "$1 ")
     return F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), r"[;\s]+$", "")
-
-
-def parse_error(sql: Column) -> Column:
-    """empty_input for blank texts and empty quotes, not_a_query where no SELECT is left, else null."""
-    text = normalised(sql)
-    return F.when(text.isin("", "''", '""', "``") | text.isNull(), "empty_input").when(~text.rlike(r"(?i)\bselect\b"), "not_a_query")
-
-
-def repaired(sql: Column) -> Column:
-    """The statement from its first SELECT, WITH or CREATE on, where scripting statements stand before it."""
-    scripted = normalised(sql).rlike(r"(?i)^(declare|set|begin|call)\b")
-    return F.when(scripted, F.regexp_extract(normalised(sql), r"(?is)\b((?:with|select|create)\b.*)$", 1)).otherwise(normalised(sql))
-
-
-def _last_part(name: Column) -> Column:
-    return F.element_at(F.split(F.regexp_replace(name, "`", ""), r"\."), -1)
-
-
-def ctes(sql: Column) -> Column:
-    return F.regexp_extract_all(sql, F.lit(CTE), F.lit(1))
-
-
-def created(sql: Column) -> Column:
-    return F.transform(F.regexp_extract_all(sql, F.lit(CREATED), F.lit(1)), _last_part)
-
-
-def tables(sql: Column) -> Column:
-    """Tables in the order in which they are first named, without CTEs and created tables; EXTRACT(x FROM y) names none."""
-    bare = F.regexp_replace(sql, DATE_PART, " ")
-    named = F.transform(F.regexp_extract_all(bare, F.lit(TABLE), F.lit(1)), _last_part)
-    return F.array_except(F.array_distinct(named), F.concat(ctes(sql), created(sql)))
-
-
-def aggregations(sql: Column) -> Column:
-    """array<struct<function, column, distinct>> in order; the column is null unless it is the whole argument."""
-    f = F.regexp_extract_all(sql, F.lit(AGGREGATE), F.lit(1))
-    d = F.regexp_extract_all(sql, F.lit(AGGREGATE), F.lit(2))
-    c = F.regexp_extract_all(sql, F.lit(AGGREGATE), F.lit(3))
-    return F.transform(F.arrays_zip(f.alias("f"), d.alias("d"), c.alias("c")), lambda x: F.struct(F.upper(x["f"]).alias("function"), F.nullif(_last_part(x["c"]), F.lit("")).alias("column"), (x["d"] != "").alias("distinct")))
-
-
-def joins(sql: Column) -> Column:
-    """array<struct<position, kind, table>> in order."""
-    kind = F.regexp_extract_all(sql, F.lit(JOIN), F.lit(1))
-    table = F.regexp_extract_all(sql, F.lit(JOIN), F.lit(2))
-    return F.transform(F.arrays_zip(kind.alias("k"), table.alias("t")), lambda x, i: F.struct((i + 1).alias("position"), F.when(x["k"] == "", "inner").otherwise(F.lower(x["k"])).alias("kind"), _last_part(x["t"]).alias("table")))
-
-
-def where_text(sql: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(sql, F.lit(WHERE), F.lit(1)), " and ")
-
-
-def filter_columns(sql: Column) -> Column:
-    """Columns of all predicates, one for each predicate, functions around them peeled off."""
-    bare = F.regexp_replace(where_text(sql), r"(?i)\bextract\s*\(\s*\w+\s+from\s+", "(")
-    return F.transform(F.regexp_extract_all(bare, F.lit(FILTER_COLUMN), F.lit(1)), _last_part)
-
-
-def equality_filters(sql: Column) -> Column:
-    """array<struct<column, value>> of the predicates column = literal; the literal as written."""
-    where = where_text(sql)
-    c, v = (F.regexp_extract_all(where, F.lit(EQUALITY), F.lit(i)) for i in (1, 2))
-    return F.transform(F.arrays_zip(c.alias("c"), v.alias("v")), lambda x: F.struct(_last_part(x["c"]).alias("column"), x["v"].alias("value")))
-
-
-def dimensions(sql: Column) -> Column:
-    """Bare columns of the last GROUP BY."""
-    groups = F.regexp_extract_all(sql, F.lit(GROUP_BY), F.lit(1))
-    items = F.split(F.when(F.size(groups) > 0, F.element_at(groups, -1)).otherwise(F.lit("")), r"\s*,\s*")
-    return F.transform(F.filter(F.transform(items, F.trim), lambda x: x.rlike(r"^[A-Za-z_][\w.]*$")), _last_part)
-
-
-def date_parts(sql: Column) -> Column:
-    unit, column = (F.regexp_extract_all(sql, F.lit(DATE_PART), F.lit(i)) for i in (1, 2))
-    return F.array_distinct(F.transform(F.arrays_zip(unit.alias("u"), column.alias("c")), lambda x: F.struct(_last_part(x["c"]).alias("column"), F.upper(x["u"]).alias("function"))))
-
-
-def complexity(sql: Column) -> Column:
-    """complex: CTE, window or two joins; medium: a join, two aggregates or a CASE; simple; unknown where there is an error."""
-    n_joins, n_aggregates = F.size(joins(sql)), F.size(aggregations(sql))
-    return (
-        F.when(parse_error(sql).isNotNull(), "unknown")
-        .when((F.size(ctes(sql)) > 0) | sql.rlike(WINDOW) | (n_joins >= 2), "complex")
-        .when((n_joins >= 1) | (n_aggregates >= 2) | sql.rlike(CASE), "medium")
-        .otherwise("simple")
-    )

@@ -6,41 +6,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismatica.functions import sqltext as S
 from prismatica.functions.naming import tokens
+from prismatica.operators.statements import statements
 
 
 def fingerprints(corpus: DataFrame) -> DataFrame:
-    """One row for each query, errors as data: facets as arrays, primary_table the first one named."""
-    sql = S.repaired(S.cleaned(F.col("sql")))
-    rows = corpus.withColumn("statement", sql)
-    s = F.col("statement")
-    rows = rows.select("query_id", "prompt", "statement", S.parse_error(F.col("sql")).alias("parse_error"), S.tables(s).alias("tables"), S.ctes(s).alias("ctes"), S.created(s).alias("temp_tables"), S.aggregations(s).alias("aggregations"), S.joins(s).alias("joins"), S.filter_columns(s).alias("filter_columns"), S.equality_filters(s).alias("equality_filters"), S.dimensions(s).alias("dimensions"), S.date_parts(s).alias("date_parts"), F.size(F.regexp_extract_all(s, F.lit(S.CASE), F.lit(0))).alias("n_cases"), s.rlike(S.WINDOW).alias("has_window"), S.complexity(s).alias("complexity"))
-    return rows.withColumn("primary_table", F.get("tables", F.lit(0)))
+    """One row for each query, errors as data: the facets of ``statements``, and what mining reads of them."""
+    rows = statements(corpus).withColumnRenamed("ctes", "cte_parts")
+    return rows.select(
+        "*",
+        F.transform("cte_parts", lambda c: c["alias"]).alias("ctes"),
+        F.transform("created", lambda c: c["alias"]).alias("temp_tables"),
+        F.transform("predicates", lambda p: p["column"]).alias("filter_columns"),
+        F.transform(F.filter("predicates", lambda p: p["scope"] == 0), lambda p: p["column"]).alias("main_filters"),
+        F.size("cases").alias("n_cases"),
+    )
 
 
 def good(prints: DataFrame) -> DataFrame:
     return prints.where("parse_error is null")
 
 
+def table_queries(prints: DataFrame) -> DataFrame:
+    """table, query_id: one row for each table that a query names."""
+    return good(prints).select(F.explode("tables").alias("table"), "query_id")
+
+
 def table_manifest(prints: DataFrame) -> DataFrame:
-    """table, query_count, query_ids: most used first."""
-    found = good(prints).select("query_id", F.explode("tables").alias("table"))
-    return found.groupBy("table").agg(F.count("*").alias("query_count"), F.array_join(F.array_sort(F.collect_set("query_id")), ",").alias("query_ids")).orderBy(F.desc("query_count"), "table")
+    """table, query_count: most used first; the queries themselves are the rows of ``table_queries``."""
+    return table_queries(prints).groupBy("table").agg(F.count("*").alias("query_count")).orderBy(F.desc("query_count"), "table")
+
+
+def structural_filters(prints: DataFrame) -> DataFrame:
+    """table, cte, column, operator, value: what a CTE filters its source tables by, once each."""
+    parts = good(prints).select(F.explode("cte_parts").alias("c")).select("c.alias", "c.filters", F.explode("c.sources").alias("table"))
+    return parts.select("table", F.col("alias").alias("cte"), F.explode("filters").alias("f")).select("table", "cte", "f.column", "f.operator", "f.value").distinct()
 
 
 def table_context(prints: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """Facets of each table over the queries that name it; with metadata (table, coverage) joined and 0 where it is missing."""
+    """Facets of each table over the queries that name it; with metadata (table, coverage) joined and 0 where it is missing.
+
+    Facets are rows until they are distinct, so the arrays of a table hold its vocabulary, however many queries name it.
+    """
     named = good(prints).withColumn("table", F.explode("tables"))
-    context = named.groupBy("table").agg(
-        F.countDistinct("query_id").alias("queries"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("filter_columns")))).alias("filter_columns"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("dimensions")))).alias("dimensions"),
-        F.array_distinct(F.flatten(F.collect_set("aggregations"))).alias("aggregations"),
-        F.array_distinct(F.flatten(F.collect_set("date_parts"))).alias("date_parts"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ctes")))).alias("ctes"),
-        F.sum("n_cases").alias("n_cases"),
+    nothing = F.lit(None).cast("string")
+    plain = lambda facet, values: named.select("table", F.lit(facet).alias("facet"), F.explode(values).alias("column"), nothing.alias("function"), F.lit(False).alias("distinct"))
+    of = lambda facet, values, *fields: named.select("table", F.lit(facet).alias("facet"), F.explode(values).alias("x")).select("table", "facet", *fields)
+    used = of("aggregation", "aggregations", "x.column", "x.function", "x.distinct").unionByName(of("date", "date_parts", "x.column", "x.function", F.lit(False).alias("distinct")))
+    for facet, column in (("filter", "filter_columns"), ("dimension", "dimensions"), ("cte", "ctes"), ("temp", "temp_tables")):
+        used = used.unionByName(plain(facet, column))
+    used = used.unionByName(structural_filters(prints).select("table", F.lit("structural").alias("facet"), "column", nothing.alias("function"), F.lit(False).alias("distinct")))
+    gather = lambda facet, value: F.array_sort(F.collect_list(F.when(F.col("facet") == facet, value)))
+    facets = used.distinct().groupBy("table").agg(
+        *[gather(f, F.col("column")).alias(n) for f, n in (("filter", "filter_columns"), ("dimension", "dimensions"), ("cte", "ctes"), ("temp", "temp_tables"), ("structural", "structural_columns"))],
+        gather("aggregation", F.struct("function", "column", "distinct")).alias("aggregations"),
+        gather("date", F.struct("column", "function")).alias("date_parts"),
     )
+    counts = named.groupBy("table").agg(F.count("*").alias("queries"), F.sum("n_cases").alias("n_cases"), F.max(F.size("joins")).alias("n_joins"))
+    context = counts.join(facets, "table", "left")
+    context = context.select("table", "queries", "n_cases", "n_joins", *[F.coalesce(c, F.array().cast(facets.schema[c].dataType)).alias(c) for c in facets.columns if c != "table"])
     if metadata is not None:
         context = context.join(metadata.select("table", "coverage"), "table", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     return context
@@ -77,14 +101,19 @@ def vocabulary(viewed: DataFrame, least: int = 2) -> DataFrame:
     return counted.join(choices, ["view", "token"]).where((F.col("n") >= least) | (F.col("choices") == 1)).select("view", "token", "column", "n")
 
 
+def signatures(prints: DataFrame) -> DataFrame:
+    """query_id, signature: sorted tables, then sorted joins, of the queries that name at least two tables."""
+    written = F.transform("joins", lambda j: F.concat_ws(" ", j["kind"], j["table"], F.concat_ws("=", j["left_key"], j["right_key"])))
+    return good(prints).where("size(tables) >= 2").select("query_id", F.concat(F.array_join(F.array_sort("tables"), "|"), F.lit(" / "), F.array_join(F.array_sort(written), ", ")).alias("signature"))
+
+
 def join_patterns(prints: DataFrame) -> DataFrame:
-    """signature (sorted tables), support, query_ids of the queries that join at least two tables."""
-    rows = good(prints).where("size(tables) >= 2").select("query_id", F.array_join(F.array_sort("tables"), "|").alias("signature"))
-    return rows.groupBy("signature").agg(F.count("*").alias("support"), F.array_join(F.array_sort(F.collect_set("query_id")), ",").alias("query_ids")).orderBy(F.desc("support"), "signature")
+    """signature, support: most frequent first; the queries themselves are the rows of ``signatures``."""
+    return signatures(prints).groupBy("signature").agg(F.count("*").alias("support")).orderBy(F.desc("support"), "signature")
 
 
 def priorities(prints: DataFrame) -> DataFrame:
-    """table, queries, score = queries x (1 + aggregates + CTEs + cases), place by query count."""
+    """table, queries, score = queries x (1 + aggregates + CTEs + cases), place by query count.  One row for each table is ranked."""
     context = table_context(prints)
     score = F.col("queries") * (1 + F.size("aggregations") + F.size("ctes") + F.col("n_cases"))
     return context.select("table", "queries", score.cast("bigint").alias("score"), F.row_number().over(Window.orderBy(F.desc("queries"), "table")).cast("bigint").alias("place"))
@@ -92,7 +121,7 @@ def priorities(prints: DataFrame) -> DataFrame:
 
 def per_query(context: DataFrame, prints: DataFrame) -> DataFrame:
     """Facets of tables turned back to the queries that use them."""
-    used = good(prints).select("query_id", F.explode("tables").alias("table"))
+    used = table_queries(prints)
     return used.join(context, "table").groupBy("query_id").agg(F.array_sort(F.collect_set("table")).alias("tables"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("filter_columns")))).alias("filter_columns"))
 
 

@@ -122,14 +122,19 @@ def staging_gate(ranked: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """Tables on a cycle of edges(table, needs), by closure of the paths; each round doubles their length."""
-    paths = edges.select("table", "needs").distinct()
-    size = -1
-    while (now := paths.count()) != size:
+    """Tables on a cycle of edges(table, needs), or between two cycles.
+
+    Edges whose table nobody needs, or that need a table without needs, are peeled off until none is left; each round is two semi joins
+    over the edges, so paths are never enumerated.
+    """
+    spark = edges.sparkSession
+    left, size = edges.select("table", "needs").distinct(), -1
+    while (now := left.count()) != size:
         size = now
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.needs") == F.col("b.table")).select("a.table", "b.needs")
-        paths = paths.union(longer).distinct().checkpoint() if paths.sparkSession.sparkContext.getCheckpointDir() else paths.union(longer).distinct().cache()
-    return paths.where(F.col("table") == F.col("needs")).select("table").distinct()
+        left = left.join(left.select(F.col("needs").alias("table")).distinct(), "table", "left_semi").join(left.select(F.col("table").alias("needs")).distinct(), "needs", "left_semi")
+        if spark.sparkContext.getCheckpointDir():
+            left = left.checkpoint()
+    return left.select("table").distinct()
 
 
 def approval_summary(decisions: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def planning_gate(tables: DataFrame, proposed: DataFrame, tokens: DataFrame) ->
 
 def discovery_gate(prints: DataFrame, metadata: DataFrame, least: float = 0.5) -> DataFrame:
     """subject, level, finding: unreadable queries and poorly described tables warn."""
-    unread = prints.where("parse_error is not null").select(F.col("query_id").alias("subject"), F.lit("warn").alias("level"), F.col("parse_error").alias("finding"))
+    unread = prints.where("parse_error is not null").select(F.col("query_id").cast("string").alias("subject"), F.lit("warn").alias("level"), F.col("parse_error").alias("finding"))
     used = prints.where("parse_error is null").select(F.explode("tables").alias("table")).distinct()
     poor = used.join(metadata, "table", "left").where(F.coalesce("coverage", F.lit(0.0)) < least)
     return unread.unionByName(poor.select(F.col("table").alias("subject"), F.lit("warn").alias("level"), F.lit("few columns are described").alias("finding")))
@@ -99,3 +99,100 @@ def sections(texts: DataFrame, tables: DataFrame) -> DataFrame:
     parts = texts.select(F.explode(F.split("text", r"(?m)^(?=## )")).alias("section")).where("section like '## %'")
     words = parts.select("section", F.explode(F.array_distinct(F.regexp_extract_all("section", F.lit(r"(\w+)"), F.lit(1)))).alias("table"))
     return words.join(tables.select("table").distinct(), "table").select("table", F.trim("section").alias("section"))
+
+
+def propose_explores(prints: DataFrame) -> DataFrame:
+    """table, joins, always_filter: each primary table with the joins of its queries, once each, by their position; and "last 90 days" on
+    its first date column by name."""
+    rows = prints.where("parse_error is null and primary_table is not null").withColumnRenamed("primary_table", "table")
+    joins = rows.select("table", "ctes", F.explode("joins").alias("j")).where(~F.array_contains("ctes", F.col("j.table")))
+    joins = joins.groupBy("table", F.col("j.table").alias("right_table"), F.col("j.left_key").alias("left_key"), F.col("j.right_key").alias("right_key"), F.col("j.kind").alias("kind")).agg(F.min("j.position").alias("position"))
+    listed = joins.groupBy("table").agg(F.sort_array(F.collect_list(F.struct("position", "right_table", "left_key", "right_key", "kind"))).alias("joins"))
+    dates = rows.select("table", F.explode("date_parts").alias("d")).groupBy("table").agg(F.min("d.column").alias("date"))
+    out = rows.select("table").distinct().join(listed, "table", "left").join(dates, "table", "left")
+    return out.select("table", F.coalesce("joins", F.array().cast(listed.schema["joins"].dataType)).alias("joins"), F.when(F.col("date").isNotNull(), F.concat("date", F.lit(": last 90 days"))).alias("always_filter"))
+
+
+def baseline_gaps(fields: DataFrame) -> DataFrame:
+    """view, kind, name, gap: what an author has to add to a baseline.
+
+    Dimensions lack descriptions (or have ones under 30 characters), labels and tags; measures a value format (column value_format, if
+    any); a view lacks a primary key where it has dimensions, and has plain dimensions of dates to promote.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    short = ~blank("description") & (F.length(F.trim("description")) < 30)
+    faults = F.array_compact(F.array(F.when(blank("description"), "missing_description").when(short, "short_description"), F.when(blank("label"), "missing_label"), F.when(F.coalesce(F.size("tags"), F.lit(0)) <= 0, "missing_tags")))
+    out = fields.where("kind = 'dimension'").select("view", F.lit("dim").alias("kind"), "name", F.explode(faults).alias("gap"))
+    unformatted = fields.where("kind = 'measure'") if "value_format" not in fields.columns else fields.where((F.col("kind") == "measure") & blank("value_format"))
+    out = out.unionByName(unformatted.select("view", F.lit("measure").alias("kind"), "name", F.lit("missing_value_format").alias("gap")))
+    signs = _signs(fields)
+    views = F.array_compact(F.array(F.when(F.col("plain_dates") > 0, "promote_to_dim_group"), F.when((F.col("dims") > 0) & (F.col("keys") == 0), "missing_primary_key")))
+    return out.unionByName(signs.select("view", F.lit("view").alias("kind"), F.col("view").alias("name"), F.explode(views).alias("gap")))
+
+
+def _signs(fields: DataFrame) -> DataFrame:
+    """view, dims, keys, plain_dates (dimensions that are dates by type or name)."""
+    date = (F.col("kind") == "dimension") & (F.lower("type").isin("date", "date_time", "timestamp", "datetime") | F.lower("name").rlike(r"(_dt|_date|_ts|_timestamp)$"))
+    return fields.groupBy("view").agg(F.count_if(F.col("kind") == "dimension").alias("dims"), F.count_if(F.array_contains("tags", "primary_key")).alias("keys"), F.count_if(date).alias("plain_dates"))
+
+
+def risks(context: DataFrame, structural: DataFrame, fields: DataFrame) -> DataFrame:
+    """table, kind (risk or question), topic, n: what a reviewer has to look at, by rules.
+
+    ``context`` is that of ``corpus.table_context``, ``structural`` the rows of ``corpus.structural_filters``.
+    """
+    filters = structural.groupBy("table").agg(F.count("*").alias("filters"))
+    rows = context.join(_signs(fields).withColumnRenamed("view", "table"), "table", "left").join(filters, "table", "left")
+    keyless = F.col("keys") == 0
+    item = lambda kind, topic, n, when: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(topic).alias("topic"), n.cast("bigint").alias("n")))
+    n_ctes, n_temp = F.size("ctes"), F.size("temp_tables")
+    items = F.array_compact(
+        F.array(
+            item("risk", "no primary key", F.lit(1), keyless),
+            item("risk", "derived views need structural filters", n_ctes, n_ctes > 0),
+            item("risk", "temporary tables may become persistent", n_temp, n_temp > 0),
+            item("risk", "structural filters must be baked in", F.col("filters"), F.col("filters") > 0),
+            item("risk", "dates are plain dimensions", F.col("plain_dates"), F.col("plain_dates") > 0),
+            item("question", "persistent or plain derived tables", n_temp, n_temp > 0),
+            item("question", "relationship of each join", F.col("n_joins"), F.col("n_joins") > 0),
+            item("question", "which column is the primary key", F.lit(1), keyless),
+        )
+    )
+    return rows.select("table", F.explode(items).alias("x")).select("table", "x.*")
+
+
+def needed_and_existing(context: DataFrame, prints: DataFrame, fields: DataFrame, share: float = 0.8) -> DataFrame:
+    """One row for each table: counts of its existing fields, and what its queries need.
+
+    needed_measures as FUNCTION(column), needed_dim_groups (date columns), needed_derived (CTEs), common_filters: columns that at least
+    ``share`` of its queries filter by in their outermost query.
+    """
+    g = prints.where("parse_error is null")
+    uses = g.select("query_id", F.explode("tables").alias("table"), "main_filters")
+    often = uses.select("table", F.explode(F.array_distinct("main_filters")).alias("column")).groupBy("table", "column").agg(F.count("*").alias("k"))
+    often = often.join(context.select("table", "queries"), "table").where(F.col("k") >= share * F.col("queries")).groupBy("table").agg(F.array_sort(F.collect_list("column")).alias("common_filters"))
+    existing = fields.groupBy(F.col("view").alias("table")).agg(F.count_if(F.col("kind") == "dimension").alias("dimensions"), F.count_if(F.col("kind") == "measure").alias("measures"), F.count_if(F.col("kind") == "dimension_group").alias("dim_groups"), (F.count_if(F.array_contains("tags", "primary_key")) > 0).alias("has_key"))
+    written = F.array_sort(F.array_distinct(F.transform("aggregations", lambda a: F.concat(a["function"], F.lit("("), F.coalesce(a["column"], F.lit("*")), F.lit(")")))))
+    rows = context.select("table", written.alias("needed_measures"), F.array_sort(F.array_distinct(F.transform("date_parts", lambda d: d["column"]))).alias("needed_dim_groups"), F.col("ctes").alias("needed_derived"))
+    out = rows.join(often, "table", "left").join(existing, "table", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select("table", zero("dimensions"), zero("measures"), zero("dim_groups"), F.coalesce("has_key", F.lit(False)).alias("has_key"), "needed_measures", "needed_dim_groups", "needed_derived", F.coalesce("common_filters", F.array().cast("array<string>")).alias("common_filters"))
+
+
+def filter_catalog(viewed: DataFrame) -> DataFrame:
+    """table, column, operator, n: the filters that queries put on each table, flattened and tagged with it."""
+    rows = viewed.select(F.col("view").alias("table"), F.explode("predicates").alias("p")).where("p.scope = 0")
+    return rows.groupBy("table", F.col("p.column").alias("column"), F.col("p.operator").alias("operator")).agg(F.count("*").alias("n"))
+
+
+def golden_questions(viewed: DataFrame) -> DataFrame:
+    """table, query_id, question: prompts of the queries of each view."""
+    return viewed.where("trim(prompt) <> ''").select(F.col("view").alias("table"), "query_id", F.trim("prompt").alias("question"))
+
+
+def origins(fields: DataFrame, existing: DataFrame, used: DataFrame, described: DataFrame) -> DataFrame:
+    """view, origin, n: where fields come from: a query (used: view, name), metadata (described: view, name), the baseline, or a guess."""
+    mark = lambda rows, flag: rows.select("view", "name").distinct().withColumn(flag, F.lit(True))
+    told = fields.join(mark(existing, "old"), ["view", "name"], "left").join(mark(used, "asked"), ["view", "name"], "left").join(mark(described, "known"), ["view", "name"], "left")
+    origin = F.when(F.col("old"), "existing_preserved").when(F.col("asked"), "gold_query").when(F.col("known"), "mdm").otherwise("inferred")
+    return told.groupBy("view", origin.alias("origin")).agg(F.count("*").alias("n"))

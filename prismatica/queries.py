@@ -8,28 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismatica import samples
+from prismatica import corpus_queries, samples  # the former registers its queries
 from prismatica.functions import naming, sqltext
 from prismatica.functions.timeframes import TIMEFRAMES, in_year
 from prismatica.operators import corpus, fields, profile, proposals
 from prismatica.plans.explore import build
 from prismatica.plans.model import Dimension, Explore, Join, Measure, Model, Request, View
+from prismatica.registry import ORACLE, QUERIES, query
 from prismatica.sources.corpus import metadata_coverage
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str, name: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        ORACLE[name or f.__name__] = sql
-        return f
-
-    return register
-
-
 def _reader(spark: SparkSession, sf: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -396,44 +383,7 @@ def tokenise(spark, sf):
     return rows.select(F.explode(naming.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-# --- the embedded corpus ----------------------------------------------------------------------------------------------------------
-
-_CORPUS = samples.values(samples.CORPUS, ("query_id", "prompt", "sql"))
-
-
-def _prints(spark):
-    return corpus.fingerprints(spark.createDataFrame(samples.CORPUS, "query_id string, prompt string, sql string"))
-
-
-_TABLES_SQL = (
-    f"c AS (SELECT query_id, REGEXP_REPLACE(sql, '\\s+', ' ', 'g') AS s FROM {_CORPUS}), ctes AS (SELECT query_id, REGEXP_EXTRACT_ALL(s, '(?i)(?:\\bwith\\s+|\\)\\s*,\\s*)(\\w+)\\s+as\\s*\\(', 1) AS names FROM c), "
-    "named AS (SELECT DISTINCT query_id, REGEXP_REPLACE(t, '^.*\\.', '') AS tbl FROM (SELECT query_id, UNNEST(REGEXP_EXTRACT_ALL(REGEXP_REPLACE(s, '(?i)extract\\s*\\([^)]*\\)', ' ', 'g'), '(?i)\\b(?:from|join)\\s+([\\w.]+)', 1)) AS t FROM c)), "
-    "used AS (SELECT n.query_id, n.tbl FROM named n JOIN ctes USING (query_id) WHERE NOT LIST_CONTAINS(names, n.tbl))"
-)
-
-
-@query(f"WITH {_TABLES_SQL} SELECT tbl AS \"table\", COUNT(*) AS query_count, STRING_AGG(query_id, ',' ORDER BY query_id) AS query_ids FROM used GROUP BY tbl")
-def table_manifest(spark, sf):
-    return corpus.table_manifest(_prints(spark))
-
-
-@query(f"WITH {_TABLES_SQL}, t AS (SELECT query_id, STRING_AGG(tbl, '|' ORDER BY tbl) AS signature, COUNT(*) AS k FROM used GROUP BY query_id) SELECT signature, COUNT(*) AS support, STRING_AGG(query_id, ',' ORDER BY query_id) AS query_ids FROM t WHERE k >= 2 GROUP BY signature")
-def join_patterns(spark, sf):
-    return corpus.join_patterns(_prints(spark))
-
-
-@query(f"SELECT query_id, UPPER(f) AS function, COUNT(*) AS n FROM (SELECT query_id, UNNEST(REGEXP_EXTRACT_ALL(sql, '(?i)\\b(sum|count|avg|min|max|stddev|variance)\\s*\\(', 1)) AS f FROM {_CORPUS}) GROUP BY 1, 2")
-def aggregations(spark, sf):
-    return _prints(spark).select("query_id", F.explode("aggregations").alias("a")).groupBy("query_id", F.col("a.function").alias("function")).agg(F.count("*").alias("n"))
-
-
-@query(
-    f"SELECT query_id, CASE WHEN REGEXP_MATCHES(sql, '(?i)\\bwith\\b') OR REGEXP_MATCHES(sql, '(?i)\\bover\\s*\\(') OR j >= 2 THEN 'complex' WHEN j >= 1 OR a >= 2 OR REGEXP_MATCHES(sql, '(?i)\\bcase\\b') THEN 'medium' ELSE 'simple' END AS complexity "
-    f"FROM (SELECT *, LEN(REGEXP_EXTRACT_ALL(sql, '(?i)\\bjoin\\b')) AS j, LEN(REGEXP_EXTRACT_ALL(sql, '(?i)\\b(?:sum|count|avg|min|max|stddev|variance)\\s*\\(')) AS a FROM {_CORPUS})"
-)
-def complexity(spark, sf):
-    return _prints(spark).select("query_id", "complexity")
-
+# --- embedded facets ----------------------------------------------------------------------------------------------------------
 
 def _viewed(spark):
     return spark.createDataFrame(samples.FACETS, "query_id string, view string, dimensions array<string>, aggregations array<struct<function:string,column:string,distinct:boolean>>, filter_columns array<string>, equality_filters array<struct<column:string,value:string>>, prompt string")
@@ -466,17 +416,6 @@ def vocab_cooccurrence(spark, sf):
     return corpus.vocabulary(_viewed(spark))
 
 
-@query(f"WITH {_TABLES_SQL} SELECT tbl AS \"table\", COUNT(*) AS queries, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, tbl) AS place FROM used GROUP BY tbl")
-def priority(spark, sf):
-    return corpus.priorities(_prints(spark)).select("table", "queries", "place")
-
-
-@query(f"WITH {_TABLES_SQL}, m AS (SELECT * FROM (VALUES ('orders', 0.5), ('customer', 1.0)) t(tbl, coverage)) SELECT u.tbl AS \"table\", COUNT(DISTINCT query_id) AS queries, CAST(COALESCE(MAX(coverage), 0) AS DOUBLE) AS coverage FROM used u LEFT JOIN m ON u.tbl = m.tbl GROUP BY u.tbl")
-def corpus_summary(spark, sf):
-    metadata = spark.createDataFrame([("orders", 0.5), ("customer", 1.0)], "table string, coverage double")
-    return corpus.table_context(_prints(spark), metadata).select("table", "queries", "coverage")
-
-
 # --- fields: merge, catalogs, coverage --------------------------------------------------------------------------------------------
 
 _FIELD_COLUMNS = ("view", "kind", "name", "type", "sql", "label", "description", "tags")
@@ -635,11 +574,6 @@ def approval_gate(spark, sf):
     return proposals.approval_gate(spark.createDataFrame([(t,) for t, _ in _REVIEWS], "table string"), _decided(spark))
 
 
-@query(f"WITH {_TABLES_SQL}, m AS (SELECT * FROM (VALUES ('orders', 0.5), ('customer', 0.2)) t(tbl, coverage)) SELECT DISTINCT u.tbl AS subject, 'warn' AS level, 'few columns are described' AS finding FROM used u LEFT JOIN m ON u.tbl = m.tbl WHERE COALESCE(coverage, 0) < 0.5")
-def discovery_gate(spark, sf):
-    return proposals.discovery_gate(_prints(spark), spark.createDataFrame([("orders", 0.5), ("customer", 0.2)], "table string, coverage double"))
-
-
 @query(f"WITH {_PROPOSED} SELECT t AS \"table\", 'no dimension or measure' AS fault FROM (VALUES ('orders'), ('part')) v(t) WHERE t NOT IN (SELECT \"table\" FROM fields WHERE kind IN ('dimension', 'measure')) UNION ALL SELECT NULL, 'too many tokens'")
 def planning_gate(spark, sf):
     return proposals.planning_gate(spark.createDataFrame([("orders",), ("part",)], "table string"), _proposed(spark), spark.createDataFrame([(500_000,), (400_000,)], "tokens int"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
-from prismatica.operators.corpus import field_frequency, fingerprints
+from prismatica.operators.corpus import by_view, field_frequency, fingerprints
 
 
 def new_queries(spark: SparkSession, folder: str, files_a_trigger: int = 1000) -> DataFrame:
@@ -15,7 +16,15 @@ def new_queries(spark: SparkSession, folder: str, files_a_trigger: int = 1000) -
     return rows.select(name.alias("query_id"), name.alias("prompt"), F.col("value").alias("sql"))
 
 
-def running_field_frequency(queries: DataFrame) -> DataFrame:
-    """view, column, n over all queries so far; for output mode complete or update."""
-    prints = fingerprints(queries).where("parse_error is null and primary_table is not null").withColumn("view", F.col("primary_table"))
-    return field_frequency(prints)
+def follow_field_frequency(queries: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Starts a stream that counts the fields of each micro-batch of queries into ``folder``; a repeated batch replaces its counts."""
+
+    def count(batch: DataFrame, number: int) -> None:
+        field_frequency(by_view(fingerprints(batch))).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return queries.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def field_frequency_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """view, column, n over all queries that were counted."""
+    return spark.read.parquet(folder).groupBy("view", "column").agg(F.sum("n").alias("n"))

@@ -1,15 +1,13 @@
 import json
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prismatica import samples
-from prismatica.functions import naming, sqltext
+from prismatica.functions import naming
 from prismatica.operators import corpus, fields, profile
 from prismatica.sources import corpus as source
-from prismatica.streaming.corpus import new_queries, running_field_frequency
+from prismatica.streaming.corpus import field_frequency_so_far, follow_field_frequency, new_queries
 
 
 @pytest.fixture(scope="module")
@@ -18,9 +16,9 @@ def prints(spark):
 
 
 def test_aggregate_and_filter_columns(prints):
-    assert [tuple(a) for a in prints["Q01"]["aggregations"]] == [("SUM", "l_extendedprice", False)]
+    assert [tuple(a)[:3] for a in prints["Q01"]["aggregations"]] == [("SUM", "l_extendedprice", False)]
     assert prints["Q01"]["filter_columns"] == ["l_returnflag", "l_linestatus"]
-    assert [tuple(a) for a in prints["Q07"]["aggregations"]] == [("SUM", "o_totalprice", False), ("COUNT", "o_custkey", True)]
+    assert [tuple(a)[:3] for a in prints["Q07"]["aggregations"]] == [("SUM", "o_totalprice", False), ("COUNT", "o_custkey", True)]
     assert [tuple(d) for d in prints["Q02"]["date_parts"]] == [("o_orderdate", "YEAR")]
 
 
@@ -129,28 +127,34 @@ def test_views_and_relevant_columns(spark):
     assert back.where("query_id = 'Q10'").first()["tables"] == ["lineitem", "nation", "region", "supplier"]
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.sampled_from(["a", "b", "c"]), min_size=1, max_size=3), st.permutations(["t1", "t2", "t3"]))
-def test_pattern_signature_does_not_depend_on_join_order(spark_session, _, order):
-    sql = f"SELECT 1 FROM {order[0]} JOIN {order[1]} ON x = y JOIN {order[2]} ON y = z"
-    one = corpus.join_patterns(corpus.fingerprints(spark_session.createDataFrame([("q", "p", sql)], "query_id string, prompt string, sql string"))).first()
-    assert one["signature"] == "t1|t2|t3"
+def test_pattern_signature_does_not_depend_on_table_order(spark):
+    import itertools
 
-
-@pytest.fixture(scope="module")
-def spark_session(spark):
-    return spark
+    rows = [(str(n), "p", f"SELECT 1 FROM {a} JOIN {b} ON x = y JOIN {c} ON y = z") for n, (a, b, c) in enumerate(itertools.permutations(["t1", "t2", "t3"]))]
+    found = corpus.signatures(corpus.fingerprints(spark.createDataFrame(rows, "query_id string, prompt string, sql string"))).collect()
+    assert {r["signature"].split(" / ")[0] for r in found} == {"t1|t2|t3"} and len(found) == 6
 
 
 def test_growing_corpus(spark, tmp_path):
     for i, (_, _, sql) in enumerate(samples.CORPUS[:5]):
         (tmp_path / f"q{i}.sql").write_text(sql)
-    stream = running_field_frequency(new_queries(spark, str(tmp_path), 2)).writeStream.format("memory").queryName("frequency").outputMode("complete").trigger(availableNow=True).start()
-    stream.awaitTermination(120)
+    follow_field_frequency(new_queries(spark, str(tmp_path), 2), str(tmp_path / "counts"), str(tmp_path / "state")).awaitTermination(240)
     batch = corpus.field_frequency(corpus.by_view(corpus.fingerprints(spark.createDataFrame(samples.CORPUS[:5], "query_id string, prompt string, sql string"))))
-    assert sorted(map(tuple, spark.table("frequency").collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, field_frequency_so_far(spark, str(tmp_path / "counts")).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_filters_of_functions_and_negations(spark):
+    sql = "SELECT a FROM t WHERE LOWER(x) = 'y' AND t.k NOT IN (1, 2) AND z IS NOT NULL AND c = 'a -- b' AND d = 2 GROUP BY a"
+    got = corpus.fingerprints(spark.createDataFrame([("q", "p", sql)], "query_id string, prompt string, sql string")).first()
+    assert [(p["column"], p["operator"], p["value"], p["negated"]) for p in got["predicates"]] == [("x", "=", "'y'", False), ("k", "IN", "(1, 2)", True), ("z", "IS", "NULL", True), ("c", "=", "'a -- b'", False), ("d", "=", "2", False)]
+
+
+def test_comma_joins_literals_and_quoted_names(spark):
+    sql = "SELECT `my col` FROM a, `p-x.d.b c` z WHERE q = 'from here' AND n = (SELECT MAX(n) FROM d)"
+    got = corpus.fingerprints(spark.createDataFrame([("q", "p", sql)], "query_id string, prompt string, sql string")).first()
+    assert got["tables"] == ["a", "b c", "d"] and got["main_filters"] == ["q", "n"]
 
 
-def test_text_facets_on_columns(spark):
-    got = spark.range(1).select(sqltext.filter_columns(F.lit("SELECT a FROM t WHERE LOWER(x) = 'y' AND t.k NOT IN (1, 2) AND z IS NOT NULL GROUP BY a"))).first()[0]
-    assert got == ["x", "k", "z"]
+def test_cycles_are_found_by_peeling(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("c", "e"), ("e", "f")]
+    assert {r[0] for r in fields.cycles(spark.createDataFrame(edges, "table string, needs string")).collect()} == {"a", "b", "c"}
