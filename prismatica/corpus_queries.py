@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from prismatica.operators import corpus, coverage, fields, proposals
 from prismatica.registry import query
 from prismatica.samples import values
+from prismatica.sources.corpus import model_file_kind, numbered, resolve_baselines
 
 TEMPLATES = (
     "SELECT o_orderpriority, SUM(o_totalprice) AS total FROM dw.orders WHERE o_orderstatus = '{S}' AND o_totalprice >= -{P} AND o_comment != 'from here -- where x = 1' GROUP BY o_orderpriority",
@@ -352,3 +353,59 @@ def field_origins(spark, sf):
 @query(f"WITH u AS (SELECT DISTINCT tbl FROM ({_USED})), m AS (SELECT * FROM {values(_DESCRIBED, ('tbl', 'cov'))}) SELECT u.tbl AS subject, 'warn' AS level, 'few columns are described' AS finding FROM u LEFT JOIN m USING (tbl) WHERE COALESCE(cov, 0) < 0.5 UNION ALL SELECT CAST(query_id AS VARCHAR), 'warn', err FROM ({facts(SUMMARY, 'err', 'cls', 'ready')}) WHERE err IS NOT NULL")
 def discovery_gate(spark, sf):
     return proposals.discovery_gate(prints(spark, sf), spark.createDataFrame(_DESCRIBED, "table string, coverage double"))
+
+
+# --- sources, profiles and gates over the tables and the model above ---------------------------------------------------------------
+
+
+@query(f"SELECT 'sql' AS \"column\", AVG(CASE WHEN c_custkey % {len(TEMPLATES)} < 5 THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 25)")
+def sql_column_detection(spark, sf):
+    return corpus.sql_columns(statements_of_customers(spark, sf).orderBy("query_id").select("prompt", "sql"))
+
+
+@query("SELECT c_name, ROW_NUMBER() OVER (ORDER BY c_name) AS number FROM customer")
+def numbered_rows(spark, sf):
+    return numbered(spark.read.parquet(f"{sf}/customer.parquet"), "c_name")
+
+
+@query("SELECT o_orderpriority || '/' || o_orderstatus || k.suffix AS path, k.kind FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders) JOIN (VALUES ('.view.lkml', 'view'), ('.model.lkml', 'model'), ('.explore.lkml', 'explore'), ('.dashboard.lookml', 'dashboard'), ('.lkml', 'lookml'), ('.sql', NULL)) k(suffix, kind) ON true")
+def file_kinds(spark, sf):
+    names = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("name")).distinct()
+    suffixes = F.array(*map(F.lit, (".view.lkml", ".model.lkml", ".explore.lkml", ".dashboard.lookml", ".lkml", ".sql")))
+    paths = names.select("name", F.explode(suffixes).alias("suffix")).select(F.concat("name", "suffix").alias("path"))
+    return paths.select("path", model_file_kind(F.col("path")).alias("kind"))
+
+
+@query("SELECT n_name AS \"table\", 'views/' || n_name || '.view.lkml' AS path FROM nation UNION ALL SELECT r_name, 'old/bq_' || r_name || '.view.lkml' FROM region")
+def baseline_files(spark, sf):
+    nations, regions = (spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(c).alias("table")) for t, c in (("nation", "n_name"), ("region", "r_name")))
+    path = lambda head, t=F.col("table"): F.concat(F.lit(head), t, F.lit(".view.lkml")).alias("path")
+    files = nations.select(path("views/")).unionByName(nations.select(path("old/dw_"))).unionByName(regions.select(path("old/bq_"))).withColumn("head", F.lit(""))
+    return resolve_baselines(nations.unionByName(regions), files)
+
+
+@query("SELECT name, CASE WHEN type = 'time' THEN 'dimension_group' WHEN type IN ('sum', 'min') OR type = 'number' THEN 'measure' ELSE 'dimension' END AS kind FROM " + values([(f[2], f[3]) for f in FIELDS], ("name", "type")))
+def field_kinds(spark, sf):
+    return model(spark)[0].select("name", fields.field_kind(F.col("type")).alias("kind"))
+
+
+@query(
+    "SELECT * FROM (VALUES ('orders', 'fail', 'fields without description', 'descriptions of unusual length'), ('final_dt', 'fail', 'no primary key', 'no measures'), ('lineitem', 'fail', 'no primary key', '')) t(view, status, blocking, warnings)"
+)
+def enrichment_gate(spark, sf):
+    return fields.enrichment_gate(model(spark)[0])
+
+
+@query("SELECT c_custkey, 2.0 / 3 AS share FROM customer")
+def changed_lines(spark, sf):
+    texts = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.concat_ws("\n", "c_name", F.lit("same"), F.lit("old")).alias("a"), F.concat_ws("\n", "c_name", F.lit("new"), F.lit("same")).alias("b"))
+    return texts.select("c_custkey", fields.changed_share(F.col("a"), F.col("b")).alias("share"))
+
+
+@query("SELECT 'c' || c_custkey AS \"table\" FROM customer WHERE c_custkey % 10 < 3 AND c_custkey // 10 * 10 >= 10 AND c_custkey // 10 * 10 + 2 <= (SELECT MAX(c_custkey) FROM customer)")
+def dependency_cycles(spark, sf):
+    """In every ten numbers three that need each other in a ring, and seven in a chain that leads into it."""
+    n = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("n")).where("n >= 10")
+    at = F.col("n") % 10
+    needs = F.when(at < 2, F.col("n") + 1).when(at == 2, F.col("n") - 2).when(at == 3, F.col("n") - 3).otherwise(F.col("n") - 1)
+    return fields.cycles(n.select(F.concat(F.lit("c"), "n").alias("table"), F.concat(F.lit("c"), needs).alias("needs")))

@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """key, number: places from 1 in the order of a key without repeats.
+
+    Keys alone are sorted by ranges and counted within each; only one row for each range meets in one task.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    slim = rows.select(key).repartitionByRange(key).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("range"), place.alias("place"))
+    so_far = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = slim.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
+    return slim.join(before, "range").select(key, (F.col("before") + F.col("place") + 1).alias("number"))
+
+
 def sql_files(spark: SparkSession, folder: str) -> DataFrame:
     """query_id (Q01, ... by file name), prompt, sql: one row for each *.sql file; an error if there is none."""
     files = spark.read.text(f"{folder}/*.sql", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("sql"))
-    number = F.row_number().over(Window.orderBy("file"))
-    return files.select(F.format_string("Q%02d", number).alias("query_id"), F.regexp_replace("file", r"\.sql$", "").alias("prompt"), "sql")
+    return files.join(numbered(files, "file"), "file").select(F.format_string("Q%02d", "number").alias("query_id"), F.regexp_replace("file", r"\.sql$", "").alias("prompt"), "sql")
 
 
 def sheet(spark: SparkSession, path: str, prompt: str, sql: str, difficulty: str | None = None, natural_id: str | None = None) -> DataFrame:
@@ -32,8 +43,8 @@ def sheet(spark: SparkSession, path: str, prompt: str, sql: str, difficulty: str
     rows = rows.withColumn("__n", F.monotonically_increasing_id())
     found = rows.select(column(natural_id).alias("id"), column(prompt).alias("prompt"), column(sql).alias("sql"), column(difficulty).alias("difficulty"), "__n")
     found = found.where((F.trim(F.coalesce("prompt", F.lit(""))) != "") | (F.trim(F.coalesce("sql", F.lit(""))) != ""))
-    number = F.row_number().over(Window.orderBy("__n"))
-    return found.select(F.coalesce("id", F.format_string("q_%04d", number)).alias("query_id"), "prompt", "sql", "difficulty")
+    found = found.join(numbered(found, "__n"), "__n")
+    return found.select(F.coalesce("id", F.format_string("q_%04d", "number")).alias("query_id"), "prompt", "sql", "difficulty")
 
 
 #: The metadata service's answer: one list element for each table.
