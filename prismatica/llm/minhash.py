@@ -79,17 +79,18 @@ def vertex(shingles: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def link_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def link_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text", text_hash: str | None = None) -> DataFrame:
     """One row for each document: id, n_shingles, component_id (least id reachable over links), kept (id = component_id).
 
     Linked are documents whose intersection holds at least ``similarity`` of the union of their shingle sets.  Documents without
     words are linked with nothing.  Rows with the same id count as documents of their own; rows with a null id take part, and have a
-    null component_id only where no member has an id.
+    null component_id only where no member has an id.  A column ``text_hash`` (xxhash64 of the text), if named, tells rows of one id apart.
     """
     spark = docs.sparkSession
     small_batches(spark)
     hundredths = round(similarity * 100)
     given = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    hashed = given.withColumn("hash", F.xxhash64("text"))
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -97,9 +98,9 @@ def link_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
             marks = [vertex(s) if len(s) else (None, None) for s in sets]
             v, w = (pd.array([m[i] for m in marks], dtype="Int64") for i in (0, 1))
             bands = [signed(band_keys(signature(s))) if len(s) else None for s in sets]
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "v": v, "w": w, "bands": bands})
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "hash": b["hash"], "n_shingles": [len(s) for s in sets], "v": v, "w": w, "bands": bands})
 
-    made = checkpoint(given.mapInPandas(signatures, "id long, n_shingles long, v long, w long, bands array<long>"))
+    made = checkpoint(hashed.mapInPandas(signatures, "id long, hash long, n_shingles long, v long, w long, bands array<long>"))
     made, clashes = _told_apart(made)
     found = made.where("v is not null")
     least = found.groupBy("v").agg(F.min("id").alias("least"))
@@ -120,9 +121,9 @@ def link_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
         first = joined.groupBy("label").agg(F.min("least").alias("component_id")).select(F.struct("label").alias("key"), "component_id")
         linked = joined.select("v", F.struct("label").alias("key")).join(first, "key").select("v", "component_id", F.lit(True).alias("linked"))
         known = least.join(linked, "v", "left").select(F.struct("v").alias("key"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    full = found.select("id", "n_shingles", F.struct("v").alias("key")).join(known, "key").select("id", "n_shingles", "component_id")
-    out = full.unionAll(made.where("v is null").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = found.select("id", "hash", "n_shingles", F.struct("v").alias("key")).join(known, "key").select("id", "hash", "n_shingles", "component_id")
+    out = full.unionAll(made.where("v is null").select("id", "hash", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("hash").alias(text_hash)] if text_hash else []))
 
 
 def _told_apart(made: DataFrame) -> tuple[DataFrame, DataFrame | None]:

@@ -46,3 +46,12 @@ def test_stages_on_empty_and_null_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         docs.collect()
+
+
+def test_a_copy_goes_and_other_texts_of_its_id_stay(spark, sf):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, words, "en", "s", 1), (5, "some other text of six words", "en", "s", 1), (3, words.upper(), "en", "s", 1), (None, words, "en", "s", 1), (9, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").schema)
+    out = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, ((r[0], r[1]) for r in rows[1:])))
