@@ -4,8 +4,7 @@ Every stage works on all that its predecessor kept.  The first four return the c
 token ids and the text decoded from them.  The steps, in order:
 
 1. quality: documents that the classifier scores under its threshold go; it learns from labels that are not held out.
-2. near_duplicates: of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id stays, of
-   rows with the same id all that stand for the group.
+2. near_duplicates: of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id stays.
 3. decontamination: documents that leak a benchmark item go.
 4. secrets: spans that the scan reports are blanked out of the text.
 5. bpe: token ids of the remaining text, and the text decoded from them.
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismatica.llm import bpe_codec, decontaminate, minhash, quality_crf, secret_scan
-from prismatica.llm.common import shared_folder, table, unused
+from prismatica.llm.common import quoted, shared_folder, table, unused
 
 MASK = "[redacted]"
 
@@ -33,11 +32,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one with the least id.  Rows with the same id are one document where their texts are
-    equal; rows with a null id, and documents without words, always stay."""
-    classes = minhash.link_classes(docs.select("doc_id", "text"), words=5, similarity=0.8)
-    gone = classes.where("doc_id is not null and component_id is not null and doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Keeps one document of each group, the one with the least id; of rows with the same id and the same text, all or none.  Rows with
+    a null id, and documents without words, always stay."""
+    text_hash = unused(docs, "text_hash")
+    classes = minhash.link_classes(docs.select("doc_id", "text"), words=5, similarity=0.8, text_hash=text_hash)
+    gone = classes.where("doc_id is not null and component_id is not null and doc_id > component_id").select("doc_id", text_hash).distinct()
+    return docs.withColumn(text_hash, F.xxhash64("text")).join(gone, ["doc_id", text_hash], "left_anti").select(*map(quoted, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
