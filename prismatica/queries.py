@@ -429,12 +429,14 @@ _B, _E = samples.values(samples.BASELINE, _FIELD_COLUMNS), samples.values(sample
 
 
 @query(
-    "SELECT COALESCE(b.view, e.view) AS view, COALESCE(b.kind, e.kind) AS kind, COALESCE(b.name, e.name) AS name, CASE WHEN b.name IS NULL THEN e.sql ELSE b.sql END AS sql, COALESCE(NULLIF(b.label, ''), e.label, b.label) AS label, "
+    "SELECT COALESCE(b.view, e.view) AS view, COALESCE(b.kind, e.kind) AS kind, COALESCE(b.name, e.name) AS name, CASE WHEN b.name IS NULL THEN e.sql ELSE b.sql END AS sql, CASE WHEN b.name IS NULL THEN e.type ELSE b.type END AS type, "
+    "ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(LIST_FILTER(LIST_CONCAT(STRING_SPLIT(COALESCE(b.tags, ''), ','), STRING_SPLIT(COALESCE(e.tags, ''), ',')), lambda t: t <> ''))), ',') AS tags, COALESCE(NULLIF(b.label, ''), e.label, b.label) AS label, "
     "CASE WHEN b.name IS NOT NULL AND e.name IS NOT NULL AND LENGTH(COALESCE(b.description, '')) < 30 THEN COALESCE(NULLIF(e.description, ''), b.description) ELSE COALESCE(b.description, e.description) END AS description "
     f"FROM (SELECT * FROM {_B}) b FULL JOIN (SELECT * FROM {_E}) e ON b.view = e.view AND b.kind = e.kind AND b.name = e.name"
 )
 def merge_fields(spark, sf):
-    return fields.merge_fields(_fields(spark, samples.BASELINE), _fields(spark, samples.ENRICHED)).drop("type", "tags")
+    merged = fields.merge_fields(_fields(spark, samples.BASELINE), _fields(spark, samples.ENRICHED))
+    return merged.withColumn("tags", F.array_join(F.array_sort("tags"), ","))
 
 
 @query(
@@ -445,10 +447,10 @@ def merge_ledger(spark, sf):
     return fields.overwrites(_fields(spark, samples.BASELINE), _fields(spark, samples.ENRICHED))
 
 
-@query(f"SELECT view || '.' || name AS metric, MIN(type) AS type FROM (SELECT * FROM {_B} UNION ALL SELECT * FROM {_E}) WHERE kind = 'measure' GROUP BY 1")
+@query(f"SELECT view || '.' || name AS metric, type, sql, label FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY view, name ORDER BY label, sql) AS p FROM (SELECT * FROM {_B} UNION ALL SELECT * FROM {_E}) WHERE kind = 'measure') WHERE p = 1")
 def metric_catalog(spark, sf):
     both = _fields(spark, samples.BASELINE).unionByName(_fields(spark, samples.ENRICHED))
-    return fields.metric_catalog(both).select("metric", "type")
+    return fields.metric_catalog(both)
 
 
 @query(
