@@ -7,8 +7,8 @@ common prefixes and never compares them again.  The merge yields the common pref
 split by their left context byte by byte only where it differs; a window is repeated if, among suffixes with its left part, a
 neighbour shares its right part.
 
-Windows that repeat within one text are settled there, and only their first occurrence goes on.  A k-mer with more than ``HOT``
-suffixes isn't gathered: its windows are counted by 128-bit digests.
+Texts are told apart, and copies known, by 128-bit digests.  Windows that repeat within one text are settled there, and only their
+first occurrence goes on.  A k-mer with more than ``HOT`` suffixes isn't gathered: its windows are counted by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ K = 32
 HOT = 50_000
 #: Suffixes for each merging task, and bytes of a sorted run before it is sent.
 SUFFIXES_A_TASK, RUN_BYTES = 25_000, 24_000_000
+#: Where a suffix stands: id and 128-bit digest of its text, position, least and most left length.
+PLACE = "<q16siII"
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -73,7 +75,7 @@ def front_coded(entries: list[tuple[bytes, bytes]]) -> bytes:
     out, before = [], b""
     for suffix, payload in entries:
         common = shared(before, suffix)
-        out.append(struct.pack("<HHH", common, len(suffix) - common, len(payload)))
+        out.append(struct.pack("<III", common, len(suffix) - common, len(payload)))
         out.append(suffix[common:])
         out.append(payload)
         before = suffix
@@ -84,8 +86,8 @@ def decoded(run: bytes) -> Iterator[tuple[bytes, int, bytes]]:
     """(suffix, length shared with the one before, payload)."""
     at, before = 0, b""
     while at < len(run):
-        common, rest, size = struct.unpack_from("<HHH", run, at)
-        at += 6
+        common, rest, size = struct.unpack_from("<III", run, at)
+        at += 12
         before = before[:common] + run[at : at + rest]
         at += rest
         yield before, common, run[at : at + size]
@@ -169,8 +171,8 @@ def repeated_lengths(members: list[tuple[bytes, int, int, int, int]], window: in
     return found
 
 
-def _pack(doc: int, th: int, at: int, low: int, high: int, left: bytes) -> bytes:
-    return struct.pack("<qqiHH", doc, th, at, low, high) + left
+def _pack(doc: int, th: bytes, at: int, low: int, high: int, left: bytes) -> bytes:
+    return struct.pack(PLACE, doc, th, at, low, high) + left
 
 
 @names_apart("doc_id", replaced=("data", "lo", "hi"))
@@ -183,7 +185,7 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("text", "data", "lo", "hi")]
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__doc"), F.xxhash64("text").alias("__th"), F.col("text").cast("string").cast("binary").alias("__data"), *[F.col(f"`{c}`") for c in keep])
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__doc"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("__th"), F.col("text").cast("string").cast("binary").alias("__data"), *[F.col(f"`{c}`") for c in keep])
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -195,7 +197,7 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
             yield pd.DataFrame(rows, columns=["__doc", "__th", "head", "at", "low", "high", "local_from", "local_to"])
 
     ints = "array<int>"
-    texts = checkpoint(base.select("__doc", "__th", "__data").where(F.octet_length("__data") >= window).mapInPandas(nodes, f"__doc long, __th long, head array<long>, at {ints}, low {ints}, high {ints}, local_from {ints}, local_to {ints}"))
+    texts = checkpoint(base.select("__doc", "__th", "__data").where(F.octet_length("__data") >= window).mapInPandas(nodes, f"__doc long, __th binary, head array<long>, at {ints}, low {ints}, high {ints}, local_from {ints}, local_to {ints}"))
     # Copies: all their bytes go; the one with the least id stands for them.
     # The join's key is a struct, not the aggregate's column: both of its sides are shuffled for it, so Spark can split a hot group.
     alike = F.struct("__th").alias("alike")
@@ -239,7 +241,7 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in ("__doc", "__th", "lo", "hi")}
         members: list[tuple[bytes, int, int, int, int]] = []
-        places: list[list[tuple[int, int, int]]] = []
+        places: list[list[tuple[int, bytes, int]]] = []
         before = b""
 
         def settle() -> None:
@@ -251,8 +253,8 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
             members.clear(), places.clear()
 
         for suffix, common, payload in merged([decoded(r) for r in group["run"]]):
-            doc, th, at, low, high = struct.unpack_from("<qqiHH", payload)
-            left = payload[24:]
+            doc, th, at, low, high = struct.unpack_from(PLACE, payload)
+            left = payload[struct.calcsize(PLACE) :]
             if suffix[:K] != before[:K]:
                 settle()
             if members and suffix == before and left == members[-1][0] and (low, high) == members[-1][1:3]:
@@ -267,7 +269,7 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
         settle()
         return pd.DataFrame(out)
 
-    spans = here.mapInPandas(sorted_runs, "task int, run binary").groupBy("task").applyInPandas(merge, "__doc long, __th long, lo int, hi int")
+    spans = here.mapInPandas(sorted_runs, "task int, run binary").groupBy("task").applyInPandas(merge, "__doc long, __th binary, lo int, hi int")
     hot = known.where(F.col("n") > HOT)
     if has_rows(hot):
         spans = spans.unionByName(_hot_spans(dealt, hot, window))
@@ -299,7 +301,7 @@ def _hot_spans(dealt: DataFrame, hot: DataFrame, window: int) -> DataFrame:
                 s = np.unique(np.concatenate([np.arange(a - h, a - w + 1) for a, w, h in zip(at, low, high, strict=True)]))
                 yield pd.DataFrame({"__doc": doc, "__th": th, "lo": s, "w1": signed(Rolling(tokens).slices(s, s + window)), "w2": signed(Rolling(tokens, BASES[1]).slices(s, s + window))})
 
-    made = here.mapInPandas(digests, "__doc long, __th long, lo int, w1 long, w2 long")
+    made = here.mapInPandas(digests, "__doc long, __th binary, lo int, w1 long, w2 long")
     often = made.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return made.join(often, ["w1", "w2"]).select("__doc", "__th", "lo", (F.col("lo") + window).alias("hi"))
 

@@ -42,6 +42,13 @@ def test_byte_strings_equal_brute_force(spark, corpus, monkeypatch, hot):
     assert suffix_dedup.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_long_windows(spark):
+    text = "".join(random.Random(3).choices("abcdef ", k=150_000))
+    rows = [(1, text), (2, "x" + text[:90_000]), (3, "short")]
+    got = sorted(tuple(r)[:4] for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"), window=70_000).collect())
+    assert got == [(1, 150_000, 90_000, 1), (2, 90_001, 90_000, 1), (3, 5, 0, 0)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6), max_size=12), max_size=7))
 def test_loser_tree_merges_and_knows_common_prefixes(runs):
