@@ -207,10 +207,13 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, te
     results = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in docs.columns if c not in (text, *results)]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"), F.octet_length(whole).cast("long").alias("n_bytes"))
-    last = F.greatest(F.lit(0), F.floor((F.length("__text") - 1) / CHUNK)).cast("int")
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "__text", F.explode(F.sequence(F.lit(0), last)).alias("__chunk"), last.alias("__last"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "__chunk", "__last", F.substring(F.col("__text"), F.col("__chunk") * CHUNK + 1, F.lit(CHUNK)).alias("__piece"))
+    others = [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*others, whole.alias("__text"), F.octet_length(whole).cast("long").alias("n_bytes"))
+    # One pass over a long text makes all its pieces; a possessive quantifier needs no stack.
+    cut = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
+    pieces = F.when(F.col("n_bytes") <= CHUNK, F.array("__text")).otherwise(cut)
+    rows = rows.select(*others, "n_bytes", pieces.alias("__pieces"))
+    rows = rows.select(*others, "n_bytes", (F.size("__pieces") - 1).alias("__last"), F.posexplode("__pieces").alias("__chunk", "__piece"))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

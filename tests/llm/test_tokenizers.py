@@ -76,3 +76,11 @@ def test_count_frame(spark, docs, corpus, library, monkeypatch):
     want = [(i, len((t or "").encode()), n := len(library["word_bpe_49k.json"].encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in corpus]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert token_counts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_count_frame_of_long_texts(spark, library):
+    """Widths that change at every character, over several chunks, with and without white space."""
+    rnd = random.Random(6)
+    texts = ["😀a中" * 40_000, "".join(rnd.choices("😀a é中\n1", k=200_000)), " " * 70_000, "x" * token_counts.CHUNK, "x " * token_counts.CHUNK]
+    got = {r[0]: r[2] for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_bytes", "n_tokens").collect()}
+    assert got == {i: len(library["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
