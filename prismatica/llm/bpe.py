@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def special_strings(path: str) -> list[str]:
+    """Strings that the vocabulary takes out of texts before all else."""
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
 def byte_alphabet() -> dict[str, int]:
     """Characters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from U+0100 up."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]

@@ -2,29 +2,38 @@
 
 States hold what the greedy merge encoding of a word can still depend on: the longest suffix read so far that begins some vocabulary
 token, with the last token and the relative token count at each of its positions.  Pre-token boundaries are states too.  Each
-transition is annotated with the number of tokens it emits (less than 0 where a merge takes tokens back).  A long text is read in
-chunks: the map of a chunk from entry state to exit state and count has a head (before its first white space, whose reading depends
-on the entry state), a constant middle, and a tail (after its last white space, which fixes the exit state).  Maps compose
-associatively, and a prefix scan over the chunks of a text gives its total.
+transition is annotated with the number of tokens it emits (less than 0 where a merge takes tokens back).
+
+A long text is read in chunks, by tasks of their own.  A chunk's map leads from entry states to exit states and counts.  It starts with
+the one entry that the end of the chunk before suggests; every exit of a chunk that the next one has no entry for is then read by that
+one too, until the maps are closed.  The states of a text are finitely many, so this ends.  Closed maps compose associatively, and a
+prefix scan over blocks of chunks, again in tasks, gives the text's total.
 """
 
 from __future__ import annotations
 
+import ast
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismatica.llm.bpe import END, merge_table, tokenizer_path
-from prismatica.llm.common import names_apart, small_batches
+from prismatica.llm.bpe import END, merge_table, special_strings, tokenizer_path
+from prismatica.llm.common import checkpoint, has_rows, names_apart, small_batches
 
-#: Code points of one chunk.
+#: Code points of one chunk; it goes on to the next place where a text may be cut.
 CHUNK = 32_768
-SPACE = re.compile(r"[ \t\n\r\f\v]")
+#: Code points before a chunk from which its entry state is guessed.
+BACK = 256
+#: Chunks, or blocks of them, that one step of the scan composes.
+FAN = 64
+#: Characters before which a text may be cut, for java.util.regex: normalisation never joins them with what comes before.
+CUT_BEFORE = r"[\p{L}\p{N}\p{P}\p{S}\p{Z}\x00-\x7f&&[^\u1100-\u11ff\x{16d40}-\x{16d7f}]]"
 #: Contractions that the vocabulary's pre-token pattern cuts off, by the letters after the apostrophe.
 CONTRACTIONS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
 
@@ -35,13 +44,15 @@ BETWEEN, LETTERS, OTHER, APOSTROPHE, HALF = range(5)
 class Transducer:
     """``limit`` bounds the compiled transitions; the table is emptied and compiled anew when full."""
 
+    empty = ("", ((-1, 0),))  # nothing read of a word: one position, no token before it
+    START = (BETWEEN, empty, "")
+
     def __init__(self, path: str, limit: int = 250_000):
         self.table, self.limit, self.size = merge_table(path), limit, 0
         self.begins = {s[:n] for s in self.table.ids for n in range(1, len(s))}  # what a longer token can begin with
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.table.specials, key=len, reverse=True)) or "(?!)")
         self.rows: dict[tuple, dict] = {}
-        self.empty = ("", ((-1, 0),))  # nothing read of a word: one position, no token before it
-        self.start = self.row((BETWEEN, self.empty, ""))
+        self.start = self.row(self.START)
 
     def row(self, state: tuple) -> dict:
         found = self.rows.get(state)
@@ -131,62 +142,52 @@ class Transducer:
         row[ch] = found = (self.row(state), emitted)
         return found
 
+    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """Exit state and count of a text that is entered in ``state``; special strings stand between words."""
+        row, total, compile_ = self.row(state), 0, self.compile
+        for i, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
+            if i:
+                row, n = row.get("") or compile_(row, "")
+                total += n + 1
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+            for ch in part.lower():
+                found = row.get(ch)
+                if found is None:
+                    found = compile_(row, ch)
+                row, n = found
+                total += n
+        return row[None], total
+
+    def run_to_end(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """The same where the text ends."""
+        state, n = self.run(state, text)
+        state, m = self.step(state, "")
+        return state, n + m
+
     def count(self, text: str) -> int:
-        """Tokens of a text that starts and ends between pre-tokens."""
-        if "<|" in text and self.special.search(text):
-            parts, n = self.special.split(text), 0
-            return sum(map(self.count, parts)) + len(parts) - 1
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        row, total, compile_ = self.start, 0, self.compile
-        for ch in text:
-            found = row.get(ch)
-            if found is None:
-                found = compile_(row, ch)
-            row, n = found
-            total += n
-        found = row.get("") or compile_(row, "")
-        return total + found[1]
+        """Tokens of a whole text."""
+        return self.run_to_end(self.START, text)[1]
 
 
 def is_space(ch: str) -> bool:
     return ch.isspace() and ch not in "\x1c\x1d\x1e\x1f"
 
 
-class ChunkMap:
-    """What a chunk does to a count: ``head`` still depends on what comes before, ``tail`` on what follows; None: no white space."""
-
-    __slots__ = ("count", "head", "tail")
+#: What a chunk does to the states it was entered in, written as text: exit state and count of each.
+ChunkMap = dict[str, tuple[str, int]]
 
-    def __init__(self, head: str, count: int = 0, tail: str | None = None):
-        self.head, self.count, self.tail = head, count, tail
 
+def compose(a: ChunkMap, b: ChunkMap) -> ChunkMap:
+    """The map of two neighbours, for the entries of the first that the second has an entry for."""
+    return {entry: (b[exit][0], n + b[exit][1]) for entry, (exit, n) in a.items() if exit in b}
 
-def chunk_map(machine: Transducer, text: str) -> ChunkMap:
-    first = SPACE.search(text)
-    if first is None:
-        return ChunkMap(text)
-    last = max(text.rfind(c) for c in " \t\n\r\f\v")
-    return ChunkMap(text[: first.start()], machine.count(text[first.start() : last]), text[last:])
 
-
-def compose(machine: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-    if a.tail is None:
-        return ChunkMap(a.head + b.head, b.count, b.tail)
-    if b.tail is None:
-        return ChunkMap(a.head, a.count, a.tail + b.head)
-    return ChunkMap(a.head, a.count + machine.count(a.tail + b.head) + b.count, b.tail)
-
-
-def scan_total(machine: Transducer, maps: list[ChunkMap]) -> int:
-    """The up-sweep of a prefix scan: neighbours are composed pairwise until one map is left, which is closed on both sides."""
-    while len(maps) > 1:
-        maps = [compose(machine, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    whole = maps[0]
-    if whole.tail is None:
-        return machine.count(whole.head)
-    return machine.count(whole.head) + whole.count + machine.count(whole.tail)
+def cut_pattern(specials: list[str]) -> str:
+    """One chunk, for java.util.regex: CHUNK code points, and then all up to the next place outside special strings where a text may
+    be cut.  Possessive quantifiers need no stack."""
+    inside = "".join(rf"|(?<=\Q{s[:i]}\E)(?=\Q{s[i:]}\E)" for s in specials for i in range(1, len(s)))
+    return f"(?s).{{1,{CHUNK}}}+(?:(?:(?!{CUT_BEFORE}){inside}).)*+"
 
 
 @lru_cache(maxsize=1)
@@ -198,46 +199,78 @@ def transducer(path: str) -> Transducer:
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, text: str = "text") -> DataFrame:
     """Every row with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
-    A null text counts as empty (0 bytes, 0 tokens); repeated rows stay; columns named as the results are replaced.  Texts stream
-    through as rows of at most CHUNK code points that follow each other in one partition, so nothing is shuffled and Python holds no
-    long text whole, except where it has no white space.
+    A null text counts as empty (0 bytes, 0 tokens); repeated rows stay; columns named as the results are replaced.  Texts of at most
+    CHUNK bytes are counted where they lie.  Longer ones go in chunks, equal texts once, to tasks that know nothing of each other, so
+    Python holds no long text whole.  A run of combining marks is never cut.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
     small_batches(docs.sparkSession)
     results = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in docs.columns if c not in (text, *results)]
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     others = [F.col(f"`{c}`") for c in keep]
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(*others, whole.alias("__text"), F.octet_length(whole).cast("long").alias("n_bytes"))
-    # One pass over a long text makes all its pieces; a possessive quantifier needs no stack.
-    cut = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
-    pieces = F.when(F.col("n_bytes") <= CHUNK, F.array("__text")).otherwise(cut)
-    rows = rows.select(*others, "n_bytes", pieces.alias("__pieces"))
-    rows = rows.select(*others, "n_bytes", (F.size("__pieces") - 1).alias("__last"), F.posexplode("__pieces").alias("__chunk", "__piece"))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "n_bytes long", "n_tokens long"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = transducer(path)
-        open_maps: list[ChunkMap] = []
         for b in batches:
-            counts: list[int] = []
-            done = b["__chunk"].to_numpy() == b["__last"].to_numpy()
-            for piece, ends in zip(b["__piece"], done, strict=True):
-                open_maps.append(chunk_map(machine, piece))
-                if len(open_maps) > 64:  # long texts: compose what is complete
-                    open_maps = [open_maps[0]] if len(open_maps) == 1 else [_fold(machine, open_maps)]
-                if ends:
-                    counts.append(scan_total(machine, open_maps))
-                    open_maps = []
-            out = b.loc[done, [*keep, "n_bytes"]].copy()
-            out["n_tokens"] = counts
-            out["over_limit"] = out["n_tokens"] > limit
+            out = b[[*keep, "n_bytes"]].copy()
+            out["n_tokens"] = [machine.count(t) for t in b["__text"]]
             yield out
 
-    return rows.mapInPandas(run, ", ".join([*fields, "n_bytes long", "n_tokens long", "over_limit boolean"]))
-
+    short = rows.where(F.col("n_bytes") <= CHUNK).mapInPandas(count, types)
+    # Equal texts have equal counts, so a text's digest is its key; the join's key is a struct, so that Spark can split a hot one.
+    long = rows.where(F.col("n_bytes") > CHUNK).withColumn("__key", F.unhex(F.md5("__text")))
+    totals = _long_counts(long.select("__key", "__text"), path).select(F.struct("__key").alias("__same"), "n_tokens")
+    counted = long.select(*others, "n_bytes", F.struct("__key").alias("__same")).join(totals, "__same").select(*others, "n_bytes", "n_tokens")
+    return short.unionByName(counted).withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _long_counts(long: DataFrame, path: str) -> DataFrame:
+    """__key and n_tokens of every different text of ``long`` (__key, __text)."""
+    pattern = cut_pattern(special_strings(path))
+    cut = long.select("__key", F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)).alias("__pieces"))
+    before = F.concat(F.array(F.lit("")), F.transform("__pieces", lambda x: F.right(x, F.lit(BACK))))
+    zipped = F.slice(F.arrays_zip(F.col("__pieces").alias("piece"), before.alias("before")), 1, F.size("__pieces"))
+    cut = cut.select("__key", (F.size("__pieces") - 1).alias("end"), F.posexplode(zipped).alias("chunk", "p"))
+    # Spreads the chunks of a text over tasks; of equal texts one is kept, before and after the shuffle.
+    pieces = cut.select("__key", "chunk", (F.col("chunk") == F.col("end")).alias("last"), "p.piece", "p.before").dropDuplicates(["__key", "chunk"])
+    shape = "__key binary, chunk int, last boolean, entry string, exit string, n long"
+
+    def read(machine: Transducer, b: pd.DataFrame, entries: list[tuple]) -> pd.DataFrame:
+        ends = [(machine.run_to_end if last else machine.run)(entry, piece) for entry, piece, last in zip(entries, b["piece"], b["last"], strict=True)]
+        return pd.DataFrame({"__key": b["__key"], "chunk": b["chunk"], "last": b["last"], "entry": map(repr, entries), "exit": [repr(e) for e, _ in ends], "n": [n for _, n in ends]})
+
+    def read_guessed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = transducer(path)
+        for b in batches:
+            yield read(machine, b, [machine.run(machine.START, x)[0] for x in b["before"]])
 
-def _fold(machine: Transducer, maps: list[ChunkMap]) -> ChunkMap:
-    while len(maps) > 1:
-        maps = [compose(machine, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+    def read_entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = transducer(path)
+        for b in batches:
+            yield read(machine, b, list(map(ast.literal_eval, b["entry"])))
+
+    maps = checkpoint(pieces.mapInPandas(read_guessed, shape))
+    while True:
+        reached = maps.where("not last").select("__key", (F.col("chunk") + 1).alias("chunk"), F.col("exit").alias("entry")).distinct()
+        missing = reached.join(maps, ["__key", "chunk", "entry"], "left_anti")
+        if not has_rows(missing):
+            break
+        entered = pieces.join(missing, ["__key", "chunk"]).select("chunk", "__key", "last", "piece", "entry")
+        maps = checkpoint(maps.unionByName(entered.mapInPandas(read_entered, shape)))
+
+    def fold(block: pd.DataFrame) -> pd.DataFrame:
+        of_chunk: dict[int, ChunkMap] = defaultdict(dict)
+        for chunk, entry, exit, n in zip(block["chunk"], block["entry"], block["exit"], block["n"], strict=True):
+            of_chunk[chunk][entry] = exit, n
+        whole = reduce(compose, (of_chunk[c] for c in sorted(of_chunk)))
+        out = pd.DataFrame([(e, x, n) for e, (x, n) in whole.items()], columns=["entry", "exit", "n"])
+        return out.assign(__key=[block["__key"].iloc[0]] * len(out), chunk=block["chunk"].iloc[0] // FAN)
+
+    scanned = maps.select("__key", "chunk", "entry", "exit", "n")
+    while has_rows(scanned.where("chunk > 0")):
+        block = F.floor(F.col("chunk") / FAN)
+        scanned = checkpoint(scanned.groupBy("__key", block).applyInPandas(fold, "__key binary, chunk int, entry string, exit string, n long"))
+    return scanned.where(F.col("entry") == repr(Transducer.START)).select("__key", F.col("n").alias("n_tokens"))

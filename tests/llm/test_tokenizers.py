@@ -1,5 +1,8 @@
 import hashlib
 import random
+import re
+import unicodedata
+from functools import reduce
 
 import pytest
 
@@ -36,25 +39,40 @@ def test_codec_memo_limit(library):
         assert small.encode(text) == library["byte_bpe_50k.json"].encode(text, add_special_tokens=False).ids
 
 
+def chunks_of(text, size):
+    """Cuts at any place where normalisation joins nothing, outside special strings."""
+    inside = {i for m in re.finditer(r"<\|(end|start)oftext\|>", text) for i in range(m.start() + 1, m.end())}
+    ends = [i for i in range(1, len(text)) if i not in inside and unicodedata.category(text[i])[0] != "M"][size - 1 :: size]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+
+
+def closed_maps(machine, chunks):
+    """Maps of chunks from the start state and every state that the chunk before ends in, guessed ones among them."""
+    maps, entries = [], {machine.START}
+    for i, chunk in enumerate(chunks):
+        entries |= {machine.START, machine.run(machine.START, chunks[i - 1][-3:])[0]} if i else set()
+        run = machine.run_to_end if i + 1 == len(chunks) else machine.run
+        maps.append({e: run(e, chunk) for e in entries})
+        entries = {x for x, _ in maps[-1].values()}
+    return maps
+
+
 def test_counts_equal_library_for_any_chunking(library, corpus):
     machine, ours = token_counts.Transducer(tokenizer_path("word_bpe_49k.json"), limit=5000), library["word_bpe_49k.json"]
     rnd = random.Random(2)
     for text in [*hostile(600), *[t or "" for _, t in corpus]]:
         want = len(ours.encode(text, add_special_tokens=False).ids)
         assert machine.count(text) == want
-        size = rnd.randint(1, 9) if len(text) < 300 else rnd.randint(50, 400)
-        maps = [token_counts.chunk_map(machine, text[i : i + size]) for i in range(0, max(1, len(text)), size)]
-        assert token_counts.scan_total(machine, maps) == want
+        maps = closed_maps(machine, chunks_of(text, rnd.randint(1, 9) if len(text) < 300 else rnd.randint(50, 400)))
+        assert reduce(token_counts.compose, maps)[machine.START][1] == want
 
 
 def test_composition_is_associative(library):
     machine = token_counts.transducer(tokenizer_path("word_bpe_49k.json"))
-    show = lambda m: (m.head, m.count, m.tail)
     for text in hostile(100):
-        a, b, c = (token_counts.chunk_map(machine, text[i::3]) for i in range(3))
-        left = token_counts.compose(machine, token_counts.compose(machine, a, b), c)
-        right = token_counts.compose(machine, a, token_counts.compose(machine, b, c))
-        assert show(left) == show(right)
+        maps = closed_maps(machine, chunks_of(text, 5))
+        for a, b, c in zip(maps, maps[1:], maps[2:], strict=False):
+            assert token_counts.compose(token_counts.compose(a, b), c) == token_counts.compose(a, token_counts.compose(b, c))
 
 
 def test_codec_frame(spark, docs, corpus, library):
@@ -78,6 +96,20 @@ def test_count_frame(spark, docs, corpus, library, monkeypatch):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_count_frame_of_hostile_chunks(spark, library, monkeypatch):
+    """Cuts beside special strings, marks and Jamo; words over many chunks whose entry states can't be guessed; several scan steps."""
+    monkeypatch.setattr(token_counts, "CHUNK", 7)
+    monkeypatch.setattr(token_counts, "BACK", 2)
+    monkeypatch.setattr(token_counts, "FAN", 3)
+    rnd = random.Random(9)
+    letters = LETTERS.replace(" ", "") + "\u0301\u0327\u1100\u1161\u11a8각"
+    texts = ["a" * 300, "ab" * 200, "<" * 50 + "<|endoftext|>" * 20, "e" + "\u0301" * 40, "'re" * 60, *hostile(60)]
+    texts += ["".join(rnd.choices(letters, k=rnd.randint(20, 90))) + rnd.choice(["", "<|endoftext|>'ll"]) for _ in range(150)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in token_counts.token_counts(frame).select("doc_id", "n_tokens").collect()}
+    assert got == {i: len(library["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_count_frame_of_long_texts(spark, library):
     """Widths that change at every character, over several chunks, with and without white space."""
     rnd = random.Random(6)
