@@ -151,12 +151,16 @@ class Transducer:
                 total += n + 1
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            for ch in part.lower():
-                found = row.get(ch)
-                if found is None:
-                    found = compile_(row, ch)
-                row, n = found
-                total += n
+            rest = iter(part.lower())
+            while True:
+                try:
+                    for ch in rest:
+                        row, n = row[ch]
+                        total += n
+                    break
+                except KeyError:  # a transition that isn't compiled yet
+                    row, n = compile_(row, ch)
+                    total += n
         return row[None], total
 
     def run_to_end(self, state: tuple, text: str) -> tuple[tuple, int]:
