@@ -1,7 +1,7 @@
 """Oracle SQL of the training-data operators where SQL can express them in reasonable time on the small tables.
 
-The tokenizers (3, 7), the classifier (9), hashed candidate search (1, 6), linked spans (10) and the pipeline have none; they are tested
-against the tokenizers' library, held-out labels and brute force.
+The tokenizers (3, 7), the classifier (9), hashed candidate search (1, 6), linked spans (10), fingerprints (13, for want of the hash) and
+the pipeline have none; they are tested against the tokenizers' library, held-out labels and brute force.
 """
 
 SPACE = "\\x20\\x09-\\x0D"
@@ -54,4 +54,54 @@ c AS (SELECT a AS doc_id, MIN(b) AS component_id FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON n.doc_id = c.doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_substring_dedup": PASSAGES, "op4_suffix_dedup": BYTE_STRINGS, "op5_chat_format": CHAT, "op8_minhash": NEAR_DUPLICATES}
+
+
+def checksum(number: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit: the lowest bit of each character first."""
+    bits = f"FLATTEN(LIST_TRANSFORM(STRING_SPLIT(CAST({number} AS VARCHAR), ''), lambda c: LIST_TRANSFORM(RANGE(0, 8), lambda k: (ASCII(c) >> CAST(k AS INT)) & 1)))"
+    return f"XOR(4294967295, LIST_REDUCE(LIST_PREPEND(4294967295, {bits}), lambda c, b: XOR(c >> 1, CASE WHEN XOR(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)))"
+
+
+PERIODIC_RUNS = rf"""
+WITH o AS (SELECT doc_id, REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^{SPACE}]+') AS w, {checksum("doc_id")} AS h FROM documents),
+a AS (SELECT doc_id, w, h % 10 = 0 AND LEN(w) > 0 AS again, LEN(w) AS n, CASE WHEN LEN(w) > 0 THEN (h // 10) % LEN(w) ELSE 0 END AS a, (h // 10) % 8 AS r FROM o),
+b AS (SELECT *, 1 + (n - a) // (3 + r) AS p FROM a),
+d AS (SELECT doc_id, CASE WHEN again THEN LIST_TRANSFORM(RANGE(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM b),
+s AS (SELECT doc_id, w, UNNEST(RANGE(1, LEN(w) - 6)) AS i FROM d WHERE LEN(w) >= 24),
+k AS (SELECT doc_id, i, MD5(ARRAY_TO_STRING(w[i:i + 7], ' ')) AS x FROM s),
+e AS (SELECT f.doc_id, f.i, t.i - f.i AS q FROM k f JOIN k t ON f.doc_id = t.doc_id AND f.x = t.x AND f.i < t.i),
+g AS (SELECT doc_id, q, i, i - ROW_NUMBER() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+m AS (SELECT doc_id, q, MIN(i) - 1 AS s, COUNT(*) + 7 + q AS n FROM g GROUP BY doc_id, q, island HAVING COUNT(*) + 7 + q >= GREATEST(24, 3 * q)),
+runs AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.doc_id = m.doc_id AND x.q < m.q AND x.s <= m.s AND x.s + x.n >= m.s + m.n)),
+best AS (SELECT doc_id, FIRST(s ORDER BY n / q DESC, s, q) AS s, FIRST(n ORDER BY n / q DESC, s, q) AS n, FIRST(q ORDER BY n / q DESC, s, q) AS q, COUNT(*) AS n_runs, STRING_AGG(s || ',' || n || ',' || q || CHR(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, UNNEST(RANGE(s + q, s + n)) AS i FROM runs),
+words AS (SELECT doc_id, UNNEST(w) AS word, UNNEST(RANGE(0, LEN(w))) AS i FROM d),
+kept AS (SELECT words.doc_id, STRING_AGG(word, ' ' ORDER BY words.i) AS text FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id)
+SELECT d.doc_id, COALESCE(n_runs, 0) AS n_runs, s AS start, n AS length, q AS period, 1000 * n // q AS exponent_milli, SHA256(COALESCE(lines, '')) AS runs_sha256, SHA256(COALESCE(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+PREFIX_TRIE = rf"""
+WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, LENGTH(role) || ':' || role || text AS said, LEN(REGEXP_EXTRACT_ALL(text, '[^{SPACE}]+')) AS words, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+c AS (SELECT conv_id, conv_id - ((conv_id % 20) + 20) % 20 AS base, {checksum("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, said, words FROM c JOIN o ON o.conv_id = c.base AND pos <= h UNION ALL SELECT c.conv_id, pos, said, words FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h),
+p AS (SELECT conv_id, COUNT(*) OVER w AS d, MD5(ARRAY_TO_STRING(LIST(MD5(said)) OVER w, ',')) AS x, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+q AS (SELECT conv_id, d, x, words FROM p UNION ALL SELECT conv_id, 0, MD5(''), 0 FROM c),
+z AS (SELECT *, LAG(x) OVER (PARTITION BY conv_id ORDER BY d) AS up, d = MAX(d) OVER (PARTITION BY conv_id) AS done FROM q),
+n AS (SELECT x, d, MIN(conv_id) AS conv_id, MIN(up) AS up, COUNT(*) AS n_convs, MIN(words) AS words, SHA256(COALESCE(STRING_AGG(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE done), '')) AS ends FROM z GROUP BY x, d),
+k AS (SELECT up AS x, COUNT(*) AS k FROM n GROUP BY up),
+v AS (SELECT n.*, COALESCE(k, 0) AS k FROM n LEFT JOIN k ON n.x = k.x),
+s AS (SELECT q.x, CAST(SUM(CASE WHEN v.k = 0 THEN 1 ELSE 0 END) AS BIGINT) AS leaves, CAST(SUM((v.n_convs - 1) * v.words) AS BIGINT) AS saved FROM v JOIN q ON q.conv_id = v.conv_id AND q.d <= v.d GROUP BY q.x)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.k AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN s ON v.x = s.x LEFT JOIN n u ON v.up = u.x
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": PASSAGES,
+    "op4_suffix_dedup": BYTE_STRINGS,
+    "op5_chat_format": CHAT,
+    "op8_minhash": NEAR_DUPLICATES,
+    "op11_periodic_runs": PERIODIC_RUNS,
+    "op12_prefix_trie": PREFIX_TRIE,
+}

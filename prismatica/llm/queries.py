@@ -71,6 +71,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.periodic_runs import digest
+
+    return digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.prefix_trie import prefix_nodes
+
+    return prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismatica.llm.simhash import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,5 +102,8 @@ QUERIES = {
         op8_minhash,
         op9_quality,
         op10_secret_scan,
+        op11_periodic_runs,
+        op12_prefix_trie,
+        op13_simhash,
     )
 }
