@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from prismatica.operators import merge
+from prismatica.operators import field_order, merge
 from prismatica.registry import query
 from prismatica.samples import values
 from prismatica.sources import modelfiles
@@ -197,3 +198,32 @@ _TEXT = (
 def model_file_texts(spark, sf):
     found = _blocks(spark, sf)
     return modelfiles.texts(modelfiles.views(found), modelfiles.fields(found)).select("path", F.sha2("text", 256).alias("text_sha256"))
+
+
+# --- the order of a view's fields, and their batches --------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT 'v' || c_custkey // 6 AS view, 'f' || c_custkey % 6 AS name, (ARRAY[2, 1, 0, 3, 4, 5])[c_custkey % 6 + 1] AS level, CASE WHEN c_custkey % 6 = 2 THEN 'f0' ELSE '' END AS left_out "
+    "FROM customer WHERE c_custkey // 6 * 6 + 5 <= (SELECT MAX(c_custkey) FROM customer)"
+)
+def field_levels(spark, sf):
+    """In every six fields three refer to each other in a ring, and three to the one before them."""
+    at = F.col("c_custkey") % 6
+    needs = F.when(at < 2, at + 1).when(at == 2, 0).when(at == 3, 0).otherwise(at - 1)
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.max("c_custkey").over(Window.partitionBy(F.expr("c_custkey div 6"))).alias("last")).where("last % 6 = 5")
+    sql = F.concat(F.lit("${f"), needs, F.lit("} + ${f"), needs, F.lit(".raw} + ${TABLE}.x + ${f"), at, F.lit("}"))
+    made = rows.select(F.concat(F.lit("v"), F.expr("c_custkey div 6")).alias("view"), F.concat(F.lit("f"), at).alias("name"), at.alias("position"), sql.alias("sql"))
+    return field_order.levels(made).select("view", "name", "level", F.array_join("left_out", ",").alias("left_out"))
+
+
+@query(
+    "WITH RECURSIVE n AS (SELECT c_custkey % 3 AS v, c_custkey // 3 + 1 AS pos, 'w' || (c_custkey // 3 * 7 // 50) || CASE WHEN c_custkey // 3 % 5 = 0 THEN '' ELSE '_' || c_custkey END AS name FROM customer), c AS (SELECT v, COUNT(*) AS n FROM n GROUP BY v), "
+    "w AS (SELECT n.v, pos, name, STRING_SPLIT(name, '_')[1] AS word, c.n > 150 AS large FROM n JOIN c ON n.v = c.v), "
+    "b AS (SELECT v, pos, name, word, large, 1 AS held, 1 AS batch FROM w WHERE pos = 1 UNION ALL SELECT w.v, w.pos, w.name, w.word, w.large, CASE WHEN w.large AND held >= 30 AND w.word <> b.word THEN 1 ELSE held + 1 END, batch + CASE WHEN w.large AND held >= 30 AND w.word <> b.word THEN 1 ELSE 0 END FROM b JOIN w ON w.v = b.v AND w.pos = b.pos + 1) "
+    "SELECT 'v' || v AS view, pos AS \"at\", name, batch FROM b"
+)
+def field_batches(spark, sf):
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.expr("c_custkey % 3").alias("v"), F.expr("c_custkey div 3 + 1").alias("at"), "c_custkey")
+    name = F.concat(F.lit("w"), F.expr("(c_custkey div 3 * 7) div 50"), F.when(F.expr("c_custkey div 3 % 5 = 0"), F.lit("")).otherwise(F.concat(F.lit("_"), F.col("c_custkey"))))
+    return field_order.batches(rows.select(F.concat(F.lit("v"), "v").alias("view"), "at", name.alias("name")))
