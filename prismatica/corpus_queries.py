@@ -11,7 +11,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismatica.operators import corpus, coverage, fields, proposals
+from prismatica.operators import containment, corpus, coverage, fields, proposals
 from prismatica.registry import query
 from prismatica.samples import values
 from prismatica.sources.corpus import model_file_kind, numbered, resolve_baselines
@@ -283,6 +283,56 @@ def model_coverage(spark, sf):
     return _checked(spark, sf).select("query_id", "need", "function", "column", F.array_join("parts", ",").alias("parts"), "covered")
 
 
+#: The model with names that are only parts of its words.
+_TEXT_FIELDS = [
+    *[(*f[:5],) for f in FIELDS],
+    ("orders", "measure", "mean", "average", "${TABLE}.o_totalprice_usd"),
+    ("lineitem", "dimension_group", "made", "time", "CAST(${TABLE}.raw_l_comment_text AS DATE)"),
+    ("customer", "measure", "keys", "max", "${TABLE}.c_custkey_no"),
+]
+_TEXT_VIEWS = [*VIEWS, ("the_rich_ones", None, "SELECT c_custkey FROM customer WHERE c_acctbal_now >= 1")]
+_TEXT_EXPLORES = [*EXPLORES[:1], ("lines", "lineitem", "${orders.o_orderdate} IS NOT NULL", EXPLORES[1][3])]
+
+
+def _brute_coverage() -> str:
+    """Containment as the other engine tests it: every need against every text of the model."""
+    fields_, views_ = values([tuple(x) for x in _TEXT_FIELDS], ("view", "kind", "name", "type", "sql")), values(_TEXT_VIEWS, ("view", "tbl", "derived"))
+    flat = lambda c: f"LOWER(TRIM(REGEXP_REPLACE({c}, '\\s+', ' ', 'g')))"
+    f = f"(SELECT kind, LOWER(name) AS name, type, {flat('sql')} AS sql FROM {fields_}) m"
+    types = "CASE f WHEN 'SUM' THEN type IN ('sum', 'sum_distinct') WHEN 'COUNT' THEN type IN ('count', 'count_distinct') WHEN 'AVG' THEN type IN ('average', 'average_distinct') WHEN 'MIN' THEN type = 'min' WHEN 'MAX' THEN type = 'max' END"
+    parts = "LIST_FILTER(STRING_SPLIT(parts, ','), lambda p: p <> '')"
+    all_in = lambda text: f"LIST_BOOL_AND(LIST_TRANSFORM({parts}, lambda p: CONTAINS({text}, p)))"
+    loose = [d for d in DIMENSIONS if not any(p[0] == d[0] and p[1] == d[1] and p[5] for p in PREDICATES)]
+    is_loose = " OR ".join(f"query_id % {len(TEMPLATES)} = {k} AND col = '{c}'" for k, c in loose)
+    always = "COALESCE(CONTAINS('${orders.o_orderdate} is not null', col), false)"
+    return (
+        "CASE need WHEN 'table' THEN ok WHEN 'join' THEN ok "
+        f"WHEN 'measure' THEN EXISTS (SELECT 1 FROM {f} WHERE kind = 'measure' AND {types} AND (col IS NULL OR CONTAINS(sql, col))) "
+        f"WHEN 'dimension' THEN EXISTS (SELECT 1 FROM {f} WHERE kind <> 'measure' AND (name = col OR CONTAINS(sql, col)) OR kind = 'measure' AND ({is_loose}) AND CONTAINS(sql, col)) "
+        f"WHEN 'case' THEN EXISTS (SELECT 1 FROM {f} WHERE kind = 'dimension' AND (name = col OR CONTAINS(sql, 'case') AND CONTAINS(sql, 'when') AND {all_in('sql')})) "
+        f"WHEN 'derived' THEN EXISTS (SELECT 1 FROM (SELECT LOWER(view) AS v, {flat('derived')} AS d FROM {views_} WHERE derived IS NOT NULL) WHERE CONTAINS(v, col) AND (LEN({parts}) = 0 OR {all_in('d')})) "
+        f"WHEN 'structural' THEN {always} OR EXISTS (SELECT 1 FROM (SELECT {flat('derived')} AS d FROM {views_} WHERE derived IS NOT NULL) WHERE {all_in('d')}) END"
+    )
+
+
+@query(f'SELECT query_id, need, f AS function, col AS "column", parts, {_brute_coverage()} AS covered FROM (SELECT query_id, need, f, col, LOWER(parts) AS parts, ok FROM ({facts(NEEDS, "need", "f", "col", "parts", "ok")}))')
+def model_coverage_by_text(spark, sf):
+    model_fields = spark.createDataFrame([tuple(x) for x in _TEXT_FIELDS], "view string, kind string, name string, type string, sql string")
+    views = spark.createDataFrame(_TEXT_VIEWS, "view string, table string, derived string")
+    explores = spark.createDataFrame(_TEXT_EXPLORES, "explore string, base string, always_where string, joins array<struct<view:string,sql_on:string,relationship:string>>")
+    out = containment.check(prints(spark, sf), model_fields, views, explores)
+    return out.select("query_id", "need", "function", "column", F.array_join("parts", ",").alias("parts"), "covered")
+
+
+@query("SELECT DISTINCT n.needle, t.c_custkey AS source FROM (SELECT RIGHT(c_name, 3) AS needle FROM customer UNION SELECT LOWER(LEFT(c_mktsegment, 5)) FROM customer UNION SELECT '7') n JOIN (SELECT c_custkey, c_name || ' ' || LOWER(c_mktsegment) || ' ' || CAST(CAST(FLOOR(ABS(c_acctbal)) AS BIGINT) AS VARCHAR) AS text FROM customer) t ON CONTAINS(t.text, n.needle)")
+def contained_names(spark, sf):
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    needles = rows.select(F.right("c_name", F.lit(3)).alias("needle")).unionAll(rows.select(F.lower(F.left("c_mktsegment", F.lit(5))))).unionAll(rows.select(F.lit("7")))
+    amount = F.floor(F.abs("c_acctbal")).cast("bigint").cast("string")
+    texts = rows.select(F.lit("").alias("group"), F.col("c_custkey").alias("source"), F.concat_ws(" ", "c_name", F.lower("c_mktsegment"), amount).alias("text"))
+    return containment.contained(needles.select(F.lit("").alias("group"), "needle"), texts).select("needle", "source")
+
+
 @query(f"SELECT query_id, CASE WHEN BOOL_AND(covered) THEN 'pass' WHEN 2 * COUNT(*) FILTER (WHERE NOT covered) < COUNT(*) THEN 'partial' ELSE 'fail' END AS status FROM ({_NEEDED}) GROUP BY query_id")
 def three_way_coverage(spark, sf):
     return coverage.three_way(_checked(spark, sf))

@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prismatica.functions.naming import references
+from prismatica.operators.lineage import cut
 
 NODE = ["view", "name"]
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """Rows with their lineage cut, in the folder that the session names; a temporary one only where it names none."""
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
-    return rows.checkpoint()
-
-
 def dependencies(fields: DataFrame) -> DataFrame:
     """view, name, needs: fields of the same view that a field's SQL refers to, itself apart; once each."""
     known = fields.select("view", F.col("name").alias("needs")).distinct()
@@ -35,7 +25,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     while (now := edges.count()) not in (size, 0):
         size = now
         edges = edges.join(edges.select("view", F.col("name").alias("needs")).distinct(), ["view", "needs"], "left_semi")
-        edges = _cut(edges.join(edges.select("view", F.col("needs").alias("name")).distinct(), NODE, "left_semi").select(*NODE, "needs"))
+        edges = cut(edges.join(edges.select("view", F.col("needs").alias("name")).distinct(), NODE, "left_semi").select(*NODE, "needs"))
     return edges
 
 
@@ -45,7 +35,7 @@ def _spread(edges: DataFrame, labels: DataFrame, of: str, to: str) -> DataFrame:
     while changed.take(1):
         sent = edges.join(changed.select("view", F.col("name").alias(of), "label"), ["view", of]).groupBy("view", F.col(to).alias("name")).agg(F.min("label").alias("label"))
         both = labels.withColumn("old", F.col("label")).unionByName(sent, allowMissingColumns=True).groupBy(NODE).agg(F.min("label").alias("label"), F.min("old").alias("old"))
-        both = _cut(both)
+        both = cut(both)
         changed = both.where("old is null or label < old").select(*NODE, "label")
         labels = both.select(*NODE, "label")
     return labels
@@ -58,7 +48,7 @@ def broken_edges(edges: DataFrame, places: DataFrame) -> DataFrame:
     still on a cycle then is treated alike.  A ring loses one edge, as if fields were visited in their order.
     """
     gone = edges.limit(0)
-    left = _trimmed(_cut(edges))
+    left = _trimmed(cut(edges))
     while left.take(1):
         nodes = left.select(*NODE).distinct().join(places.select(*NODE, F.col("position").alias("label")), NODE)
         # The first field that each one leads to; a field that leads to none before itself is the first of its cycles.
@@ -67,9 +57,9 @@ def broken_edges(edges: DataFrame, places: DataFrame) -> DataFrame:
         reached = _spread(left, heads, "name", "needs").withColumnRenamed("label", "head")
         inside = first.join(reached, NODE).where("label = head").select(*NODE, "head")
         bad = left.join(heads.select("view", F.col("name").alias("needs"), "label"), ["view", "needs"]).join(inside, NODE).where("head = label").select(*NODE, "needs")
-        bad = _cut(bad)
+        bad = cut(bad)
         gone = gone.unionByName(bad)
-        left = _trimmed(_cut(left.join(bad, [*NODE, "needs"], "left_anti")))
+        left = _trimmed(cut(left.join(bad, [*NODE, "needs"], "left_anti")))
     return gone
 
 
@@ -79,18 +69,18 @@ def levels(fields: DataFrame) -> DataFrame:
     ``fields`` are (view, name, position, sql), with names that are distinct within a view.  A field without needs has level 0, any
     other one more than the highest of its needs.  As many rounds as there are levels, each over all views at once.
     """
-    places = _cut(fields.select(*NODE, "position"))
-    edges = _cut(dependencies(fields))
-    gone = _cut(broken_edges(edges, places))
+    places = cut(fields.select(*NODE, "position"))
+    edges = cut(dependencies(fields))
+    gone = cut(broken_edges(edges, places))
     edges = edges.join(gone, [*NODE, "needs"], "left_anti")
     left, done, level = places.select(*NODE), None, 0
     while True:
-        edges = _cut(edges)
+        edges = cut(edges)
         ready = left.join(edges.select(*NODE).distinct(), NODE, "left_anti").withColumn("level", F.lit(level))
         done = ready if done is None else done.unionByName(ready)
         if not edges.take(1):
             break
-        done = _cut(done)
+        done = cut(done)
         left = left.join(done, NODE, "left_anti")
         edges = edges.join(done.select("view", F.col("name").alias("needs")), ["view", "needs"], "left_anti").select(*NODE, "needs")
         level += 1
@@ -154,9 +144,9 @@ def batches(ordered: DataFrame, size: int = 30, whole: int = 150, width: int = 6
     shown = large.select("view", "name", "at", "word", F.explode(spots).alias("s")).select("view", "name", "at", "word", "s.*")
     parts = shown.groupBy("view", "n").agg(F.array_sort(F.collect_list(F.struct("at", "word", "name", "own"))).alias("all")).where(F.exists("all", lambda x: x["own"]))
     started = F.transform("all", lambda x, i: F.struct(x["at"], x["name"], x["own"], F.coalesce(x["word"] != F.get("all", i - 1)["word"], F.lit(True)).alias("starts")))
-    parts = _cut(parts.select("view", "n", F.filter(started, lambda x: x["own"]).alias("all")))
+    parts = cut(parts.select("view", "n", F.filter(started, lambda x: x["own"]).alias("all")))
     effect = F.transform(F.sequence(F.lit(0), F.lit(size)), lambda s: F.aggregate("all", _state(s, 0), lambda a, x: _step(a, x["starts"], size)))
-    entries = _before(_cut(parts.select("view", "n", effect.alias("effect"))), size, width)
+    entries = _before(cut(parts.select("view", "n", effect.alias("effect"))), size, width)
     found = parts.join(entries, ["view", "n"]).select("view", "entry", "all", F.posexplode("all").alias("k", "field"))
     state = F.aggregate(F.slice("all", F.lit(1), F.col("k") + 1), F.col("entry"), lambda a, x: _step(a, x["starts"], size))
     return small.unionByName(found.select("view", "field.name", "field.at", (state["opened"] + 1).alias("batch")))

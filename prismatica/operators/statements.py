@@ -125,7 +125,7 @@ def _cases(t: Column) -> Column:
         branches = F.filter(F.transform(marks, lambda m, k: F.struct(m["up"].alias("up"), m["i"].alias("when"), F.get(marks, k + 1)["i"].alias("then"), F.get(marks, k + 2)["i"].alias("until"))), lambda b: b["up"] == "WHEN")
         texts = F.transform(branches, lambda b: F.struct(_text(t, b["when"] + 1, b["then"] - 1).alias("when"), F.regexp_replace(_text(t, b["then"] + 1, b["until"] - 1), r"^'(.*)'$", "$1").alias("then")))
         inside = F.filter(t, lambda y: (y["i"] > x["i"]) & (y["i"] < F.element_at(marks, -1)["i"]) & y["name"].isNotNull() & ~y["calls"])
-        return F.struct(_alias(t, x).alias("alias"), F.get(inside, F.lit(0))["name"].alias("column"), texts.alias("branches"))
+        return F.struct(_alias(t, x).alias("alias"), F.get(inside, F.lit(0))["name"].alias("column"), texts.alias("branches"), _text(t, x["i"], F.element_at(marks, -1)["i"]).alias("sql"))
 
     return F.transform(F.filter(t, lambda x: x["up"] == "CASE"), read)
 
