@@ -6,8 +6,8 @@ number of members.  Every vector lies in one cell of each table; a query probes
 nearest axes are.  Members and queries are sent by all but the last hash, and meet there only where the whole cell agrees; a crowded
 part becomes many blocks, none of them large, and none of its members is left out.  Equal vectors are one member with its smallest ids.
 
-Hashing finds near neighbours, but a far one only by chance.  So vectors of a length with few members, and queries that found fewer
-than asked for, are compared with all members of their length, in the same blocks.
+Vectors are hashed whatever their number.  Hashing finds near neighbours, but a far one only by chance; so queries that found fewer than
+asked for are then compared with all members of their length, in the same blocks.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ CELL = 64
 BLOCK = 2048
 #: Pairs that a block scores at once.
 PAIRS = 100_000
-#: A length with at most so many different vectors isn't hashed: all of them are compared.
-FEW = 8192
 SEED = 11
 
 
@@ -85,14 +83,13 @@ def cells(turned: list[np.ndarray], probes: int, nearest_axes: int) -> np.ndarra
     return code
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding", few: int = FEW) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, id_column, score) of each query's k nearest found by cosine in double precision, ties to smaller ids.
 
     ``vectors`` and ``queries`` both have an id and an array column.  A query's own id is no candidate.  Vectors that are null, zero,
     or hold null or non-finite components take no part, nor do rows with a null id; vectors of different length never meet.  Of
-    repeated rows (same id and vector) one counts.  A query of a length with at most ``few`` different vectors is compared with all of
-    them; any other one with those in its cells, or with all of its length where its cells hold fewer than k.  So a query gets fewer
-    than k only where there are no more.
+    repeated rows (same id and vector) one counts.  A query is compared with the vectors in its cells, or with all of its length where
+    its cells hold fewer than k.  So a query gets fewer than k only where there are no more.
     """
     # Single-precision vectors travel as such; all computation is in double precision.
     single = all(d.schema[column].dataType.simpleString() == "array<float>" for d in (vectors, queries))
@@ -107,8 +104,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     # Equal query vectors ask once; the least id stands for them until the end.
     every = usable(queries).distinct()
     asked = every.groupBy("x").agg(F.array(F.min("id")).alias("ids"))
-    # At most one length for each ``few`` members.
-    large = {r[0]: r[1] for r in members.groupBy(F.size("x").alias("width")).count().where(F.col("count") > few).collect()}
+    # Two numbers for each length that vectors have.
+    large = {r[0]: r[1] for r in members.groupBy(F.size("x").alias("width")).count().collect()}
 
     def dealt(asking: bool, hashed: dict[int, int]):
         """Rows (cell, salt, fine, x, ids): all but the last hash, and the last hashes of the cells there."""

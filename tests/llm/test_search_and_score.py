@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 
 from prismatica.llm import chat_format, cross_polytope, decontaminate, quality_crf, secret_scan
 
@@ -37,9 +38,8 @@ def _nearest_by_force(rows, q, k=5):
     return [i for _, i in sorted((-float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), i) for i, y in rows if i != q and len(y) == len(x))[:k]]
 
 
-@pytest.mark.parametrize("few", [cross_polytope.FEW, 0])
-def test_few_neighbours_are_all_found(spark, few):
-    """Lengths with few vectors, compared as a whole, and (few = 0) queries whose cells hold too few."""
+def test_few_neighbours_are_all_found(spark):
+    """Queries whose cells hold too few get as many as there are."""
     rng = np.random.default_rng(4)
     rows, at = [], 0
     for width, n in ((64, 3), (63, 5), (62, 10), (60, 1)):
@@ -47,12 +47,20 @@ def test_few_neighbours_are_all_found(spark, few):
         at += n
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
     got = {}
-    for r in sorted(cross_polytope.nearest(frame, frame, few=few).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(cross_polytope.nearest(frame, frame).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     want = {i: _nearest_by_force(rows, i) for i, _ in rows if i != at - 1}
     assert {i: len(g) for i, g in got.items()} == {i: len(w) for i, w in want.items()}
-    if few:
-        assert got == want
+
+
+def test_vectors_are_hashed_whatever_their_number(spark, monkeypatch):
+    def cells(*_):
+        raise ValueError("hashed")
+
+    monkeypatch.setattr(cross_polytope, "cells", cells)
+    frame = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(PythonException, match="hashed"):
+        cross_polytope.nearest(frame, frame)
 
 
 @pytest.mark.parametrize("joined", [1, 2, 3])
@@ -64,7 +72,7 @@ def test_hashed_neighbours_recall(spark, joined, monkeypatch):
     rows = list(enumerate(centre + rng.normal(size=centre.shape)))
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
     got = {}
-    for r in cross_polytope.nearest(frame, frame.where("vec_id % 50 = 0"), few=0).collect():
+    for r in cross_polytope.nearest(frame, frame.where("vec_id % 50 = 0")).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hit = sum(len(g & set(_nearest_by_force(rows, q))) for q, g in got.items())
     assert len(got) == 36 and hit / (5 * len(got)) >= 0.9 and all(len(g) == 5 for g in got.values())
