@@ -60,8 +60,12 @@ SUMMARY = [(0, None, "simple", True), (1, None, "complex", True), (2, None, "med
 
 def statements_of_customers(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, prompt, sql: one statement for each customer."""
+    return _from_templates(spark, sf, TEMPLATES)
+
+
+def _from_templates(spark: SparkSession, sf: str, templates: tuple[str, ...]) -> DataFrame:
     made = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_mktsegment", "c_acctbal")
-    template = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("c_custkey") % len(TEMPLATES) + 1).cast("int"))
+    template = F.element_at(F.array(*map(F.lit, templates)), (F.col("c_custkey") % len(templates) + 1).cast("int"))
     amount = F.floor(F.abs("c_acctbal")).cast("bigint").cast("string")
     sql = F.replace(F.replace(template, F.lit("{S}"), F.col("c_mktsegment")), F.lit("{P}"), amount)
     return made.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("totals of "), F.lower("c_mktsegment")).alias("prompt"), sql.alias("sql"))
@@ -459,3 +463,46 @@ def dependency_cycles(spark, sf):
     at = F.col("n") % 10
     needs = F.when(at < 2, F.col("n") + 1).when(at == 2, F.col("n") - 2).when(at == 3, F.col("n") - 3).otherwise(F.col("n") - 1)
     return fields.cycles(n.select(F.concat(F.lit("c"), "n").alias("table"), F.concat(F.lit("c"), needs).alias("needs")))
+
+
+# --- statements of a dialect's odder forms, and broken ones -------------------------------------------------------------------------
+
+DIALECT = (
+    "WITH a (p, q) AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = '{S}'), b AS (SELECT p FROM a) SELECT COUNT(DISTINCT p, q) pairs, SUM(q) / 2 half, MAX(p) FROM b "
+    "JOIN LATERAL (SELECT 1 FROM part) x ON TRUE WHERE NOT (p > {P} AND NOT q = 1) AND r BETWEEN DATE '1996-01-01' AND DATE('1996-12-31') AND s BETWEEN -1 AND {P}",
+    "SELECT SUM(x) AS n FROM t WHERE ((a = 1)",
+    "SELECT x FROM t WHERE a = '{S}",
+    "SELECT CASE WHEN a = 1 THEN '{S}' FROM t",
+    "SELECT FROM t WHERE a = {P}",
+    "SELECT a FROM t WHERE GROUP BY a",
+)
+_D_PREDICATES = [(0, "o_orderstatus", "=", "'{S}'", False), (0, "p", ">", "{P}", True), (0, "q", "=", "1", False), (0, "r", "BETWEEN", "DATE '1996-01-01' AND DATE ( '1996-12-31' )", False), (0, "s", "BETWEEN", "-1 AND {P}", False)]
+_D_ERRORS = [(0, None, "orders,part"), (1, "unbalanced_brackets", "t"), (2, "unclosed_literal", "t"), (3, "unclosed_case", "t"), (4, "nothing_selected", "t"), (5, "empty_clause", "t")]
+
+
+def dialect_prints(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.fingerprints(_from_templates(spark, sf, DIALECT))
+
+
+def _dialect_facts(rows: list[tuple], *columns: str) -> str:
+    return facts(rows, *columns).replace(f"c_custkey % {len(TEMPLATES)} = k", f"c_custkey % {len(DIALECT)} = k")
+
+
+@query(f'SELECT query_id, col AS "column", op AS operator, val AS value, neg AS negated FROM ({_dialect_facts(_D_PREDICATES, "col", "op", "val", "neg")})')
+def dialect_predicates(spark, sf):
+    return corpus.good(dialect_prints(spark, sf)).select("query_id", F.explode("predicates").alias("p")).select("query_id", "p.column", "p.operator", "p.value", "p.negated")
+
+
+@query(f'SELECT query_id, f AS function, col AS "column", dist AS "distinct", alias FROM ({_dialect_facts([(0, "COUNT", "p", True, "pairs"), (0, "SUM", "q", False, "half"), (0, "MAX", "p", False, None)], "f", "col", "dist", "alias")})')
+def dialect_aggregations(spark, sf):
+    return corpus.good(dialect_prints(spark, sf)).select("query_id", F.explode("aggregations").alias("a")).select("query_id", "a.*")
+
+
+@query(f'SELECT query_id, err AS parse_error, tables FROM ({_dialect_facts(_D_ERRORS, "err", "tables")})')
+def dialect_errors(spark, sf):
+    return dialect_prints(spark, sf).select("query_id", "parse_error", F.array_join("tables", ",").alias("tables"))
+
+
+@query(f"SELECT query_id, 'inner' AS kind, CAST(NULL AS VARCHAR) AS \"table\" FROM ({_dialect_facts([(0, 'x')], 'x')})")
+def dialect_joins(spark, sf):
+    return corpus.good(dialect_prints(spark, sf)).select("query_id", F.explode("joins").alias("j")).select("query_id", "j.kind", "j.table")

@@ -5,8 +5,8 @@ nesting, its scope (the subquery it stands in), its clause and its CASE; literal
 never count.  One aggregation brings the tokens of a statement together again, and the facets are expressions on that array.  All
 windows share one shuffle by query_id, and a task holds one statement at a time, never a corpus.
 
-Known limits: predicates are comparisons with a column, or a function's first column, on the left; OR counts as AND; a parenthesised
-join condition gives no keys.
+Known limits: predicates are comparisons with a column, or a function's first column, on the left; OR counts as AND, and NOT before a
+bracket negates each predicate inside; a parenthesised join condition gives no keys.
 """
 
 from __future__ import annotations
@@ -86,15 +86,29 @@ def _text(t: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.transform(F.slice(t, first, F.greatest(last - first + 1, F.lit(0))), lambda x: x["token"]), " ")
 
 
+def _operand(t: Column, o: Column) -> Column:
+    """The operand that starts at token o, as text, and its last token: a call, a bracket, a typed or negative literal, or one token."""
+    pair = ~o["calls"] & o["up"].isin("-", "DATE", "TIMESTAMP", "DATETIME", "TIME", "NUMERIC", "INTERVAL")
+    last = F.when(o["calls"], _near(t, o, 1)["close"]).when(o["token"] == "(", o["close"]).when(pair, o["i"] + 1).otherwise(o["i"])
+    text = F.when(o["up"] == "-", F.concat(o["token"], _near(t, o, 1)["token"])).otherwise(_text(t, o["i"], last))
+    return F.struct(text.alias("text"), last.alias("last"))
+
+
 def _alias(t: Column, x: Column) -> Column:
-    """The alias of the select item that x stands in."""
-    found = F.filter(t, lambda y: (y["scope"] == x["scope"]) & (y["item"] == x["item"]) & y["base"] & (y["up"] == "AS") & (y["i"] > x["i"]))
-    return F.when(x["clause"] == "SELECT", _near(t, F.get(found, F.lit(0)), 1)["name"])
+    """The alias of the select item that x stands in: after AS, or a name that follows the end of an expression."""
+    item = F.filter(t, lambda y: (y["scope"] == x["scope"]) & (y["item"] == x["item"]) & y["base"] & (y["i"] > x["i"]))
+    named = F.filter(item, lambda y: y["up"] == "AS")
+    last = F.get(item, F.size(item) - 1)
+    before = _near(t, last, -1)
+    bare = last["name"].isNotNull() & ~last["calls"] & (before["i"] >= x["i"]) & ((before["token"] == ")") | (before["up"] == "END") | before["name"].isNotNull() | before["token"].rlike(r"^[\d'\"]"))
+    return F.when(x["clause"] == "SELECT", F.coalesce(_near(t, F.get(named, F.lit(0)), 1)["name"], F.when((F.size(named) == 0) & bare, last["name"])))
 
 
 def _ctes(t: Column) -> Column:
-    found = F.filter(t, lambda x: (x["token"] == "(") & x["asks"] & (_near(t, x, -1)["up"] == "AS") & _near(t, x, -2)["name"].isNotNull() & _near(t, x, -3)["up"].isin("WITH", "RECURSIVE", ","))
-    return F.transform(found, lambda x: F.struct(_near(t, x, -2)["name"].alias("alias"), _text(t, x["i"] + 1, x["close"] - 1).alias("body"), x["i"].alias("from"), x["close"].alias("to")))
+    listed = lambda x: _near(t, x, -2)["token"] == ")"  # noqa: E731  names of its columns stand between
+    named = lambda x: F.when(listed(x), F.get(t, _near(t, x, -2)["open"] - 2)).otherwise(_near(t, x, -2))
+    found = F.filter(t, lambda x: (x["token"] == "(") & x["asks"] & (_near(t, x, -1)["up"] == "AS") & named(x)["name"].isNotNull() & _near(t, named(x), -1)["up"].isin("WITH", "RECURSIVE", ","))
+    return F.transform(found, lambda x: F.struct(named(x)["name"].alias("alias"), _text(t, x["i"] + 1, x["close"] - 1).alias("body"), x["i"].alias("from"), x["close"].alias("to")))
 
 
 def _created(t: Column) -> Column:
@@ -114,7 +128,7 @@ def _aggregations(t: Column) -> Column:
         distinct = F.coalesce(_near(t, x, 2)["up"] == "DISTINCT", F.lit(False))
         at = x["i"] + F.when(distinct, 3).otherwise(2)
         argument = F.get(t, at - 1)
-        return F.struct(F.upper(x["name"]).alias("function"), F.when((_near(t, x, 1)["close"] == at + 1) & ~argument["calls"], argument["name"]).alias("column"), distinct.alias("distinct"), _alias(t, x).alias("alias"))
+        return F.struct(F.upper(x["name"]).alias("function"), F.when(((_near(t, x, 1)["close"] == at + 1) | (distinct & (F.get(t, at)["token"] == ","))) & ~argument["calls"], argument["name"]).alias("column"), distinct.alias("distinct"), _alias(t, x).alias("alias"))
 
     return F.transform(found, read)
 
@@ -140,7 +154,7 @@ def _joins(t: Column) -> Column:
         ended = F.coalesce(_near(t, on, 4)["token"] == ")", F.lit(True)) | (_near(t, on, 4)["item"] != on["item"]) | _near(t, on, 4)["up"].isin("LEFT", "RIGHT", "FULL", "INNER", "CROSS")
         single = (_near(t, on, 2)["token"] == "=") & _near(t, on, 1)["name"].isNotNull() & _near(t, on, 3)["name"].isNotNull() & ended
         key = lambda k: F.when(single, _near(t, on, k)["name"])
-        return F.struct((n + 1).alias("position"), kind.alias("kind"), _near(t, x, 1)["name"].alias("table"), key(1).alias("left_key"), key(3).alias("right_key"), (x["scope"] == 0).alias("main"))
+        return F.struct((n + 1).alias("position"), kind.alias("kind"), F.when(_near(t, x, 1)["up"] == "LATERAL", F.when(_near(t, x, 2)["token"] != "(", _near(t, x, 2)["name"])).otherwise(_near(t, x, 1)["name"]).alias("table"), key(1).alias("left_key"), key(3).alias("right_key"), (x["scope"] == 0).alias("main"))
 
     return F.transform(found, read)
 
@@ -154,18 +168,20 @@ def _predicates(t: Column) -> Column:
         inside = F.filter(t, lambda y: (y["i"] > left["open"]) & (y["i"] < left["i"]) & y["name"].isNotNull() & ~y["calls"] & (F.coalesce(_near(t, y, 1)["up"], F.lit("")) != "FROM"))
         peeled = F.when((left["token"] == ")") & F.get(t, left["open"] - 2)["calls"], F.get(inside, F.lit(0))["name"])
         before = _near(t, left, -1)["up"] == "NOT"
+        low = _operand(t, _near(t, x, 1))
         opened, is_not = _near(t, x, 1), F.coalesce(_near(t, x, 1)["up"] == "NOT", F.lit(False))
         items = F.transform(F.filter(F.slice(t, opened["i"] + 1, F.greatest(F.coalesce(opened["close"] - opened["i"] - 1, F.lit(0)), F.lit(0))), lambda y: y["token"] != ","), lambda y: y["token"])
         value = (
             F.when(x["up"] == "IN", F.when(opened["asks"], F.lit("(subquery)")).otherwise(F.concat(F.lit("("), F.array_join(items, ", "), F.lit(")"))))
-            .when(x["up"] == "BETWEEN", F.concat_ws(" AND ", _near(t, x, 1)["token"], _near(t, x, 3)["token"]))
+            .when(x["up"] == "BETWEEN", F.concat_ws(" AND ", low["text"], _operand(t, F.get(t, low["last"] + 1))["text"]))
             .when(x["up"] == "IS", F.lit("NULL"))
             .when(opened["calls"], _text(t, opened["i"], _near(t, opened, 1)["close"]))
             .when(opened["up"].isin("-", "DATE", "TIMESTAMP", "INTERVAL"), F.concat(opened["token"], F.when(opened["up"] == "-", F.lit("")).otherwise(F.lit(" ")), _near(t, x, 2)["token"]))
             .otherwise(opened["token"])
         )
         operator = F.when(x["up"] == "<>", F.lit("!=")).otherwise(x["up"])
-        return F.struct(F.coalesce(left["name"], peeled).alias("column"), operator.alias("operator"), value.alias("value"), (turned | (F.coalesce(before, F.lit(False))) | ((x["up"] == "IS") & is_not)).alias("negated"), x["scope"].alias("scope"))
+        denied = F.size(F.filter(t, lambda y: (y["token"] == "(") & (y["i"] < x["i"]) & (y["close"] > x["i"]) & (y["scope"] == x["scope"]) & F.coalesce(_near(t, y, -1)["up"] == "NOT", F.lit(False)))) % 2 == 1
+        return F.struct(F.coalesce(left["name"], peeled).alias("column"), operator.alias("operator"), value.alias("value"), ((turned | (F.coalesce(before, F.lit(False))) | ((x["up"] == "IS") & is_not)) != denied).alias("negated"), x["scope"].alias("scope"))
 
     return F.filter(F.transform(found, read), lambda p: p["column"].isNotNull())
 
@@ -190,8 +206,21 @@ def _dates(t: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, read), lambda d: d["column"].isNotNull()))
 
 
+def _broken(t: Column) -> Column:
+    """What shows by itself that a statement can't be read: literals, brackets and CASEs that aren't closed, and nothing selected."""
+    n = lambda what: F.size(F.filter(t, what))
+    early = F.exists(t, lambda x: (x["token"] == ")") & x["open"].isNull())
+    return (
+        F.when(F.exists(t, lambda x: x["token"].isin("'", '"', "`")), "unclosed_literal")
+        .when(early | (n(lambda x: x["token"] == "(") != n(lambda x: x["token"] == ")")), "unbalanced_brackets")
+        .when(n(lambda x: x["up"] == "CASE") != n(lambda x: x["up"] == "END"), "unclosed_case")
+        .when(F.exists(t, lambda x: (x["up"] == "SELECT") & F.coalesce(_near(t, x, 1)["up"].isin("FROM", "WHERE", "GROUP", "ORDER", ")"), F.lit(True))), "nothing_selected")
+        .when(F.exists(t, lambda x: x["base"] & x["up"].isin("WHERE", "FROM", "HAVING") & F.coalesce(_near(t, x, 1)["up"].isin("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", ")"), F.lit(True))), "empty_clause")
+    )
+
+
 def statements(corpus: DataFrame) -> DataFrame:
-    """Every query with its facets, errors as data: parse_error is empty_input, not_a_query or null.
+    """Every query with its facets, errors as data: parse_error is null, empty_input, not_a_query, or what ``_broken`` finds.
 
     tables (in the order in which they are first named, without CTEs and created tables), ctes (alias, body, sources, filters), created,
     aggregations, cases, joins, predicates (scope 0: the outermost query), equality_filters, dimensions, date_parts, has_window.  Rows
@@ -201,7 +230,7 @@ def statements(corpus: DataFrame) -> DataFrame:
     fields = F.struct(*[c for c in rows.columns if c != "query_id"])
     found = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(fields)).alias("t"))
     t = F.coalesce(F.col("t"), F.array().cast(found.schema["t"].dataType))
-    error = F.when(F.coalesce(S.normalised(F.col("sql")), F.lit("")).isin("", "''", '""', "``"), "empty_input").when(~F.exists(t, lambda x: x["up"] == "SELECT"), "not_a_query")
+    error = F.when(F.coalesce(S.normalised(F.col("sql")), F.lit("")).isin("", "''", '""', "``"), "empty_input").when(~F.exists(t, lambda x: x["up"] == "SELECT"), "not_a_query").when(F.size(t) > 0, _broken(t))
     rows = corpus.select("query_id", "prompt", "sql").join(found, "query_id", "left").select("query_id", "prompt", _text(t, F.lit(1), F.size(t)).alias("statement"), error.alias("parse_error"), t.alias("t"))
     t = F.col("t")
     rows = rows.select("*", _ctes(t).alias("c"), _created(t).alias("created"), _table_tokens(t).alias("named"), _predicates(t).alias("predicates"))
