@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismatica.operators import field_order, merge
+from prismatica.operators import field_order, merge, shapes
 from prismatica.registry import query
 from prismatica.samples import values
 from prismatica.sources import modelfiles
@@ -227,3 +227,47 @@ def field_batches(spark, sf):
     rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.expr("c_custkey % 3").alias("v"), F.expr("c_custkey div 3 + 1").alias("at"), "c_custkey")
     name = F.concat(F.lit("w"), F.expr("(c_custkey div 3 * 7) div 50"), F.when(F.expr("c_custkey div 3 % 5 = 0"), F.lit("")).otherwise(F.concat(F.lit("_"), F.col("c_custkey"))))
     return field_order.batches(rows.select(F.concat(F.lit("v"), "v").alias("view"), "at", name.alias("name")))
+
+
+# --- shapes of JSON texts -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT path, COUNT(*) AS n, ANY_VALUE(kind) AS kinds, ANY_VALUE(size) AS least_size, ANY_VALUE(size) AS most_size, '' AS elements, false AS mixed FROM events JOIN (VALUES ('$', 'object', CAST(1 AS BIGINT)), ('$.k', 'int', NULL)) t(path, kind, size) ON props LIKE '{\"k\": %}' GROUP BY path")
+def event_shapes(spark, sf):
+    return shapes.shapes(spark.read.parquet(f"{sf}/events.parquet"), "props")
+
+
+_NESTS = [
+    '{"a": [1, "x", {"b": [[{V}], []]}], "o": {"p": null, "q": true}}',
+    '{"a": [], "o": {"p": {V}.5, "r": {"s": {"t": {"u": {"v": {"w": 1}}}}}}}',
+    '[{V}, 2]',
+    '"text"',
+    "{not json",
+]
+#: Fixed values of the texts above: path, kinds, the templates that have it with how often, sizes, kinds of elements, whether mixed.
+_NEST_FACTS = [
+    ("$", "array,invalid,object,string", "1,1,1,1,1", 2, 2, "int", True),
+    ("$.a", "array", "1,1,0,0,0", 0, 3, "empty|int,object,string", True),
+    ("$.a[]", "int,object,string", "3,0,0,0,0", 1, 1, "", True),
+    ("$.a[].b", "array", "1,0,0,0,0", 2, 2, "array", False),
+    ("$.a[].b[]", "array", "2,0,0,0,0", 0, 1, "empty|int", False),
+    ("$.a[].b[][]", "int", "1,0,0,0,0", None, None, "", False),
+    ("$.o", "object", "1,1,0,0,0", 2, 2, "", False),
+    ("$.o.p", "float,null", "1,1,0,0,0", None, None, "", False),
+    ("$.o.q", "bool", "1,0,0,0,0", None, None, "", False),
+    ("$.o.r", "object", "0,1,0,0,0", 1, 1, "", False),
+    ("$.o.r.s", "object", "0,1,0,0,0", 1, 1, "", False),
+    ("$.o.r.s.t", "object", "0,1,0,0,0", 1, 1, "", False),
+    ("$.o.r.s.t.u", "object", "0,1,0,0,0", 1, 1, "", False),
+    ("$.o.r.s.t.u.v", "object", "0,1,0,0,0", 1, 1, "", False),
+    ("$[]", "int", "0,0,2,0,0", None, None, "", False),
+]
+
+
+@query(
+    f"SELECT path, CAST(SUM(CAST(STRING_SPLIT(times, ',')[event_id % 5 + 1] AS INT)) AS BIGINT) AS n, kinds, CAST(a AS BIGINT) AS least_size, CAST(z AS BIGINT) AS most_size, elements, mixed FROM events JOIN {values(_NEST_FACTS, ('path', 'kinds', 'times', 'a', 'z', 'elements', 'mixed'))} ON true GROUP BY ALL"
+)
+def nested_shapes(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id")
+    template = F.element_at(F.array(*map(F.lit, _NESTS)), (F.col("event_id") % len(_NESTS) + 1).cast("int"))
+    return shapes.shapes(rows.select(F.replace(template, F.lit("{V}"), F.col("user_id").cast("string")).alias("text")), "text")
