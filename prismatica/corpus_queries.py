@@ -506,3 +506,22 @@ def dialect_errors(spark, sf):
 @query(f"SELECT query_id, 'inner' AS kind, CAST(NULL AS VARCHAR) AS \"table\" FROM ({_dialect_facts([(0, 'x')], 'x')})")
 def dialect_joins(spark, sf):
     return corpus.good(dialect_prints(spark, sf)).select("query_id", F.explode("joins").alias("j")).select("query_id", "j.kind", "j.table")
+
+
+GATED = (
+    "SELECT a.x FROM a JOIN b ON a.x = b.x JOIN c ON b.y = c.y JOIN b ON d.z = b.z WHERE a.x > {P}",
+    "WITH lone AS (SELECT '{S}' AS one), next AS (SELECT one FROM lone) SELECT one FROM next",
+    "WITH bare AS () SELECT x FROM a",
+    "WITH far AS (SELECT x FROM unheard_of) SELECT far.x FROM far JOIN a ON far.x = a.x JOIN b ON a.x = b.x",
+    "SELECT a.x FROM a WHERE a.x = (1",
+)
+
+
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS subject, level, finding FROM customer JOIN (VALUES (0, 'block', 'joins come back to b'), (1, 'warn', 'nothing is read by CTE lone'), (2, 'block', 'no body of CTE bare'), (4, 'warn', 'unbalanced_brackets')) t(k, level, finding) ON c_custkey % 5 = k "
+    "UNION ALL SELECT * FROM (VALUES ('unheard_of', 'block', 'not known, but read by CTE far'), ('unheard_of', 'warn', 'few columns are described'), ('b', 'warn', 'few columns are described')) u"
+)
+def discovery_faults(spark, sf):
+    found = corpus.fingerprints(_from_templates(spark, sf, GATED))
+    described = spark.createDataFrame([("a", 0.5), ("b", 0.49), ("c", 1.0)], "table string, coverage double")
+    return proposals.discovery_gate(found, described, known=described)

@@ -86,12 +86,47 @@ def planning_gate(tables: DataFrame, proposed: DataFrame, tokens: DataFrame) ->
     return bare.unionByName(much)
 
 
-def discovery_gate(prints: DataFrame, metadata: DataFrame, least: float = 0.5) -> DataFrame:
-    """subject, level, finding: unreadable queries and poorly described tables warn."""
-    unread = prints.where("parse_error is not null").select(F.col("query_id").cast("string").alias("subject"), F.lit("warn").alias("level"), F.col("parse_error").alias("finding"))
-    used = prints.where("parse_error is null").select(F.explode("tables").alias("table")).distinct()
+def join_cycles(prints: DataFrame) -> DataFrame:
+    """query_id, table: joins of the outermost query that come back to a table already joined, from one that isn't yet.
+
+    One fold over a query's joins in their order, with the set of what was visited before each.
+    """
+    names = lambda j: F.array(F.coalesce(j["left_table"], F.lit("")), F.coalesce(j["table"], F.lit("")))
+    nothing = F.array().cast("array<string>")
+
+    def step(a, j):
+        back = F.array_contains(a["visited"], names(j)[1]) & ~F.array_contains(a["visited"], names(j)[0])
+        return F.struct(F.array_union(a["visited"], names(j)).alias("visited"), F.when(back, F.concat(a["back"], F.array(names(j)[1]))).otherwise(a["back"]).alias("back"))
+
+    ordered = F.array_sort(F.filter("joins", lambda j: j["main"]))
+    folded = F.aggregate(ordered, F.struct(nothing.alias("visited"), nothing.alias("back")), step, lambda a: a["back"])
+    return prints.where("parse_error is null").select("query_id", F.explode(F.array_distinct(folded)).alias("table"))
+
+
+def discovery_gate(prints: DataFrame, metadata: DataFrame, least: float = 0.5, known: DataFrame | None = None) -> DataFrame:
+    """subject, level, finding: what stands against going on with a corpus.
+
+    Unreadable queries, CTEs that read no table and no other CTE, and tables of which less than ``least`` is described, warn.  CTEs
+    without body, join cycles, and sources of CTEs that aren't among the ``known`` tables (if given), block.
+    """
+    good = prints.where("parse_error is null")
+    say = lambda rows, subject, level, finding: rows.select(subject.cast("string").alias("subject"), F.lit(level).alias("level"), (finding if not isinstance(finding, str) else F.lit(finding)).alias("finding"))
+    used = good.select(F.explode("tables").alias("table")).distinct()
     poor = used.join(metadata, "table", "left").where(F.coalesce("coverage", F.lit(0.0)) < least)
-    return unread.unionByName(poor.select(F.col("table").alias("subject"), F.lit("warn").alias("level"), F.lit("few columns are described").alias("finding")))
+    ctes = good.select("query_id", F.explode("cte_parts").alias("c")).select("query_id", "c.*")
+    empty = F.trim("body") == ""
+    out = say(prints.where("parse_error is not null"), F.col("query_id"), "warn", F.col("parse_error"))
+    for more in (
+        say(poor, F.col("table"), "warn", "few columns are described"),
+        say(ctes.where(empty), F.col("query_id"), "block", F.concat(F.lit("no body of CTE "), "alias")),
+        say(ctes.where(~empty & (F.size("sources") == 0) & (F.size("upstream") == 0)), F.col("query_id"), "warn", F.concat(F.lit("nothing is read by CTE "), "alias")),
+        say(join_cycles(prints), F.col("query_id"), "block", F.concat(F.lit("joins come back to "), "table")),
+    ):
+        out = out.unionByName(more)
+    if known is not None:
+        sources = ctes.select("alias", F.explode("sources").alias("table")).distinct().join(known.select("table").distinct(), "table", "left_anti")
+        out = out.unionByName(say(sources, F.col("table"), "block", F.concat(F.lit("not known, but read by CTE "), "alias")))
+    return out
 
 
 def sections(texts: DataFrame, tables: DataFrame) -> DataFrame:

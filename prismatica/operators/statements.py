@@ -107,7 +107,8 @@ def _alias(t: Column, x: Column) -> Column:
 def _ctes(t: Column) -> Column:
     listed = lambda x: _near(t, x, -2)["token"] == ")"  # noqa: E731  names of its columns stand between
     named = lambda x: F.when(listed(x), F.get(t, _near(t, x, -2)["open"] - 2)).otherwise(_near(t, x, -2))
-    found = F.filter(t, lambda x: (x["token"] == "(") & x["asks"] & (_near(t, x, -1)["up"] == "AS") & named(x)["name"].isNotNull() & _near(t, named(x), -1)["up"].isin("WITH", "RECURSIVE", ","))
+    opens = lambda x: (x["token"] == "(") & (x["asks"] | (x["close"] == x["i"] + 1))
+    found = F.filter(t, lambda x: opens(x) & (_near(t, x, -1)["up"] == "AS") & named(x)["name"].isNotNull() & _near(t, named(x), -1)["up"].isin("WITH", "RECURSIVE", ","))
     return F.transform(found, lambda x: F.struct(named(x)["name"].alias("alias"), _text(t, x["i"] + 1, x["close"] - 1).alias("body"), x["i"].alias("from"), x["close"].alias("to")))
 
 
@@ -154,7 +155,8 @@ def _joins(t: Column) -> Column:
         ended = F.coalesce(_near(t, on, 4)["token"] == ")", F.lit(True)) | (_near(t, on, 4)["item"] != on["item"]) | _near(t, on, 4)["up"].isin("LEFT", "RIGHT", "FULL", "INNER", "CROSS")
         single = (_near(t, on, 2)["token"] == "=") & _near(t, on, 1)["name"].isNotNull() & _near(t, on, 3)["name"].isNotNull() & ended
         key = lambda k: F.when(single, _near(t, on, k)["name"])
-        return F.struct((n + 1).alias("position"), kind.alias("kind"), F.when(_near(t, x, 1)["up"] == "LATERAL", F.when(_near(t, x, 2)["token"] != "(", _near(t, x, 2)["name"])).otherwise(_near(t, x, 1)["name"]).alias("table"), key(1).alias("left_key"), key(3).alias("right_key"), (x["scope"] == 0).alias("main"))
+        qualifier = F.when(single, F.nullif(F.regexp_extract(F.regexp_replace(_near(t, on, 1)["token"], "`", ""), r"^(?:.*\.)?(\w[\w-]*)\.\w+$", 1), F.lit("")))
+        return F.struct((n + 1).alias("position"), kind.alias("kind"), qualifier.alias("left_table"), F.when(_near(t, x, 1)["up"] == "LATERAL", F.when(_near(t, x, 2)["token"] != "(", _near(t, x, 2)["name"])).otherwise(_near(t, x, 1)["name"]).alias("table"), key(1).alias("left_key"), key(3).alias("right_key"), (x["scope"] == 0).alias("main"))
 
     return F.transform(found, read)
 
