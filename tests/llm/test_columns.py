@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from prismatica.llm import bpe_codec, decontaminate, quality_crf, secret_scan, substring_dedup, suffix_dedup, token_counts
+from prismatica.llm import bpe_codec, decontaminate, periodic_runs, quality_crf, secret_scan, substring_dedup, suffix_dedup, token_counts
 
 NAMES = ("__text", "__doc", "__th", "__key", "__leaks", "__score", "__spans", "__data", "given", "given0", "leaks", "score_", "v", "key", "a.b", "weird`name", "user name")
 TEXT = 'a token = "abcdefgh" b'
@@ -28,6 +28,7 @@ def items(spark):
         lambda d, _: token_counts.token_counts(d),
         lambda d, _: substring_dedup.remove_repeats(d),
         lambda d, _: suffix_dedup.repeated_spans(d),
+        lambda d, _: periodic_runs.periodic_runs(d),
         lambda d, _: suffix_dedup.remove_repeats(d),
         lambda d, _: secret_scan.scan(d),
         lambda d, _: secret_scan.redact(d, "#"),
