@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismatica.operators import field_order, merge, shapes
+from prismatica.operators import field_order, merge, profile, shapes
 from prismatica.registry import query
 from prismatica.samples import values
 from prismatica.sources import modelfiles
@@ -271,3 +271,17 @@ def nested_shapes(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id")
     template = F.element_at(F.array(*map(F.lit, _NESTS)), (F.col("event_id") % len(_NESTS) + 1).cast("int"))
     return shapes.shapes(rows.select(F.replace(template, F.lit("{V}"), F.col("user_id").cast("string")).alias("text")), "text")
+
+
+# --- columns of tables ------------------------------------------------------------------------------------------------------------------
+
+_CELLS = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS col, '{t}' AS type, TRIM(CAST({c} AS VARCHAR)) AS v, o_orderkey AS at_row FROM orders" for i, c, t in ((2, "o_custkey", "bigint"), (3, "o_orderstatus", "string"), (6, "o_orderpriority", "string")))
+
+
+@query(
+    f"WITH c AS ({_CELLS}), d AS (SELECT position, col, type, v, MIN(at_row) AS first, COUNT(*) AS n FROM c WHERE v <> '' GROUP BY ALL), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY col ORDER BY first, v) AS k FROM d) "
+    "SELECT position, col AS \"column\", type, true AS nullable, CAST(SUM(n) AS BIGINT) AS non_empty, COUNT(*) AS distinct_count, STRING_AGG(v, '|' ORDER BY k) FILTER (WHERE k <= 12) AS first_values, ROUND(SUM(n * LENGTH(v)) / SUM(n), 1) AS avg_length, MAX(LENGTH(v)) AS max_length FROM r GROUP BY position, col, type"
+)
+def table_summary(spark, sf):
+    out = profile.table_summary(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey", ["o_custkey", "o_orderstatus", "o_orderpriority"])
+    return out.withColumn("first_values", F.array_join("first_values", "|"))
