@@ -13,11 +13,12 @@ from prismatica.functions.timeframes import _first_day, in_period, in_year
 _COMPARE = {">=": "__ge__", "<=": "__le__", "!=": "__ne__", "<>": "__ne__", ">": "__gt__", "<": "__lt__", "=": "__eq__"}
 
 
-def _number(text: str) -> float | None:
+def _number(text: str) -> float:
+    """The number that a filter text says; one that can't be read would match nothing without a word, so it is an error."""
     try:
         return float(text)
     except ValueError:
-        return None
+        raise ValueError(f"not a number in a filter: {text.strip()!r}") from None
 
 
 def predicate(column: Column, text: str, kind: str = "string", as_of: dt.datetime | None = None) -> Column:
@@ -32,8 +33,7 @@ def predicate(column: Column, text: str, kind: str = "string", as_of: dt.datetim
         return _period(column, text, as_of)
     m = re.match(r"(>=|<=|!=|<>|>|<|=)\s*(.+)$", text)
     if m:
-        value = _number(m[2]) if kind == "number" else m[2]
-        return getattr(column, _COMPARE[m[1]])(F.lit(m[2] if value is None else value))
+        return getattr(column, _COMPARE[m[1]])(F.lit(_number(m[2]) if kind == "number" else m[2]))
     if kind == "number":
         m = re.match(r"\[?\s*(-?[\d.]+)\s*(?:to|,)\s*(-?[\d.]+)\s*\]?$", text)
         if m:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prismatica.operators.lineage import cut
+
 #: A baseline description of at least so many characters is kept.
 KEEP_DESCRIPTION = 30
 KEY = ["view", "kind", "name"]
@@ -127,13 +129,11 @@ def cycles(edges: DataFrame) -> DataFrame:
     Edges whose table nobody needs, or that need a table without needs, are peeled off until none is left; each round is two semi joins
     over the edges, so paths are never enumerated.
     """
-    spark = edges.sparkSession
     left, size = edges.select("table", "needs").distinct(), -1
     while (now := left.count()) != size:
         size = now
         left = left.join(left.select(F.col("needs").alias("table")).distinct(), "table", "left_semi").join(left.select(F.col("table").alias("needs")).distinct(), "needs", "left_semi")
-        if spark.sparkContext.getCheckpointDir():
-            left = left.checkpoint()
+        left = cut(left)
     return left.select("table").distinct()
 
 

@@ -13,7 +13,9 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     Keys alone are sorted by ranges and counted within each; only one row for each range meets in one task.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    slim = rows.select(key).repartitionByRange(key).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("range"), place.alias("place"))
+    # A fixed number of ranges, so that both reads below see the same ones.
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = rows.select(key).repartitionByRange(ranges, key).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("range"), place.alias("place"))
     so_far = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = slim.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
     return slim.join(before, "range").select(key, (F.col("before") + F.col("place") + 1).alias("number"))

@@ -85,3 +85,11 @@ def test_periods(spark, text, first, last):
 def test_relative_periods_need_a_day(spark):
     with pytest.raises(ValueError, match="as_of"):
         predicate(F.lit(None).cast("timestamp_ntz"), "last 3 months", "time")
+
+
+def test_unreadable_numbers_are_errors():
+    from pyspark.sql import functions as F
+
+    for text in ("12a", ">x", "1,two"):
+        with pytest.raises(ValueError, match="not a number"):
+            predicate(F.col("n"), text, "number")
