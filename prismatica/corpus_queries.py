@@ -11,7 +11,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismatica.operators import containment, corpus, coverage, fields, proposals
+from prismatica.operators import containment, corpus, coverage, fields, proposals, repair
 from prismatica.registry import query
 from prismatica.samples import values
 from prismatica.sources.corpus import model_file_kind, numbered, resolve_baselines
@@ -525,3 +525,35 @@ def discovery_faults(spark, sf):
     found = corpus.fingerprints(_from_templates(spark, sf, GATED))
     described = spark.createDataFrame([("a", 0.5), ("b", 0.49), ("c", 1.0)], "table string, coverage double")
     return proposals.discovery_gate(found, described, known=described)
+
+
+# --- texts that aren't one query, and what mends them --------------------------------------------------------------------------------
+
+#: text, its fault, the steps taken (joined by |), the text after them, and what is still wrong.
+REPAIRS = (
+    ("SELECT a FROM t WHERE s = '{S}; ' -- kept; whole", None, "", "SELECT a FROM t WHERE s = '{S}; ' -- kept; whole", None),
+    ("SELECT a FROM t WHERE s = '{S}' ; ;\n", "trailing_semicolon", "trim_trailing_semicolons", "SELECT a FROM t WHERE s = '{S}'", None),
+    ("SELECT a FROM t WHERE s = ‘{S}’\u00a0AND b > {P};", "foreign_characters", "trim_trailing_semicolons|normalize_smart_quotes", "SELECT a FROM t WHERE s = '{S}' AND b > {P}", None),
+    ("SET x = ';'; -- first\nSELECT a FROM t WHERE b = {P}; SELECT 2", "not_a_query", "first_statement", "-- first\nSELECT a FROM t WHERE b = {P}", None),
+    ("SELECT a FROM t WHERE b = {P}; SELECT 2;", "several_statements", "trim_trailing_semicolons|first_statement", "SELECT a FROM t WHERE b = {P}", None),
+    ("DECLARE d DATE DEFAULT '{S}'\nSELECT a FROM t", "not_a_query", "strip_bq_scripting", "SELECT a FROM t", None),
+    ("BEGIN SELECT “a” FROM t; END", "not_a_query", "normalize_smart_quotes|strip_bq_scripting", 'SELECT "a" FROM t; END', "several_statements"),
+    ("SELECT a FROM t WHERE b = {P} SELECT c FROM u", "clause_order", "", "SELECT a FROM t WHERE b = {P} SELECT c FROM u", "clause_order"),
+    ("SELECT a, FROM WHERE ((", "empty_clause", "", "SELECT a, FROM WHERE ((", "empty_clause"),
+    ("sums of {S}", "not_a_query", "", "sums of {S}", "not_a_query"),
+    ("SELECT EXTRACT(YEAR FROM d), ARRAY_AGG(x ORDER BY y LIMIT 1), t.* EXCEPT (q) FROM t JOIN u ON a = b WHERE CASE WHEN a IS DISTINCT FROM b THEN {P} END > 1 ORDER BY 1;", "trailing_semicolon", "trim_trailing_semicolons", "SELECT EXTRACT(YEAR FROM d), ARRAY_AGG(x ORDER BY y LIMIT 1), t.* EXCEPT (q) FROM t JOIN u ON a = b WHERE CASE WHEN a IS DISTINCT FROM b THEN {P} END > 1 ORDER BY 1", None),
+    (" \"\" ;", "empty_input", "", " \"\" ;", "empty_input"),
+)
+_R_FACTS = facts([(k, *r[1:]) for k, r in enumerate(REPAIRS)], "fault", "steps", "repaired", "remaining").replace(f"c_custkey % {len(TEMPLATES)} = k", f"c_custkey % {len(REPAIRS)} = k")
+
+
+@query(_R_FACTS)
+def sql_repairs(spark, sf):
+    found = repair.repaired(_from_templates(spark, sf, tuple(r[0] for r in REPAIRS)))
+    return found.select("query_id", "fault", F.array_join("steps", "|").alias("steps"), "repaired", "remaining")
+
+
+@query(f"SELECT fault, REPLACE(steps, '|', ' > ') AS steps, remaining, COUNT(*) AS queries FROM ({_R_FACTS}) GROUP BY ALL")
+def sql_repair_counts(spark, sf):
+    return repair.repair_counts(repair.repaired(_from_templates(spark, sf, tuple(r[0] for r in REPAIRS))))
+

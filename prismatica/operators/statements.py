@@ -208,21 +208,8 @@ def _dates(t: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, read), lambda d: d["column"].isNotNull()))
 
 
-def _broken(t: Column) -> Column:
-    """What shows by itself that a statement can't be read: literals, brackets and CASEs that aren't closed, and nothing selected."""
-    n = lambda what: F.size(F.filter(t, what))
-    early = F.exists(t, lambda x: (x["token"] == ")") & x["open"].isNull())
-    return (
-        F.when(F.exists(t, lambda x: x["token"].isin("'", '"', "`")), "unclosed_literal")
-        .when(early | (n(lambda x: x["token"] == "(") != n(lambda x: x["token"] == ")")), "unbalanced_brackets")
-        .when(n(lambda x: x["up"] == "CASE") != n(lambda x: x["up"] == "END"), "unclosed_case")
-        .when(F.exists(t, lambda x: (x["up"] == "SELECT") & F.coalesce(_near(t, x, 1)["up"].isin("FROM", "WHERE", "GROUP", "ORDER", ")"), F.lit(True))), "nothing_selected")
-        .when(F.exists(t, lambda x: x["base"] & x["up"].isin("WHERE", "FROM", "HAVING") & F.coalesce(_near(t, x, 1)["up"].isin("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", ")"), F.lit(True))), "empty_clause")
-    )
-
-
 def statements(corpus: DataFrame) -> DataFrame:
-    """Every query with its facets, errors as data: parse_error is null, empty_input, not_a_query, or what ``_broken`` finds.
+    """Every query with its facets, errors as data: parse_error is null, empty_input, not_a_query, or what ``sqltext.fault`` finds.
 
     tables (in the order in which they are first named, without CTEs and created tables), ctes (alias, body, sources, filters), created,
     aggregations, cases, joins, predicates (scope 0: the outermost query), equality_filters, dimensions, date_parts, has_window.  Rows
@@ -232,7 +219,7 @@ def statements(corpus: DataFrame) -> DataFrame:
     fields = F.struct(*[c for c in rows.columns if c != "query_id"])
     found = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(fields)).alias("t"))
     t = F.coalesce(F.col("t"), F.array().cast(found.schema["t"].dataType))
-    error = F.when(F.coalesce(S.normalised(F.col("sql")), F.lit("")).isin("", "''", '""', "``"), "empty_input").when(~F.exists(t, lambda x: x["up"] == "SELECT"), "not_a_query").when(F.size(t) > 0, _broken(t))
+    error = F.when(F.coalesce(S.normalised(F.col("sql")), F.lit("")).isin("", "''", '""', "``"), "empty_input").when(~F.exists(t, lambda x: x["up"] == "SELECT"), "not_a_query").when(F.size(t) > 0, S.fault(F.transform(t, lambda x: x["token"])))
     rows = corpus.select("query_id", "prompt", "sql").join(found, "query_id", "left").select("query_id", "prompt", _text(t, F.lit(1), F.size(t)).alias("statement"), error.alias("parse_error"), t.alias("t"))
     t = F.col("t")
     rows = rows.select("*", _ctes(t).alias("c"), _created(t).alias("created"), _table_tokens(t).alias("named"), _predicates(t).alias("predicates"))
