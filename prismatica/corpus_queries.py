@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prismatica.operators import containment, corpus, coverage, fields, proposals, repair
 from prismatica.registry import query
-from prismatica.samples import values
+from prismatica.samples import for_customers, values, values_for_customers
 from prismatica.sources.corpus import model_file_kind, numbered, resolve_baselines
 
 TEMPLATES = (
@@ -270,9 +270,17 @@ NEEDS = [
 _NEEDED = f"SELECT query_id, need, f, col, LOWER(parts) AS parts, COALESCE(ok, c_mktsegment = 'BUILDING') AS covered FROM ({facts(NEEDS, 'need', 'f', 'col', 'parts', 'ok')}) JOIN customer ON c_custkey = query_id"
 
 
+_FIELD_TYPES = "view string, kind string, name string, type string, sql string, label string, description string, tags array<string>"
+
+
+def fields_for_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields of the model, once more for the views of each customer."""
+    return for_customers(spark, sf, FIELDS, _FIELD_TYPES, "view")
+
+
 def model(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (
-        spark.createDataFrame(FIELDS, "view string, kind string, name string, type string, sql string, label string, description string, tags array<string>"),
+        spark.createDataFrame(FIELDS, _FIELD_TYPES),
         spark.createDataFrame(VIEWS, "view string, table string, derived string"),
         spark.createDataFrame(EXPLORES, "explore string, base string, always_where string, joins array<struct<view:string,sql_on:string,relationship:string>>"),
     )
@@ -366,11 +374,11 @@ def reconstruction_faults(spark, sf):
 
 
 @query(
-    "SELECT * FROM (VALUES ('orders', 'dim', 'o_orderpriority', 'short_description'), ('orders', 'dim', 'o_orderstatus', 'missing_description'), ('orders', 'dim', 'o_orderstatus', 'missing_label'), ('orders', 'dim', 'o_orderstatus', 'missing_tags'), "
+    "SELECT view || '_' || c_custkey AS view, kind, CASE WHEN kind = 'view' THEN name || '_' || c_custkey ELSE name END AS name, gap FROM customer CROSS JOIN (VALUES ('orders', 'dim', 'o_orderpriority', 'short_description'), ('orders', 'dim', 'o_orderstatus', 'missing_description'), ('orders', 'dim', 'o_orderstatus', 'missing_label'), ('orders', 'dim', 'o_orderstatus', 'missing_tags'), "
     "('orders', 'measure', 'total_price', 'missing_value_format'), ('lineitem', 'measure', 'least_quantity', 'missing_value_format'), ('orders', 'view', 'orders', 'promote_to_dim_group'), ('final_dt', 'view', 'final_dt', 'missing_primary_key')) t(view, kind, name, gap)"
 )
 def baseline_gaps(spark, sf):
-    return proposals.baseline_gaps(model(spark)[0])
+    return proposals.baseline_gaps(fields_for_customers(spark, sf))
 
 
 @query(
@@ -397,9 +405,9 @@ def needed_and_existing(spark, sf):
     return out.select("table", "dimensions", "measures", "dim_groups", "has_key", *[F.array_join(c, ",").alias(c) for c in ("needed_measures", "needed_dim_groups", "needed_derived", "common_filters")])
 
 
-@query("SELECT * FROM (VALUES ('orders', 'existing_preserved', 2), ('orders', 'gold_query', 1), ('orders', 'mdm', 1), ('orders', 'inferred', 2), ('final_dt', 'gold_query', 1), ('lineitem', 'inferred', 1)) t(view, origin, n)")
+@query("SELECT view || '_' || c_custkey AS view, origin, n FROM customer CROSS JOIN (VALUES ('orders', 'existing_preserved', 2), ('orders', 'gold_query', 1), ('orders', 'mdm', 1), ('orders', 'inferred', 2), ('final_dt', 'gold_query', 1), ('lineitem', 'inferred', 1)) t(view, origin, n)")
 def field_origins(spark, sf):
-    rows = model(spark)[0]
+    rows = fields_for_customers(spark, sf)
     named = lambda *names: reduce(lambda c, n: c | (F.col("name") == n), names, F.lit(False))
     return proposals.origins(rows, rows.where(named("o_orderkey", "o_orderpriority")), rows.where(named("o_orderstatus", "o_custkey")), rows.where(named("ship_date")))
 
@@ -438,16 +446,16 @@ def baseline_files(spark, sf):
     return resolve_baselines(nations.unionByName(regions), files)
 
 
-@query("SELECT name, CASE WHEN type = 'time' THEN 'dimension_group' WHEN type IN ('sum', 'min') OR type = 'number' THEN 'measure' ELSE 'dimension' END AS kind FROM " + values([(f[2], f[3]) for f in FIELDS], ("name", "type")))
+@query("SELECT name, CASE WHEN type = 'time' THEN 'dimension_group' WHEN type IN ('sum', 'min') OR type = 'number' THEN 'measure' ELSE 'dimension' END AS kind FROM " + values_for_customers([(f[2], f[3]) for f in FIELDS], ("name", "type"), "name"))
 def field_kinds(spark, sf):
-    return model(spark)[0].select("name", fields.field_kind(F.col("type")).alias("kind"))
+    return for_customers(spark, sf, FIELDS, _FIELD_TYPES, "name").select("name", fields.field_kind(F.col("type")).alias("kind"))
 
 
 @query(
-    "SELECT * FROM (VALUES ('orders', 'fail', 'fields without description', 'descriptions of unusual length'), ('final_dt', 'fail', 'no primary key', 'no measures'), ('lineitem', 'fail', 'no primary key', '')) t(view, status, blocking, warnings)"
+    "SELECT view || '_' || c_custkey AS view, status, blocking, warnings FROM customer CROSS JOIN (VALUES ('orders', 'fail', 'fields without description', 'descriptions of unusual length'), ('final_dt', 'fail', 'no primary key', 'no measures'), ('lineitem', 'fail', 'no primary key', '')) t(view, status, blocking, warnings)"
 )
 def enrichment_gate(spark, sf):
-    return fields.enrichment_gate(model(spark)[0])
+    return fields.enrichment_gate(fields_for_customers(spark, sf))
 
 
 @query("SELECT c_custkey, 2.0 / 3 AS share FROM customer")

@@ -346,35 +346,35 @@ def default_measures(spark, sf):
 
 # --- names ------------------------------------------------------------------------------------------------------------------------
 
-_NAMES = ("rpt_dt", "order_date", "as_of_ts", "created_timestamp", "_dt", "cust_xref_id", "billed-business", "acct_bill_bal_mth01_amt", "leaf_in", "UPPER_Name", "region_cd", "a__b", "key")
-_NAME_ROWS = "(VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") t(name)"
+_FORMS = ("{K}_dt", "{K}_order_date", "seen_{K}_ts", "{K}_made_timestamp", "made_timestamp_{K}", "_dt", "{K}_xref_id", "{K}-to-{K}", "leaf_in_{K}", "UPPER_{K}_Name", "{K}_cd", "a__{K}", "key{K}", "{K}_key")
+_NAME_ROWS = samples.sql_texts_for_customers(_FORMS, "name")
 
 
-def _names(spark):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string")
+def _names(spark, sf):
+    return samples.texts_for_customers(spark, sf, _FORMS, "name")
 
 
 @query(f"SELECT name, ARRAY_TO_STRING(LIST_TRANSFORM(STRING_SPLIT(TRIM(REGEXP_REPLACE(name, '[-_]+', ' ', 'g')), ' '), lambda w: UPPER(w[1]) || LOWER(w[2:])), ' ') AS label FROM {_NAME_ROWS}")
 def label_fallback(spark, sf):
-    return _names(spark).select("name", naming.label(F.col("name")).alias("label"))
+    return _names(spark, sf).select("name", naming.label(F.col("name")).alias("label"))
 
 
 @query(f"SELECT name, COALESCE(NULLIF(REGEXP_REPLACE(name, '(_dt|_date|_ts|_timestamp)$', ''), ''), name) AS dim_group FROM {_NAME_ROWS}")
 def dim_group_name(spark, sf):
-    return _names(spark).select("name", naming.dimension_group_name(F.col("name")).alias("dim_group"))
+    return _names(spark, sf).select("name", naming.dimension_group_name(F.col("name")).alias("dim_group"))
 
 
 @query(f"SELECT name, REGEXP_REPLACE(name, '[^A-Za-z0-9]', '_', 'g') AS safe, REGEXP_MATCHES(LOWER(name), '(_id|_xref_id|_uuid|_key|_cd)$') AS is_key FROM {_NAME_ROWS}")
 def safe_key(spark, sf):
-    return _names(spark).select("name", naming.safe_key(F.col("name")).alias("safe"), naming.is_key_candidate(F.col("name")).alias("is_key"))
+    return _names(spark, sf).select("name", naming.safe_key(F.col("name")).alias("safe"), naming.is_key_candidate(F.col("name")).alias("is_key"))
 
 
-_EXPRESSIONS = ("${TABLE}.a + ${view_a.b_c}", "SUM(${x}) / NULLIF(${y.z}, 0)", "no refs", "${1bad} ${ok}")
+_EXPRESSIONS = ("${TABLE}.a + ${view_{K}.b_c}", "SUM(${x{K}}) / NULLIF(${y.{K}}, 0)", "no refs of {K}", "${1{K}} ${ok}")
 
 
-@query("SELECT expr, ARRAY_TO_STRING(REGEXP_EXTRACT_ALL(expr, '\\$\\{([a-zA-Z_][a-zA-Z0-9_.]*)\\}', 1), ',') AS refs FROM (VALUES " + ", ".join(f"('{e}')" for e in _EXPRESSIONS) + ") t(expr)")
+@query("SELECT expr, ARRAY_TO_STRING(REGEXP_EXTRACT_ALL(expr, '\\$\\{([a-zA-Z_][a-zA-Z0-9_.]*)\\}', 1), ',') AS refs FROM " + samples.sql_texts_for_customers(_EXPRESSIONS, "expr"))
 def ref_extract(spark, sf):
-    return spark.createDataFrame([(e,) for e in _EXPRESSIONS], "expr string").select("expr", F.array_join(naming.references(F.col("expr")), ",").alias("refs"))
+    return samples.texts_for_customers(spark, sf, _EXPRESSIONS, "expr").select("expr", F.array_join(naming.references(F.col("expr")), ",").alias("refs"))
 
 
 @query("SELECT token, COUNT(*) AS n FROM (SELECT UNNEST(LIST_DISTINCT(LIST_FILTER(REGEXP_EXTRACT_ALL(LOWER(text), '[a-z][a-z0-9_]*'), lambda t: LENGTH(t) > 2))) AS token FROM conversations WHERE role = 'user') GROUP BY token")
@@ -383,20 +383,20 @@ def tokenise(spark, sf):
     return rows.select(F.explode(naming.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-# --- embedded facets ----------------------------------------------------------------------------------------------------------
+# --- facets of queries on the views of each customer ----------------------------------------------------------------------------------------------------------
 
-def _viewed(spark):
-    return spark.createDataFrame(samples.FACETS, "query_id string, view string, dimensions array<string>, aggregations array<struct<function:string,column:string,distinct:boolean>>, filter_columns array<string>, equality_filters array<struct<column:string,value:string>>, prompt string")
+def _viewed(spark, sf):
+    return samples.for_customers(spark, sf, samples.FACETS, "query_id string, view string, dimensions array<string>, aggregations array<struct<function:string,column:string,distinct:boolean>>, filter_columns array<string>, equality_filters array<struct<column:string,value:string>>, prompt string", "view")
 
 
-_USES = samples.values([(q, v, c) for q, v, d, a, f, _, _ in samples.FACETS for c in [*d, *[x[1] for x in a if x[1]], *f]], ("query_id", "view", "col"))
-_EQUALS = samples.values([(q, v, c, x) for q, v, _, _, _, e, _ in samples.FACETS for c, x in e], ("query_id", "view", "col", "value"))
-_PROMPTS = samples.values([(q, v, p) for q, v, _, _, _, _, p in samples.FACETS], ("query_id", "view", "prompt"))
+_USES = samples.values_for_customers([(q, v, c) for q, v, d, a, f, _, _ in samples.FACETS for c in [*d, *[x[1] for x in a if x[1]], *f]], ("query_id", "view", "col"), "view")
+_EQUALS = samples.values_for_customers([(q, v, c, x) for q, v, _, _, _, e, _ in samples.FACETS for c, x in e], ("query_id", "view", "col", "value"), "view")
+_PROMPTS = samples.values_for_customers([(q, v, p) for q, v, _, _, _, _, p in samples.FACETS], ("query_id", "view", "prompt"), "view")
 
 
 @query(f'SELECT view, col AS "column", COUNT(*) AS n FROM {_USES} GROUP BY view, col')
 def field_frequency(spark, sf):
-    return corpus.field_frequency(_viewed(spark))
+    return corpus.field_frequency(_viewed(spark, sf))
 
 
 @query(
@@ -404,7 +404,7 @@ def field_frequency(spark, sf):
     'SELECT b.view, col AS "column", value, ROUND(n / k, 4) AS share FROM best b JOIN total t ON b.view = t.view WHERE p = 1 AND n >= 0.8 * k'
 )
 def default_filters(spark, sf):
-    return corpus.default_filters(_viewed(spark))
+    return corpus.default_filters(_viewed(spark, sf))
 
 
 @query(
@@ -413,7 +413,7 @@ def default_filters(spark, sf):
     'SELECT view, token, col AS "column", n FROM k WHERE n >= 2 OR choices = 1'
 )
 def vocab_cooccurrence(spark, sf):
-    return corpus.vocabulary(_viewed(spark))
+    return corpus.vocabulary(_viewed(spark, sf))
 
 
 # --- fields: merge, catalogs, coverage --------------------------------------------------------------------------------------------
@@ -421,11 +421,18 @@ def vocab_cooccurrence(spark, sf):
 _FIELD_COLUMNS = ("view", "kind", "name", "type", "sql", "label", "description", "tags")
 
 
-def _fields(spark, rows):
-    return spark.createDataFrame([(*r[:7], r[7].split(",") if r[7] else []) for r in rows], "view string, kind string, name string, type string, sql string, label string, description string, tags array<string>")
+_FIELD_TYPES = "view string, kind string, name string, type string, sql string, label string, description string, tags array<string>"
 
 
-_B, _E = samples.values(samples.BASELINE, _FIELD_COLUMNS), samples.values(samples.ENRICHED, _FIELD_COLUMNS)
+def _one_model(spark, rows):
+    return spark.createDataFrame([(*r[:7], r[7].split(",") if r[7] else []) for r in rows], _FIELD_TYPES)
+
+
+def _fields(spark, sf, rows):
+    return samples.for_customers(spark, sf, [(*r[:7], r[7].split(",") if r[7] else []) for r in rows], _FIELD_TYPES, "view")
+
+
+_B, _E = samples.values_for_customers(samples.BASELINE, _FIELD_COLUMNS, "view"), samples.values_for_customers(samples.ENRICHED, _FIELD_COLUMNS, "view")
 
 
 @query(
@@ -435,7 +442,7 @@ _B, _E = samples.values(samples.BASELINE, _FIELD_COLUMNS), samples.values(sample
     f"FROM (SELECT * FROM {_B}) b FULL JOIN (SELECT * FROM {_E}) e ON b.view = e.view AND b.kind = e.kind AND b.name = e.name"
 )
 def merge_fields(spark, sf):
-    merged = fields.merge_fields(_fields(spark, samples.BASELINE), _fields(spark, samples.ENRICHED))
+    merged = fields.merge_fields(_fields(spark, sf, samples.BASELINE), _fields(spark, sf, samples.ENRICHED))
     return merged.withColumn("tags", F.array_join(F.array_sort("tags"), ","))
 
 
@@ -444,12 +451,12 @@ def merge_fields(spark, sf):
     "WHERE LENGTH(b.description) BETWEEN 1 AND 29 AND e.description <> '' AND e.description <> b.description"
 )
 def merge_ledger(spark, sf):
-    return fields.overwrites(_fields(spark, samples.BASELINE), _fields(spark, samples.ENRICHED))
+    return fields.overwrites(_fields(spark, sf, samples.BASELINE), _fields(spark, sf, samples.ENRICHED))
 
 
 @query(f"SELECT view || '.' || name AS metric, type, sql, label FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY view, name ORDER BY label, sql) AS p FROM (SELECT * FROM {_B} UNION ALL SELECT * FROM {_E}) WHERE kind = 'measure') WHERE p = 1")
 def metric_catalog(spark, sf):
-    both = _fields(spark, samples.BASELINE).unionByName(_fields(spark, samples.ENRICHED))
+    both = _fields(spark, sf, samples.BASELINE).unionByName(_fields(spark, sf, samples.ENRICHED))
     return fields.metric_catalog(both)
 
 
@@ -458,17 +465,17 @@ def metric_catalog(spark, sf):
     f"COUNT(*) FILTER (WHERE tags = '') AS no_tags, COUNT(*) FILTER (WHERE kind = 'measure') AS n_measures, COUNT(*) FILTER (WHERE kind = 'dimension_group') AS n_dates FROM {_B} GROUP BY view"
 )
 def baseline_quality(spark, sf):
-    return fields.baseline_quality(_fields(spark, samples.BASELINE))
+    return fields.baseline_quality(_fields(spark, sf, samples.BASELINE))
 
 
-def _needs(spark):
-    return spark.createDataFrame(samples.NEEDS, "query_id string, need string, function string, column string")
+def _needs(spark, sf):
+    return samples.for_customers(spark, sf, samples.NEEDS, "query_id string, need string, function string, column string", "query_id")
 
 
-_NEEDS = samples.values(samples.NEEDS, ("query_id", "need", "function", "col"))
+_NEEDS = samples.values_for_customers(samples.NEEDS, ("query_id", "need", "function", "col"), "query_id")
 _COVERED = (
     "ans AS (SELECT * FROM (VALUES ('SUM','sum'),('SUM','sum_distinct'),('COUNT','count'),('COUNT','count_distinct'),('AVG','average'),('AVG','average_distinct'),('MIN','min'),('MAX','max')) t(function, type)), "
-    f"f AS (SELECT * FROM {_E}), n AS (SELECT * FROM {_NEEDS}), checked AS (SELECT query_id, need, function, col, CASE WHEN need = 'dimension' THEN EXISTS (SELECT 1 FROM f WHERE kind <> 'measure' AND (LOWER(f.name) = LOWER(col) "
+    f"f AS (SELECT * FROM {samples.values(samples.ENRICHED, _FIELD_COLUMNS)}), n AS (SELECT * FROM {_NEEDS}), checked AS (SELECT query_id, need, function, col, CASE WHEN need = 'dimension' THEN EXISTS (SELECT 1 FROM f WHERE kind <> 'measure' AND (LOWER(f.name) = LOWER(col) "
     "OR LIST_CONTAINS(REGEXP_EXTRACT_ALL(LOWER(f.sql), '\\w+'), LOWER(col)))) ELSE EXISTS (SELECT 1 FROM f JOIN ans ON f.type = ans.type WHERE f.kind = 'measure' AND ans.function = n.function AND (col IS NULL OR LOWER(f.name) = LOWER(col) "
     "OR LIST_CONTAINS(REGEXP_EXTRACT_ALL(LOWER(f.sql), '\\w+'), LOWER(col)))) END AS covered FROM n)"
 )
@@ -476,53 +483,54 @@ _COVERED = (
 
 @query(f"WITH {_COVERED} SELECT query_id, BOOL_AND(covered) AS covered, COUNT(*) FILTER (WHERE NOT covered) AS missing FROM checked GROUP BY query_id")
 def coverage_by_query(spark, sf):
-    return fields.coverage_by_query(fields.coverage(_needs(spark), _fields(spark, samples.ENRICHED)))
+    return fields.coverage_by_query(fields.coverage(_needs(spark, sf), _one_model(spark, samples.ENRICHED)))
 
 
 @query(f"WITH {_COVERED} SELECT CONCAT_WS(' ', need, COALESCE(function, ''), COALESCE(LOWER(col), '*')) AS gap, 'prompt_fix' AS category, COUNT(*) AS n FROM checked WHERE NOT covered GROUP BY 1 ORDER BY n DESC, gap LIMIT 10")
 def coverage_gaps(spark, sf):
-    return fields.gaps(fields.coverage(_needs(spark), _fields(spark, samples.ENRICHED)))
+    return fields.gaps(fields.coverage(_needs(spark, sf), _one_model(spark, samples.ENRICHED)))
 
 
 @query(f"WITH {_COVERED}, now AS (SELECT query_id, BOOL_AND(covered) AS covered FROM checked GROUP BY query_id) SELECT DISTINCT query_id FROM n WHERE query_id NOT IN (SELECT query_id FROM now WHERE covered)")
 def regressions(spark, sf):
-    now = fields.coverage_by_query(fields.coverage(_needs(spark), _fields(spark, samples.ENRICHED)))
+    now = fields.coverage_by_query(fields.coverage(_needs(spark, sf), _one_model(spark, samples.ENRICHED)))
     return fields.regressions(now.select("query_id", F.lit(True).alias("covered")), now)
 
 
-@query("SELECT approver, approved, COUNT(*) AS n FROM (VALUES ('ann', true), ('ann', false), ('bo', true), ('ann', true)) t(approver, approved) GROUP BY ALL")
+@query("SELECT o_orderpriority AS approver, o_orderstatus = 'F' AS approved, COUNT(*) AS n FROM orders GROUP BY ALL")
 def approval_summary(spark, sf):
-    return fields.approval_summary(spark.createDataFrame([("ann", True), ("ann", False), ("bo", True), ("ann", True)], "approver string, approved boolean"))
+    decisions = _reader(spark, sf)("orders").select(F.col("o_orderpriority").alias("approver"), (F.col("o_orderstatus") == "F").alias("approved"))
+    return fields.approval_summary(decisions)
 
 
-@query("SELECT tbl AS \"table\", CAST(COUNT(*) AS BIGINT) AS n_columns, ROUND(COUNT(*) FILTER (WHERE d <> '') / COUNT(*), 3) AS coverage FROM (VALUES ('orders', 'a', 'x'), ('orders', 'b', ''), ('orders', 'c', 'z'), ('part', 'p', '')) t(tbl, c, d) GROUP BY tbl")
+@query("SELECT c_mktsegment AS \"table\", COUNT(*) AS n_columns, ROUND(COUNT(*) FILTER (WHERE c_acctbal > 1000) / COUNT(*), 3) AS coverage FROM customer GROUP BY c_mktsegment")
 def metadata_share(spark, sf):
-    rows = [("orders", "a", "x"), ("orders", "b", ""), ("orders", "c", "z"), ("part", "p", "")]
-    return metadata_coverage(spark.createDataFrame(rows, "table string, name string, description string"))
+    described = F.when(F.col("c_acctbal") > 1000, "rich").when(F.col("c_acctbal") > 0, " ")
+    return metadata_coverage(_reader(spark, sf)("customer").select(F.col("c_mktsegment").alias("table"), F.col("c_name").alias("name"), described.alias("description")))
 
 
 # --- proposals and gates ----------------------------------------------------------------------------------------------------------
 
 _TYPES = [("orders", "o_orderstatus", "STRING"), ("orders", "o_custkey", "INT64"), ("customer", "c_nationkey", "INTEGER")]
-_AGGREGATES = samples.values([(v, f, c, d) for _, v, _, a, _, _, _ in samples.FACETS for f, c, d in a], ("view", "f", "col", "dist"))
-_PLAIN = samples.values([(v, c) for _, v, d, _, f, _, _ in samples.FACETS for c in [*d, *f] if c != "o_orderdate"], ("view", "col"))
+_AGGREGATES = samples.values_for_customers([(v, f, c, d) for _, v, _, a, _, _, _ in samples.FACETS for f, c, d in a], ("view", "f", "col", "dist"), "view")
+_PLAIN = samples.values_for_customers([(v, c) for _, v, d, _, f, _, _ in samples.FACETS for c in [*d, *f] if c != "o_orderdate"], ("view", "col"), "view")
 
 
-def _context(spark):
-    viewed = _viewed(spark).withColumnRenamed("view", "table")
+def _context(spark, sf):
+    viewed = _viewed(spark, sf).withColumnRenamed("view", "table")
     dates = F.array(F.struct(F.lit("o_orderdate").alias("column"), F.lit("YEAR").alias("function")))
     grouped = viewed.groupBy("table").agg(F.flatten(F.collect_list("filter_columns")).alias("filter_columns"), F.flatten(F.collect_list("dimensions")).alias("dimensions"), F.flatten(F.collect_list("aggregations")).alias("aggregations"))
-    return grouped.withColumn("date_parts", F.when(F.col("table") == "orders", dates).otherwise(F.array().cast("array<struct<column:string,function:string>>"))).withColumn("ctes", F.array(F.lit("recent")))
+    return grouped.withColumn("date_parts", F.when(F.col("table").startswith("orders_"), dates).otherwise(F.array().cast("array<struct<column:string,function:string>>"))).withColumn("ctes", F.array(F.lit("recent")))
 
 
-def _proposed(spark):
-    return proposals.propose_fields(_context(spark), spark.createDataFrame(_TYPES, "table string, name string, type string"))
+def _proposed(spark, sf):
+    return proposals.propose_fields(_context(spark, sf), samples.for_customers(spark, sf, _TYPES, "table string, name string, type string", "table"))
 
 
 _PROPOSED = (
-    f"a AS (SELECT * FROM {_AGGREGATES}), p AS (SELECT DISTINCT view, col FROM {_PLAIN}), t AS (SELECT * FROM {samples.values(_TYPES, ('view', 'col', 'w'))}), "
+    f"a AS (SELECT * FROM {_AGGREGATES}), p AS (SELECT DISTINCT view, col FROM {_PLAIN}), t AS (SELECT * FROM {samples.values_for_customers(_TYPES, ('view', 'col', 'w'), 'view')}), "
     "fields AS (SELECT p.view AS \"table\", 'dimension' AS kind, p.col AS name, CASE WHEN w IN ('NUMERIC', 'FLOAT64', 'INT64', 'INTEGER', 'NUMBER') THEN 'number' WHEN w IN ('BOOL', 'BOOLEAN') THEN 'yesno' ELSE 'string' END AS type FROM p "
-    "LEFT JOIN t ON p.view = t.view AND p.col = t.col WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.view = p.view AND a.col = p.col) UNION SELECT 'orders', 'dimension_group', 'o_orderdate', 'time' UNION "
+    "LEFT JOIN t ON p.view = t.view AND p.col = t.col WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.view = p.view AND a.col = p.col) UNION SELECT view, 'dimension_group', 'o_orderdate', 'time' FROM a WHERE view LIKE 'orders%' UNION "
     "SELECT view, 'measure', CASE WHEN dist THEN 'unique' ELSE LIST_EXTRACT(['total', 'count', 'avg', 'min', 'max'], LIST_POSITION(['SUM', 'COUNT', 'AVG', 'MIN', 'MAX'], f)) END || '_' || col, "
     "CASE WHEN dist THEN 'count_distinct' ELSE LIST_EXTRACT(['sum', 'count', 'average', 'min', 'max'], LIST_POSITION(['SUM', 'COUNT', 'AVG', 'MIN', 'MAX'], f)) END FROM a WHERE col IS NOT NULL "
     "UNION SELECT view, 'derived_table', 'recent_dt', NULL FROM a)"
@@ -531,18 +539,18 @@ _PROPOSED = (
 
 @query(f"WITH {_PROPOSED} SELECT * FROM fields")
 def propose_fields(spark, sf):
-    return _proposed(spark).drop("sql")
+    return _proposed(spark, sf).drop("sql")
 
 
 _EXISTING = [("orders", "dimension", "o_orderstatus"), ("customer", "derived_table", "recent_dt"), ("orders", "dimension_group", "o_orderdate")]
 
 
 @query(
-    f"WITH {_PROPOSED}, old AS (SELECT * FROM {samples.values(_EXISTING, ('tbl', 'kind', 'name'))}), new AS (SELECT f.* FROM fields f ANTI JOIN old ON f.\"table\" = old.tbl AND f.kind = old.kind AND f.name = old.name) "
+    f"WITH {_PROPOSED}, old AS (SELECT * FROM {samples.values_for_customers(_EXISTING, ('tbl', 'kind', 'name'), 'tbl')}), new AS (SELECT f.* FROM fields f ANTI JOIN old ON f.\"table\" = old.tbl AND f.kind = old.kind AND f.name = old.name) "
     "SELECT \"table\", COUNT(*) AS n_changes, COUNT(*) FILTER (WHERE kind IN ('primary_key', 'dimension_group', 'derived_table', 'case_dimension')) = 0 AS auto_approved FROM new GROUP BY 1"
 )
 def auto_approval(spark, sf):
-    return proposals.auto_approved(proposals.changes(_proposed(spark), spark.createDataFrame(_EXISTING, "table string, kind string, name string")))
+    return proposals.auto_approved(proposals.changes(_proposed(spark, sf), samples.for_customers(spark, sf, _EXISTING, "table string, kind string, name string", "table")))
 
 
 _REVIEWS = [
@@ -551,20 +559,20 @@ _REVIEWS = [
     ("part", "- [ ] APPROVED\n- [ ] REJECTED\nFeedback:"),
     ("nation", "* [x] REJECTED\n"),
 ]
-_REVIEW_ROWS = samples.values(_REVIEWS, ("tbl", "text"))
+_REVIEW_ROWS = samples.values_for_customers(_REVIEWS, ("tbl", "text"), "tbl")
 _DECIDED = (
     f"r AS (SELECT tbl, text, REGEXP_EXTRACT_ALL(text, '(?m)^\\s*[-*]\\s*\\[[xX]\\]\\s*(APPROVED|REJECTED)', 1) AS t FROM {_REVIEW_ROWS}), "
     "decided AS (SELECT tbl, CASE WHEN LEN(t) > 0 THEN LOWER(t[-1]) ELSE 'pending' END AS decision, TRIM(REGEXP_EXTRACT(text, '(?is)feedback:\\s*(.*)$', 1)) AS feedback FROM r)"
 )
 
 
-def _decided(spark):
-    return proposals.approvals(spark.createDataFrame(_REVIEWS, "table string, text string"))
+def _reviews(spark, sf):
+    return samples.for_customers(spark, sf, _REVIEWS, "table string, text string", "table")
 
 
 @query(f'WITH {_DECIDED} SELECT tbl AS "table", decision, feedback FROM decided')
 def review_decisions(spark, sf):
-    return _decided(spark)
+    return proposals.approvals(_reviews(spark, sf))
 
 
 @query(
@@ -573,12 +581,19 @@ def review_decisions(spark, sf):
     "COALESCE(CASE WHEN 2 * a < k THEN 'under half approved' END, '') AS warnings FROM n"
 )
 def approval_gate(spark, sf):
-    return proposals.approval_gate(spark.createDataFrame([(t,) for t, _ in _REVIEWS], "table string"), _decided(spark))
+    return proposals.approval_gate(_reviews(spark, sf).select("table"), proposals.approvals(_reviews(spark, sf)))
 
 
-@query(f"WITH {_PROPOSED} SELECT t AS \"table\", 'no dimension or measure' AS fault FROM (VALUES ('orders'), ('part')) v(t) WHERE t NOT IN (SELECT \"table\" FROM fields WHERE kind IN ('dimension', 'measure')) UNION ALL SELECT NULL, 'too many tokens'")
+_PLANNED = [("orders",), ("part",)]
+
+
+@query(
+    f"WITH {_PROPOSED} SELECT tbl AS \"table\", 'no dimension or measure' AS fault FROM {samples.values_for_customers(_PLANNED, ('tbl',), 'tbl')} WHERE tbl NOT IN (SELECT \"table\" FROM fields WHERE kind IN ('dimension', 'measure')) "
+    "UNION ALL SELECT NULL, 'too many tokens' WHERE (SELECT SUM(100 * c_custkey) FROM customer) > 800000"
+)
 def planning_gate(spark, sf):
-    return proposals.planning_gate(spark.createDataFrame([("orders",), ("part",)], "table string"), _proposed(spark), spark.createDataFrame([(500_000,), (400_000,)], "tokens int"))
+    tokens = _reader(spark, sf)("customer").select((100 * F.col("c_custkey")).alias("tokens"))
+    return proposals.planning_gate(samples.for_customers(spark, sf, _PLANNED, "table string", "table"), _proposed(spark, sf), tokens)
 
 
 # --- profiles ---------------------------------------------------------------------------------------------------------------------

@@ -1,7 +1,13 @@
-"""Small embedded inputs of corpus and field queries: texts of our own over the driver's tables."""
+"""Rows of our own about the driver's tables, and what makes them grow: each is repeated for every customer, under the customer's names."""
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
+
 CORPUS = [
     ("Q01", "returned revenue in 1996", "SELECT SUM(l_extendedprice) FROM dw.lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'"),
     ("Q02", "order value of 1996", "SELECT SUM(o_totalprice) FROM dw.orders WHERE EXTRACT(YEAR FROM o_orderdate) = 1996 AND o_orderstatus = 'F'"),
@@ -67,3 +73,34 @@ def values(rows, columns) -> str:
         return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
 
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ") t(" + ", ".join(columns) + ")"
+
+
+def _named(value, kind):
+    """Tuples as objects with the names of a schema."""
+    if isinstance(kind, StructType):
+        return {f.name: _named(v, f.dataType) for f, v in zip(kind.fields, value, strict=True)}
+    return [_named(v, kind.elementType) for v in value] if isinstance(kind, ArrayType) else value
+
+
+def for_customers(spark: SparkSession, sf: str, rows, schema: str, *own: str) -> DataFrame:
+    """The rows once for each customer; values of the columns in ``own`` end with the customer's number."""
+    kind = StructType.fromDDL(schema)
+    one = F.from_json(F.lit(json.dumps([_named(r, kind) for r in rows])), f"array<{kind.simpleString()}>")
+    made = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.explode(one).alias("r")).select("c_custkey", "r.*")
+    return made.select(*[F.concat_ws("_", c, "c_custkey").alias(c) if c in own else F.col(c) for c in kind.names])
+
+
+def values_for_customers(rows, columns, *own: str) -> str:
+    """The same rows in SQL."""
+    said = ", ".join(f"{c} || '_' || c_custkey AS {c}" if c in own else c for c in columns)
+    return f"(SELECT {said} FROM customer CROSS JOIN {values(rows, columns)}) t"
+
+
+def texts_for_customers(spark: SparkSession, sf: str, forms, name: str) -> DataFrame:
+    """Each form for each customer, {K} being the segment and number."""
+    made = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lower("c_mktsegment"), "c_custkey").alias("k"), F.explode(F.array(*map(F.lit, forms))).alias("form"))
+    return made.select(F.replace("form", F.lit("{K}"), F.col("k")).alias(name))
+
+
+def sql_texts_for_customers(forms, name: str) -> str:
+    return f"(SELECT REPLACE(form, '{{K}}', LOWER(c_mktsegment) || c_custkey) AS {name} FROM customer CROSS JOIN {values([(f,) for f in forms], ('form',))}) t"
