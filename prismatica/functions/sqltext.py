@@ -59,35 +59,39 @@ def fault(words: Column) -> Column:
     hangs = lambda before: F.when(before == "SELECT", "nothing_selected").when(before.isin(*HANGING), "empty_clause")
 
     def step(state: Column, token: Column) -> Column:
-        up, before, top = F.upper(token), state["before"], F.element_at(state["open"], -1)
-        rank = _rank(up, before)
+        # Bound once: what the next rules read several times.
+        up, before = F.upper(token), state["before"]
+        read = F.struct(up.alias("up"), _rank(up, before).alias("rank"), F.element_at(state["open"], -1).alias("top"), hangs(before).alias("hangs"))
+        after = F.get(F.transform(F.array(read), lambda x: moved(state, x)), F.lit(0))
+        return F.when(token.rlike(COMMENT) | state["fault"].isNotNull(), state).otherwise(after)
+
+    def moved(state: Column, read: Column) -> Column:
+        up, rank, top, hanging = read["up"], read["rank"], read["top"], read["hangs"]
         # A FROM or ORDER BY counts where its bracket has selected.
         clause = rank.isNotNull() & ((top["rank"] > 0) | (rank == 1))
         again = F.when(up == "JOIN", top["rank"] != 2).when(up == "FROM", top["rank"] != 1).otherwise(rank <= top["rank"])
         seen = (
-            F.when(state["fault"].isNotNull(), state["fault"])
-            .when(up == ";", F.lit(None))
+            F.when(up == ";", F.lit(None).cast("string"))
             .when(state["ended"], "several_statements")
-            .when((before == "") & ~up.isin("SELECT", "WITH", "CREATE", "("), "not_a_query")
-            .when(token.rlike(f"^[{TYPOGRAPHIC}]$"), "foreign_characters")
+            .when((state["before"] == "") & ~up.isin("SELECT", "WITH", "CREATE", "("), "not_a_query")
+            .when(up.isin(*TYPOGRAPHIC), "foreign_characters")
             .when(up.isin("'", '"', "`"), "unclosed_literal")
             .when((up == ")") & (F.size(state["open"]) == 1), "unbalanced_brackets")
             .when((up == ")") & (top["cases"] > 0), "unclosed_case")
-            .when(up == ")", hangs(before))
+            .when(up == ")", hanging)
             .when((up == "END") & (top["cases"] == 0), "unclosed_case")
-            .when(((clause & (rank > 0)) | (up.isin("GROUP", "ORDER") & (top["rank"] > 0))) & hangs(before).isNotNull(), hangs(before))
+            .when(hanging.isNotNull() & ((clause & (rank > 0)) | (up.isin("GROUP", "ORDER") & (top["rank"] > 0))), hanging)
             .when(clause & (rank > 0) & again, "clause_order")
         )
-        moved = F.struct(F.when(clause, rank).otherwise(top["rank"]).alias("rank"), (top["cases"] + F.when(up == "CASE", 1).when(up == "END", -1).otherwise(0)).alias("cases"))
+        frame = F.struct(F.when(clause, rank).otherwise(top["rank"]).alias("rank"), (top["cases"] + F.when(up == "CASE", 1).when(up == "END", -1).otherwise(0)).alias("cases"))
         lower = F.slice(state["open"], F.lit(1), F.size(state["open"]) - 1)
         stack = (
             F.when(up == "(", F.concat(state["open"], F.array(opened())))
             .when((up == ")") & (F.size(state["open"]) > 1), lower)
-            .when(clause | up.isin("CASE", "END"), F.concat(lower, F.array(moved)))
+            .when(clause | up.isin("CASE", "END"), F.concat(lower, F.array(frame)))
             .otherwise(state["open"])
         )
-        after = F.struct(seen.alias("fault"), F.when(up == ";", before).otherwise(up).alias("before"), (state["ended"] | (up == ";")).alias("ended"), (state["selects"] | (up == "SELECT")).alias("selects"), stack.alias("open"))
-        return F.when(token.rlike(COMMENT) | state["fault"].isNotNull(), state).otherwise(after)
+        return F.struct(seen.alias("fault"), F.when(up == ";", state["before"]).otherwise(up).alias("before"), (state["ended"] | (up == ";")).alias("ended"), (state["selects"] | (up == "SELECT")).alias("selects"), stack.alias("open"))
 
     def end(state: Column) -> Column:
         return (
