@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismatica import corpus_queries, freshness_queries, model_queries, samples, vocabulary_queries  # noqa: F401  modules that register their queries
+from prismatica import corpus_queries, freshness_queries, gate_queries, model_queries, samples, vocabulary_queries  # noqa: F401  modules that register their queries
 from prismatica.functions import naming, sqltext
 from prismatica.functions.timeframes import TIMEFRAMES, in_year
 from prismatica.operators import corpus, fields, profile, proposals
