@@ -178,6 +178,20 @@ def corpus_summary(spark, sf):
     return context.select("table", "queries", F.array_join("filter_columns", ",").alias("filters"), F.size("aggregations").cast("bigint").alias("n_aggregations"), "coverage")
 
 
+_BRIEFS = [
+    ("orders", "- Read by CTEs: `final`, `rich`\n- Read by temporary tables: `tmp_orders`\n"),
+    ("customer", "- Read by CTEs: `final`, `rich`\n"),
+    ("lineitem", "- Joined with: `part`, `supplier`\n"),
+    ("part", "- Joined with: `lineitem`\n"),
+    ("supplier", "- Joined with: `lineitem`\n"),
+]
+
+
+@query(f"SELECT tbl AS \"table\", head || '- Queries: ' || COUNT(*) AS brief FROM ({_USED}) JOIN {values(_BRIEFS, ('tbl', 'head'))} USING (tbl) GROUP BY tbl, head")
+def table_briefs(spark, sf):
+    return corpus.briefs(corpus.table_context(prints(spark, sf)))
+
+
 @query(f"SELECT DISTINCT src AS \"table\", alias AS cte, col AS \"column\", op AS operator, val AS value FROM ({facts([(1, 'orders', 'final', 'o_orderstatus', '=', chr(39) + '{S}' + chr(39)), (1, 'orders', 'final', 'o_orderdate', '=', '1996'), (1, 'customer', 'rich', 'c_acctbal', '>=', '{P}')], 'src', 'alias', 'col', 'op', 'val')})")
 def structural_filters(spark, sf):
     return corpus.structural_filters(prints(spark, sf))
@@ -565,3 +579,33 @@ def sql_repairs(spark, sf):
 def sql_repair_counts(spark, sf):
     return repair.repair_counts(repair.repaired(_from_templates(spark, sf, tuple(r[0] for r in REPAIRS))))
 
+
+# --- validation of texts ----------------------------------------------------------------------------------------------------------------
+
+_V_TEMPLATES = (
+    "SELECT a, ROW_NUMBER() OVER (PARTITION BY b ORDER BY a) AS n FROM zeta_{S}",
+    "SELECT CASE WHEN a > {P} THEN 'x' ELSE 'y' END AS c, SUM(b) AS s FROM t_{S}",
+    "SELECT z.a, COUNT(*) AS n FROM z_{S} z JOIN b_{S} b ON z.a = b.a",
+    "SELECT SUM(a) AS s, MIN(a) AS m FROM t_{S}",
+    "WITH c AS (SELECT a FROM t_{S}) SELECT a FROM c",
+    "SELECT a FROM x_{S} x JOIN y_{S} y ON x.a = y.a LEFT JOIN b_{S} b ON y.a = b.a",
+    "SELECT a FROM",
+)
+#: Fixed values by template: parses, tables, joins, aggregates, CTE, window, class.
+_V_FACTS = [
+    (0, True, "zeta_{S}", 0, 0, False, True, "complex"),
+    (1, True, "t_{S}", 0, 1, False, False, "simple"),
+    (2, True, "b_{S},z_{S}", 1, 1, False, False, "medium"),
+    (3, True, "t_{S}", 0, 2, False, False, "medium"),
+    (4, True, "t_{S}", 0, 0, True, False, "complex"),
+    (5, True, "b_{S},x_{S},y_{S}", 2, 0, False, False, "complex"),
+    (6, False, None, None, None, None, None, None),
+]
+
+
+@query(
+    f"SELECT c_custkey AS query_id, parses, REPLACE(tbls, '{{S}}', c_mktsegment) AS \"tables\", CAST(j AS INT) AS join_count, CAST(a AS INT) AS agg_count, CAST(c AS BOOLEAN) AS has_cte, CAST(w AS BOOLEAN) AS has_window, cls AS complexity FROM customer JOIN {values(_V_FACTS, ('k', 'parses', 'tbls', 'j', 'a', 'c', 'w', 'cls'))} ON c_custkey % {len(_V_TEMPLATES)} = k"
+)
+def sql_validation(spark, sf):
+    out = corpus.validator(corpus.fingerprints(_from_templates(spark, sf, _V_TEMPLATES)))
+    return out.withColumn("tables", F.array_join("tables", ","))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,33 +43,73 @@ def structural_filters(prints: DataFrame) -> DataFrame:
     return parts.select("table", F.col("alias").alias("cte"), F.explode("filters").alias("f")).select("table", "cte", "f.column", "f.operator", "f.value").distinct()
 
 
+def _facets() -> Column:
+    """What a query says of ``table``, one of its tables: array of (facet, column, function, distinct)."""
+    kind = "array<struct<facet:string,column:string,function:string,distinct:boolean>>"
+
+    def of(facet: str, values: Column, column, function=lambda x: F.lit(None), distinct=lambda x: F.lit(False)) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(facet).alias("facet"), column(x).alias("column"), function(x).alias("function"), distinct(x).alias("distinct"))).cast(kind)
+
+    plain = [of(facet, F.col(values), lambda x: x) for facet, values in (("filter", "filter_columns"), ("dimension", "dimensions"), ("cte", "ctes"), ("temp", "temp_tables"))]
+    baked = F.flatten(F.transform(F.filter("cte_parts", lambda c: F.array_contains(c["sources"], F.col("table"))), lambda c: c["filters"]))
+    # The primary table is joined with the tables of the joins, each of those with the primary one.
+    others = F.when(F.col("table") == F.col("primary_table"), F.array_intersect(F.transform("joins", lambda j: j["table"]), "tables")).when(F.exists("joins", lambda j: j["table"] == F.col("table")), F.array("primary_table")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(
+        F.concat(
+            *plain,
+            of("aggregation", F.col("aggregations"), lambda x: x["column"], lambda x: x["function"], lambda x: x["distinct"]),
+            of("date", F.col("date_parts"), lambda x: x["column"], lambda x: x["function"]),
+            of("structural", baked, lambda x: x["column"]),
+            of("joined", F.array_remove(others, F.col("table")), lambda x: x),
+            of("query", F.array(F.lit(None).cast("string")), lambda x: x),
+        )
+    )
+
+
 def table_context(prints: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Facets of each table over the queries that name it; with metadata (table, coverage) joined and 0 where it is missing.
 
-    Facets are rows until they are distinct, so the arrays of a table hold its vocabulary, however many queries name it.
+    The fingerprints are read once.  Facets are rows until they are distinct, so the arrays of a table hold its vocabulary, however many
+    queries name it; the facet ``query`` counts them.
     """
     named = good(prints).withColumn("table", F.explode("tables"))
-    nothing = F.lit(None).cast("string")
-    plain = lambda facet, values: named.select("table", F.lit(facet).alias("facet"), F.explode(values).alias("column"), nothing.alias("function"), F.lit(False).alias("distinct"))
-    of = lambda facet, values, *fields: named.select("table", F.lit(facet).alias("facet"), F.explode(values).alias("x")).select("table", "facet", *fields)
-    used = of("aggregation", "aggregations", "x.column", "x.function", "x.distinct").unionByName(of("date", "date_parts", "x.column", "x.function", F.lit(False).alias("distinct")))
-    for facet, column in (("filter", "filter_columns"), ("dimension", "dimensions"), ("cte", "ctes"), ("temp", "temp_tables")):
-        used = used.unionByName(plain(facet, column))
-    used = used.unionByName(structural_filters(prints).select("table", F.lit("structural").alias("facet"), "column", nothing.alias("function"), F.lit(False).alias("distinct")))
+    rows = named.select("table", "n_cases", F.size("joins").alias("n_joins"), F.explode(_facets()).alias("f")).select("table", "n_cases", "n_joins", "f.*")
+    rows = rows.groupBy("table", "facet", "column", "function", "distinct").agg(F.count("*").alias("n"), F.sum("n_cases").alias("n_cases"), F.max("n_joins").alias("n_joins"))
+    is_query = F.col("facet") == "query"
     gather = lambda facet, value: F.array_sort(F.collect_list(F.when(F.col("facet") == facet, value)))
-    facets = used.distinct().groupBy("table").agg(
-        *[gather(f, F.col("column")).alias(n) for f, n in (("filter", "filter_columns"), ("dimension", "dimensions"), ("cte", "ctes"), ("temp", "temp_tables"), ("structural", "structural_columns"))],
+    context = rows.groupBy("table").agg(
+        *[F.max(F.when(is_query, F.col(c))).alias(name) for c, name in (("n", "queries"), ("n_cases", "n_cases"), ("n_joins", "n_joins"))],
+        *[gather(f, F.col("column")).alias(n) for f, n in (("filter", "filter_columns"), ("dimension", "dimensions"), ("cte", "ctes"), ("temp", "temp_tables"), ("structural", "structural_columns"), ("joined", "joined_tables"))],
         gather("aggregation", F.struct("function", "column", "distinct")).alias("aggregations"),
         gather("date", F.struct("column", "function")).alias("date_parts"),
     )
-    counts = named.groupBy("table").agg(F.count("*").alias("queries"), F.sum("n_cases").alias("n_cases"), F.max(F.size("joins")).alias("n_joins"))
-    context = counts.join(facets, "table", "left")
-    context = context.select("table", "queries", "n_cases", "n_joins", *[F.coalesce(c, F.array().cast(facets.schema[c].dataType)).alias(c) for c in facets.columns if c != "table"])
     if metadata is not None:
         context = context.join(metadata.select("table", "coverage"), "table", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     return context
 
 
+def briefs(context: DataFrame) -> DataFrame:
+    """table, brief: how a table is connected, as lines of Markdown: tables it is joined with, CTEs and temporary tables that read it, and
+    the number of its queries (the queries themselves are the rows of ``table_queries``)."""
+    ticked = lambda names: F.array_join(F.transform(names, lambda n: F.concat(F.lit("`"), n, F.lit("`"))), ", ")
+    line = lambda head, names: F.when(F.size(names) > 0, F.concat(F.lit(f"- {head}: "), ticked(F.col(names))))
+    queries = F.concat(F.lit("- Queries: "), F.col("queries").cast("string"))
+    return context.select("table", F.concat_ws("\n", line("Joined with", "joined_tables"), line("Read by CTEs", "ctes"), line("Read by temporary tables", "temp_tables"), queries).alias("brief"))
+
+
+def validator(prints: DataFrame) -> DataFrame:
+    """query_id, parses, tables (sorted), join_count, agg_count, has_cte, has_window, complexity; nulls after ``parses`` where it is false.
+
+    Complexity doesn't look at CASEs, as that of ``statements`` does: CTEs, windows or two joins are complex, a join or two aggregates
+    medium.  CTEs aren't tables.
+    """
+    parses = F.col("parse_error").isNull()
+    joins, aggregates, has_cte = F.size("joins"), F.size("aggregations"), F.size("cte_parts") > 0
+    level = F.when(has_cte | F.col("has_window") | (joins >= 2), "complex").when((joins >= 1) | (aggregates >= 2), "medium").otherwise("simple")
+    said = {"tables": F.array_sort("tables"), "join_count": joins, "agg_count": aggregates, "has_cte": has_cte, "has_window": F.col("has_window"), "complexity": level}
+    return prints.select("query_id", parses.alias("parses"), *[F.when(parses, c).alias(n) for n, c in said.items()])
+
+
 def by_view(prints: DataFrame, views: DataFrame | None = None) -> DataFrame:
     """Queries with the view of their primary table (mapped by views(table, view), else the table itself); without tables: left out."""
     rows = good(prints).where(F.col("primary_table").isNotNull())
