@@ -125,11 +125,10 @@ def check(wanted: DataFrame, fields: DataFrame, views: DataFrame, explores: Data
     column and value, or an explore's fixed condition with the column; measures and dimensions as in ``fields.coverage``.  One join on
     keys, and one aggregation.
     """
-    keys = wanted.select(*NEED, F.explode(_asked()).alias("a")).select(*NEED, "a.*")
-    met = keys.join(_offers(fields, views, explores), ["kind", "key"]).groupBy(*NEED, "way", "n", "source").agg(F.count("*").alias("k")).where("k = n")
-    # Nulls are equal here, which a join on column names wouldn't say.
-    both = wanted.select(*NEED, F.lit(False).alias("covered")).unionByName(met.select(*NEED, F.lit(True).alias("covered")))
-    return both.groupBy(*NEED).agg(F.bool_or("covered").alias("covered"))
+    # Needs without any way to answer them stay as keys that nothing meets, so they are read once.
+    keys = wanted.select(*NEED, F.explode_outer(_asked()).alias("a")).select(*NEED, "a.*")
+    met = keys.join(_offers(fields, views, explores), ["kind", "key"], "left").groupBy(*NEED, "way", "n", "source").agg(F.count("*").alias("k"))
+    return met.groupBy(*NEED).agg(F.bool_or(F.col("source").isNotNull() & (F.col("k") == F.col("n"))).alias("covered"))
 
 
 def category(need: Column) -> Column:
