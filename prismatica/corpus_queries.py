@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prismatica.operators import containment, corpus, coverage, fields, proposals, repair
 from prismatica.registry import query
 from prismatica.samples import for_customers, values, values_for_customers
-from prismatica.sources.corpus import model_file_kind, numbered, resolve_baselines
+from prismatica.sources.corpus import model_file_kind, numbered, preview, resolve_baselines, row_range, sheet_sizes
 
 TEMPLATES = (
     "SELECT o_orderpriority, SUM(o_totalprice) AS total FROM dw.orders WHERE o_orderstatus = '{S}' AND o_totalprice >= -{P} AND o_comment != 'from here -- where x = 1' GROUP BY o_orderpriority",
@@ -609,3 +609,21 @@ _V_FACTS = [
 def sql_validation(spark, sf):
     out = corpus.validator(corpus.fingerprints(_from_templates(spark, sf, _V_TEMPLATES)))
     return out.withColumn("tables", F.array_join("tables", ","))
+
+
+# --- sheets: their sizes, and rows by number -----------------------------------------------------------------------------------------
+
+
+@query("SELECT 'customer' AS sheet, COUNT(*) AS \"rows\", CAST((SELECT COUNT(*) FROM (DESCRIBE customer)) AS INT) AS columns FROM customer UNION ALL SELECT 'orders', COUNT(*), CAST((SELECT COUNT(*) FROM (DESCRIBE orders)) AS INT) FROM orders")
+def sheet_listing(spark, sf):
+    return sheet_sizes({t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "orders")})
+
+
+@query("SELECT number, c_custkey, c_name FROM (SELECT ROW_NUMBER() OVER (ORDER BY c_name) AS number, c_custkey, c_name FROM customer) WHERE number BETWEEN 21 AND 1020")
+def sheet_row_range(spark, sf):
+    return row_range(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name"), "c_name", 21, 5000)
+
+
+@query("SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey) AS number, o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50")
+def sheet_preview(spark, sf):
+    return preview(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus"), "o_orderkey", 60)

@@ -49,6 +49,38 @@ def sheet(spark: SparkSession, path: str, prompt: str, sql: str, difficulty: str
     return found.select(F.coalesce("id", F.format_string("q_%04d", "number")).alias("query_id"), "prompt", "sql", "difficulty")
 
 
+#: Rows of a preview, and of a range, at most.
+MOST_PREVIEW, MOST_RANGE = 50, 1000
+
+
+def sheet_sizes(sheets: dict[str, DataFrame]) -> DataFrame:
+    """sheet, rows, columns: how large each sheet is; rows without any value count, too."""
+    sizes = [rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("sheet"), "rows", F.lit(len(rows.columns)).alias("columns")) for name, rows in sheets.items()]
+    out = sizes[0]
+    for more in sizes[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def row_range(rows: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` (from 1, both included) in the order of a key without repeats, with their number; at most 1,000.
+
+    A range that begins before 1 or ends before it begins is an error; rows after the last one aren't there.  The clash of a column
+    named ``number`` is an error, too.
+    """
+    if first < 1 or last < first:
+        raise ValueError(f"no range of rows: {first} to {last}")
+    if "number" in rows.columns:
+        raise ValueError("rows have a column 'number'")
+    wanted = numbered(rows, key).where(F.col("number").between(first, min(last, first + MOST_RANGE - 1)))
+    return rows.join(wanted, key).select("number", *[F.col(f"`{c}`") for c in rows.columns])
+
+
+def preview(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rows in the order of the key, at most 50, with their number."""
+    return row_range(rows, key, 1, max(1, min(n, MOST_PREVIEW)))
+
+
 #: The metadata service's answer: one list element for each table.
 METADATA_SCHEMA = (
     "display_name string, storage_type string, load_type string, "

@@ -158,3 +158,16 @@ def test_comma_joins_literals_and_quoted_names(spark):
 def test_cycles_are_found_by_peeling(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("c", "e"), ("e", "f")]
     assert {r[0] for r in fields.cycles(spark.createDataFrame(edges, "table string, needs string")).collect()} == {"a", "b", "c"}
+
+
+def test_rows_by_number(spark):
+    preview, row_range = source.preview, source.row_range
+    rows = spark.createDataFrame([(k, f"v{k}") for k in (30, 10, 20)], "k int, v string")
+    assert sorted(tuple(r) for r in row_range(rows, "k", 2, 9).collect()) == [(2, 20, "v20"), (3, 30, "v30")]
+    assert [tuple(r) for r in preview(rows, "k", 0).collect()] == [(1, 10, "v10")]
+    assert preview(rows.limit(0), "k").count() == 0 and row_range(rows, "k", 4, 5).count() == 0
+    for first, last in ((0, 3), (3, 2)):
+        with pytest.raises(ValueError):
+            row_range(rows, "k", first, last)
+    with pytest.raises(ValueError):
+        row_range(rows.withColumnRenamed("v", "number"), "k", 1, 2)
