@@ -10,9 +10,9 @@ from prismatica.operators.fields import status
 
 #: Measure types of aggregate functions; a distinct count is a type of its own.
 MEASURE_TYPES = {"SUM": "sum", "COUNT": "count", "AVG": "average", "MIN": "min", "MAX": "max", "STDDEV": "number", "VARIANCE": "number"}
-#: Kinds of change that need a person's approval, and limits of the planning gate.
+#: Kinds of change that need a person's approval, and the limit of the planning gate.
 STRUCTURAL = ("primary_key", "dimension_group", "derived_table", "case_dimension")
-MOST_TOKENS, LEAST_REASONING = 800_000, 50
+MOST_TOKENS = 800_000
 
 
 def _field(kind: str, name: Column, type_: Column, sql: Column) -> list[Column]:
