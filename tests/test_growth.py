@@ -7,7 +7,7 @@ import __spark_entry__
 QUERIES = __spark_entry__.queries()
 
 
-@pytest.mark.parametrize("name", ["merge_ledger"])
+@pytest.mark.parametrize("name", ["merge_ledger", "vocab_cooccurrence"])
 def test_no_side_that_grows_is_broadcast(spark, sf, name):
     """The rows are made from the customers' numbers, so their size is estimated far too small."""
     assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
