@@ -1,13 +1,23 @@
-"""What only shows on tables larger than those of the other tests: plans that send a side through the driver."""
+"""What only shows on tables larger than those of the other tests: plans that send a side through the driver, and rules that numbers reach."""
 
 import pytest
 
 import __spark_entry__
 
-QUERIES = __spark_entry__.queries()
+QUERIES, ORACLE = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
 @pytest.mark.parametrize("name", ["merge_ledger", "vocab_cooccurrence"])
 def test_no_side_that_grows_is_broadcast(spark, sf, name):
     """The rows are made from the customers' numbers, so their size is estimated far too small."""
     assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_of_large_numbers(spark, sf, tmp_path):
+    """Numbers over 80,000: only the plans of every fourth customer have too many tokens."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    rows.withColumn("c_custkey", rows.c_custkey + 100_000).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["planning_findings"](spark, str(tmp_path)).collect())) == sorted(db.execute(ORACLE["planning_findings"]).fetchall())
