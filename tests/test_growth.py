@@ -21,3 +21,13 @@ def test_plans_of_large_numbers(spark, sf, tmp_path):
     db = duckdb.connect()
     db.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
     assert sorted(map(tuple, QUERIES["planning_findings"](spark, str(tmp_path)).collect())) == sorted(db.execute(ORACLE["planning_findings"]).fetchall())
+
+
+def test_statements_are_read_row_by_row(spark):
+    """No window, sort or aggregation over the tokens of a corpus: a task's memory doesn't grow with it, and equal ids don't mix."""
+    from prismatica.operators.statements import statements
+
+    rows = statements(spark.createDataFrame([(1, "p", "SELECT a FROM t"), (1, "p", "SELECT SUM(b) AS s FROM u; END CASE WHEN"), (None, "p", "SELECT c FROM v WHERE CASE")], "query_id int, prompt string, sql string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Sort", "Aggregate", "Join"))
+    assert sorted(tuple(r.tables) for r in rows.collect()) == [("t",), ("u",), ("v",)]
