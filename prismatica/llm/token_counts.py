@@ -13,10 +13,12 @@ prefix scan over blocks of chunks, again in tasks, gives the text's total.
 from __future__ import annotations
 
 import ast
+import gc
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -41,8 +43,20 @@ CONTRACTIONS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"
 BETWEEN, LETTERS, OTHER, APOSTROPHE, HALF = range(5)
 
 
+@contextmanager
+def uncollected():
+    """Python's cycle collector rests: it would walk through all compiled rows again and again, whose cycles are broken by hand."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Transducer:
-    """``limit`` bounds the compiled transitions; the table is emptied and compiled anew when full."""
+    """``limit`` bounds the compiled transitions, and the contexts' shapes; a table is emptied and compiled anew when full."""
 
     empty = ("", ((-1, 0),))  # nothing read of a word: one position, no token before it
     START = (BETWEEN, empty, "")
@@ -52,6 +66,7 @@ class Transducer:
         self.begins = {s[:n] for s in self.table.ids for n in range(1, len(s))}  # what a longer token can begin with
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.table.specials, key=len, reverse=True)) or "(?!)")
         self.rows: dict[tuple, dict] = {}
+        self.shapes: dict[str, tuple] = {}
         self.start = self.row(self.START)
 
     def row(self, state: tuple) -> dict:
@@ -64,21 +79,30 @@ class Transducer:
         """One more byte of a word: the next word state and the change of its token count."""
         context, marks = word
         grown = context + b
-        last = count = None
-        for k in range(len(grown)):
-            token = self.table.ids.get(grown[k:])
-            if token is None or not self.table.whole[token]:
-                continue
+        ends, held, kept = self.shapes.get(grown) or self.shape(grown)
+        known, compatible = self.table.memo, self.table.compatible
+        for k, token in ends:
             before, n = marks[k]  # never dropped: a token that starts here goes on to this byte
-            if before < 0 or self.table.compatible(before, token):
-                last, count = token, n + 1
+            if before < 0:
+                break
+            fits = known.get(before << 20 | token)
+            if compatible(before, token) if fits is None else fits:
                 break
-        marks = (*marks, (last, count))
-        cut = 0
-        while cut < len(grown) and grown[cut:] not in self.begins:
-            cut += 1
-        held = [marks[k] if k == len(grown) or grown[k:] in self.begins else None for k in range(cut, len(marks))]
-        return (grown[cut:], tuple(m and (m[0], m[1] - count) for m in held)), count
+        count = n + 1
+        return (held, (*[m and (m[0], m[1] - count) for m in [k if k is None else marks[k] for k in kept]], (token, 0))), count
+
+    def shape(self, grown: str) -> tuple:
+        """What depends on the letters alone, in many states: the tokens that end here with their starts, longest first; the next context;
+        and the positions that it keeps, None for those where no longer token begins."""
+        suffixes = [grown[k:] for k in range(len(grown))]
+        tokens = [self.table.ids.get(x) for x in suffixes]
+        begins = [x in self.begins for x in suffixes]
+        cut = begins.index(True) if True in begins else len(grown)
+        if len(self.shapes) >= self.limit:
+            self.shapes.clear()
+        found = tuple((k, t) for k, t in enumerate(tokens) if t is not None and self.table.whole[t]), grown[cut:], tuple(k if begins[k] else None for k in range(cut, len(grown)))
+        self.shapes[grown] = found
+        return found
 
     def close(self, word: tuple) -> int:
         """The change of the token count when the word ends here: its last byte is then one symbol with the end mark."""
@@ -91,7 +115,7 @@ class Transducer:
 
     def letters(self, word: tuple, ch: str) -> tuple[tuple, int]:
         emitted = 0
-        for b in ch.encode("utf-8", "surrogatepass").decode("latin-1"):
+        for b in ch if ch.isascii() else ch.encode("utf-8", "surrogatepass").decode("latin-1"):
             word, n = self.byte(word, b)
             emitted += n
         return word, emitted
@@ -173,6 +197,10 @@ class Transducer:
         """Tokens of a whole text."""
         return self.run_to_end(self.START, text)[1]
 
+    def counts(self, texts: Iterable[str]) -> list[int]:
+        with uncollected():
+            return [self.count(t) for t in texts]
+
 
 def is_space(ch: str) -> bool:
     return ch.isspace() and ch not in "\x1c\x1d\x1e\x1f"
@@ -220,7 +248,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, te
         machine = transducer(path)
         for b in batches:
             out = b[[*keep, "n_bytes"]].copy()
-            out["n_tokens"] = [machine.count(t) for t in b["__text"]]
+            out["n_tokens"] = machine.counts(b["__text"])
             yield out
 
     short = rows.where(F.col("n_bytes") <= CHUNK).mapInPandas(count, types)
@@ -243,7 +271,8 @@ def _long_counts(long: DataFrame, path: str) -> DataFrame:
     shape = "__key binary, chunk int, last boolean, entry string, exit string, n long"
 
     def read(machine: Transducer, b: pd.DataFrame, entries: list[tuple]) -> pd.DataFrame:
-        ends = [(machine.run_to_end if last else machine.run)(entry, piece) for entry, piece, last in zip(entries, b["piece"], b["last"], strict=True)]
+        with uncollected():
+            ends = [(machine.run_to_end if last else machine.run)(entry, piece) for entry, piece, last in zip(entries, b["piece"], b["last"], strict=True)]
         return pd.DataFrame({"__key": b["__key"], "chunk": b["chunk"], "last": b["last"], "entry": map(repr, entries), "exit": [repr(e) for e, _ in ends], "n": [n for _, n in ends]})
 
     def read_guessed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

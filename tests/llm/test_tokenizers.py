@@ -116,3 +116,21 @@ def test_count_frame_of_long_texts(spark, library):
     texts = ["😀a中" * 40_000, "".join(rnd.choices("😀a é中\n1", k=200_000)), " " * 70_000, "x" * token_counts.CHUNK, "x " * token_counts.CHUNK]
     got = {r[0]: r[2] for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_bytes", "n_tokens").collect()}
     assert got == {i: len(library["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_counting_new_words_is_cheap(library):
+    """Most time goes to words never seen before: their letters' shapes are shared by many states, and no collection walks the table."""
+    import gc
+
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("aeinrst") for _ in range(rnd.randint(2, 12))) for _ in range(200)) for _ in range(20)]
+    machine, collections = token_counts.Transducer(tokenizer_path("word_bpe_49k.json")), []
+    watch = lambda phase, _: collections.append(phase)
+    gc.callbacks.append(watch)
+    try:
+        got = machine.counts(texts)
+        assert collections.count("start") <= 1 and gc.isenabled()  # one may follow the last text
+    finally:
+        gc.callbacks.remove(watch)
+    assert got == [len(library["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids) for t in texts]
+    assert machine.size > 10_000 and 4 * len(machine.shapes) < machine.size
