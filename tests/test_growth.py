@@ -31,3 +31,9 @@ def test_statements_are_read_row_by_row(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert not any(step in plan for step in ("Window", "Sort", "Aggregate", "Join"))
     assert sorted(tuple(r.tables) for r in rows.collect()) == [("t",), ("u",), ("v",)]
+
+
+def test_faults_read_the_statements_once(spark, sf):
+    """Several branches of the plan read the fingerprints, so they are made before it."""
+    plan = QUERIES["reconstruction_faults"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "customer" not in plan and "c_custkey" not in plan
