@@ -33,6 +33,29 @@ def test_statements_are_read_row_by_row(spark):
     assert sorted(tuple(r.tables) for r in rows.collect()) == [("t",), ("u",), ("v",)]
 
 
+def test_a_long_statement_is_not_copied_for_each_token(spark):
+    """8,000 tokens in one statement take not much longer than in forty."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from prismatica.operators.statements import tokens
+
+    def took(names: int, times: int) -> tuple[float, list]:
+        text = "SELECT " + ", ".join(f"c{i}" for i in range(names)) + " FROM t WHERE (x = 1)"
+        rows = spark.range(0, times, 1, 1).select(F.concat(F.lit(text), F.when(F.col("id") >= 0, " ")).alias("sql"))
+        began = time.perf_counter()
+        found = rows.select(tokens(F.col("sql")).alias("t")).collect()
+        return time.perf_counter() - began, found[0].t
+
+    took(100, 40)
+    (many, _), (one, read) = took(100, 40), took(4000, 1)
+    assert len(read) == 8008 and [x.i for x in read] == list(range(1, 8009))
+    assert [(x.token, x.clause, x.close) for x in read[-5:-3]] == [("(", "WHERE", 8008), ("x", "WHERE", None)]
+    print(f"one {one:.1f} s, forty {many:.1f} s")
+    assert one < 7 * many
+
+
 def test_faults_read_the_statements_once(spark, sf):
     """Several branches of the plan read the fingerprints, so they are made before it."""
     plan = QUERIES["reconstruction_faults"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
