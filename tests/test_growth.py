@@ -56,6 +56,19 @@ def test_a_long_statement_is_not_copied_for_each_token(spark):
     assert one < 7 * many
 
 
+def test_what_is_bound_is_not_copied(spark):
+    """An array of one value, transformed, would copy what becomes of it: all stacks of a fold, for each of its tokens."""
+    from pyspark.sql import functions as F
+
+    from prismatica.functions.sqltext import fault
+    from prismatica.operators.statements import tokens
+
+    rows = spark.createDataFrame([("SELECT a FROM t",)], "sql string")
+    read = rows.select(tokens(F.col("sql")).alias("t"), fault(F.split("sql", " ")).alias("fault"))
+    assert "transform(array(" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert [([x.token for x in r.t], r.fault) for r in read.collect()] == [(["SELECT", "a", "FROM", "t"], None)]
+
+
 def test_faults_read_the_statements_once(spark, sf):
     """Several branches of the plan read the fingerprints, so they are made before it."""
     plan = QUERIES["reconstruction_faults"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
