@@ -130,7 +130,8 @@ def check(prints: DataFrame, fields: DataFrame, views: DataFrame, explores: Data
     keys = wanted.select(*need, F.explode(F.coalesce(_ways(), F.array().cast("array<struct<way:int,group:string,needle:string,n:int>>"))).alias("a")).select(*need, "a.*")
     keys = keys.unionByName(_more(prints)).where("needle <> ''").distinct()
     hits = contained(keys.select("group", "needle"), _texts(fields, views, explores))
-    met = keys.join(hits, ["group", "needle"]).groupBy(*need, "way", "n", "source").agg(F.count("*").alias("k")).where("k = n").select(*need)
+    # Keys grow with the corpus, but are estimated too small to be left where they are.
+    met = keys.hint("merge").join(hits, ["group", "needle"]).groupBy(*need, "way", "n", "source").agg(F.count("*").alias("k")).where("k = n").select(*need)
     same = coverage._offers(fields, views, explores).where("kind in ('table', 'join', 'case') or kind = 'measure' and key like '%|*'").select("kind", "key")
     same = same.unionByName(fields.where("kind <> 'measure'").select(F.lit("dimension").alias("kind"), F.lower("name").alias("key"))).distinct()
     equal = wanted.select(*need, F.explode(F.filter(coverage._asked(), lambda a: (a["n"] == 1) & a["kind"].isin("table", "join", "case", "measure", "dimension"))).alias("a")).select(*need, "a.kind", "a.key")

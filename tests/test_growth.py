@@ -73,3 +73,9 @@ def test_faults_read_the_statements_once(spark, sf):
     """Several branches of the plan read the fingerprints, so they are made before it."""
     plan = QUERIES["reconstruction_faults"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "customer" not in plan and "c_custkey" not in plan
+
+
+def test_needs_are_not_broadcast(spark, sf):
+    """Keys of all queries are joined where they lie; only what a model says may go to every task."""
+    plan = QUERIES["model_coverage_by_text"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
