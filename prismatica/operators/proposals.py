@@ -226,8 +226,15 @@ def golden_questions(viewed: DataFrame) -> DataFrame:
 
 
 def origins(fields: DataFrame, existing: DataFrame, used: DataFrame, described: DataFrame) -> DataFrame:
-    """view, origin, n: where fields come from: a query (used: view, name), metadata (described: view, name), the baseline, or a guess."""
-    mark = lambda rows, flag: rows.select("view", "name").distinct().withColumn(flag, F.lit(True))
-    told = fields.join(mark(existing, "old"), ["view", "name"], "left").join(mark(used, "asked"), ["view", "name"], "left").join(mark(described, "known"), ["view", "name"], "left")
+    """view, origin, n: where fields come from: a query (used: view, name), metadata (described: view, name), the baseline, or a guess.
+
+    Fields and marks are told apart by flags and aggregated together by view and name; nothing is joined, so no side has to be small.
+    """
+    flags = ("field", "old", "asked", "known")
+    mark = lambda rows, flag: rows.select("view", "name", *[(F.lit(True) if f == flag else F.lit(None).cast("boolean")).alias(f) for f in flags])
+    rows = mark(fields, "field")
+    for more, flag in ((existing, "old"), (used, "asked"), (described, "known")):
+        rows = rows.unionByName(mark(more, flag).where("view is not null and name is not null"))  # no field is known by a null
+    told = rows.groupBy("view", "name").agg(F.count("field").alias("n"), *[F.bool_or(f).alias(f) for f in flags[1:]]).where("n > 0")
     origin = F.when(F.col("old"), "existing_preserved").when(F.col("asked"), "gold_query").when(F.col("known"), "mdm").otherwise("inferred")
-    return told.groupBy("view", origin.alias("origin")).agg(F.count("*").alias("n"))
+    return told.groupBy("view", origin.alias("origin")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

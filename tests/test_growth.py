@@ -79,3 +79,13 @@ def test_needs_are_not_broadcast(spark, sf):
     """Keys of all queries are joined where they lie; only what a model says may go to every task."""
     plan = QUERIES["model_coverage_by_text"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan
+
+
+def test_origins_join_nothing(spark, sf):
+    """What was asked for, described or there before grows with the fields, so it is neither broadcast nor joined."""
+    from prismatica.operators import proposals
+
+    assert "Join" not in QUERIES["field_origins"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    rows = lambda *r: spark.createDataFrame(list(r), "view string, name string")
+    found = proposals.origins(rows(("v", "a"), ("v", "a"), ("v", "b"), ("v", None), (None, "a"), ("w", "c")), rows(("v", "a"), ("v", "a"), ("x", "a")), rows(("v", "a"), ("v", None), (None, "a"), ("w", "c")), rows(("v", "b"), ("w", "c")))
+    assert sorted(map(tuple, found.collect()), key=str) == [("v", "existing_preserved", 2), ("v", "inferred", 1), ("v", "mdm", 1), ("w", "gold_query", 1), (None, "inferred", 1)]
