@@ -72,10 +72,10 @@ def _facts(rows: list[tuple], columns: tuple[str, ...], where: str = _WHOLE) ->
     return f"SELECT {PATH} AS path, c_custkey, {', '.join(filled)} FROM customer JOIN {values(rows, columns)} ON {where}"
 
 
-def _flat(rows: DataFrame) -> DataFrame:
-    """Fields with texts in place of arrays and maps, and their places from 1."""
+def _flat(rows: DataFrame, *more: str) -> DataFrame:
+    """Fields with texts in place of arrays and maps, and ``more`` columns as they are."""
     entries = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
-    return rows.select("path", "view", "kind", "name", "type", "sql", "label", "description", F.array_join("tags", "|").alias("tags"), entries(F.col("rest")).alias("rest"), F.array_join("inner", "|").alias("blocks"))
+    return rows.select("path", "view", "kind", "name", "type", "sql", "label", "description", F.array_join("tags", "|").alias("tags"), entries(F.col("rest")).alias("rest"), F.array_join("inner", "|").alias("blocks"), *more)
 
 
 @query(f"SELECT path, view, kind, name, type, sql, label, description, tags, rest, blocks FROM ({_facts(FIELDS, FIELD_COLUMNS)})")
@@ -161,8 +161,7 @@ _BAD_EVEN = "c_custkey % 10 IN (6, 8)"
 )
 def merged_file_fields(spark, sf):
     b, e, _ = merge.readable(_given(spark, sf), _proposed(spark, sf))
-    rows = merge.merge_fields(b.fields, e.fields)
-    return _flat(rows).join(rows.select("path", "view", "kind", "name", "position"), ["path", "view", "kind", "name"])
+    return _flat(merge.merge_fields(b.fields, e.fields), "position")
 
 
 @query(

@@ -45,7 +45,8 @@ def readable(baseline: Side, enriched: Side) -> tuple[Side, Side, DataFrame]:
     known = b.join(e, "path", "full").join(has(baseline, "b"), "path", "left").join(has(enriched, "e"), "path", "left").na.fill(False)
     taken = F.when(F.col("b_bad") & ~F.col("e_bad"), F.when(F.col("e"), "enriched").otherwise("none")).when(F.col("e_bad") & ~F.col("b_bad"), F.when(F.col("b"), "baseline").otherwise("none")).otherwise("none")
     report = known.select("path", F.when(F.col("b_bad") & F.col("e_bad"), "both").when(F.col("b_bad"), "baseline").otherwise("enriched").alias("unreadable"), taken.alias("taken"))
-    without = lambda side, bad: Side(side.views.join(bad, "path", "left_anti"), side.fields.join(bad, "path", "left_anti"), side.faults)
+    # Rows made from few columns are estimated far too small, so these would be broadcast.
+    without = lambda side, bad: Side(side.views.join(bad.hint("merge"), "path", "left_anti"), side.fields.join(bad.hint("merge"), "path", "left_anti"), side.faults)
     return without(baseline, b), without(enriched, e), report
 
 
@@ -77,9 +78,9 @@ def merge_views(baseline: DataFrame, enriched: DataFrame) -> DataFrame:
 def _fields_of_both(baseline: DataFrame, enriched: DataFrame) -> DataFrame:
     key = ["path", "view", "kind", "name"]
     b, e = (_once(x.select(*key, "position", *FIELD), key, "position").select(*key, F.struct("position", *FIELD).alias(s)) for x, s in ((baseline, "b"), (enriched, "e")))
-    known = baseline.select("path", "view").distinct().withColumn("both", F.lit(True))
-    e = e.join(known, ["path", "view"], "left").where(F.col("both").isNull() | F.col("kind").isin(*MERGED_KINDS)).drop("both")
-    return b.join(e, key, "full")
+    # Whether the baseline has a field in the view is seen in the joined rows, so the baseline is read once.
+    known = F.max(F.col("b").isNotNull()).over(Window.partitionBy("path", "view")) & F.col("path").isNotNull() & F.col("view").isNotNull()
+    return b.join(e, key, "full").withColumn("__known", known).where(F.col("b").isNotNull() | ~F.col("__known") | F.col("kind").isin(*MERGED_KINDS)).drop("__known")
 
 
 def merge_fields(baseline: DataFrame, enriched: DataFrame) -> DataFrame:

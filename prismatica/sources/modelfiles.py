@@ -1,13 +1,21 @@
 """Model files (.lkml) as rows: blocks, views, fields and explores; and rows as texts again, written as whole views.
 
-A file becomes one row for each token.  One window over a file's tokens keeps the open blocks as a stack of columns, one for each level,
-so every attribute knows its key path; there is no parser state outside the rows, and a task holds one file's tokens at a time.  Values
-that end with ``;;`` are single tokens, so whatever stands in them (braces, quotes, comments) never opens or closes a block.  SQL in
+A file is read in its own row: one pass over its tokens keeps the open blocks as a stack, so every attribute knows its key path.  Nothing
+is shuffled or sorted for it, the pass takes time by the length of the text, and a worker holds one file's tokens at a time.  Values that
+end with ``;;`` are single tokens, so whatever stands in them (braces, quotes, comments) never opens or closes a block.  SQL in
 values is kept as text.  Broken files are rows of ``faults``; what can be read of them is still read.
 """
 
 from __future__ import annotations
 
+import gc
+import re
+import sys
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate, chain
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,30 +47,194 @@ def model_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(below.alias("path"), F.col("value").alias("text"))
 
 
-def _tokens(files: DataFrame) -> DataFrame:
-    """One row for each token of each file, with its level, its stack of open blocks and the attribute that it belongs to."""
-    rows = files.select("path", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))).alias("at", "token")).where(~F.col("token").startswith("#"))
-    order = Window.partitionBy("path").orderBy("at")
-    long = F.col("token").rlike(rf"(?s)^{_LONG}\s*:.*;;$")
-    rows = rows.select("*", F.when(long, "long").when(F.col("token").rlike(r"^[A-Za-z_][\w.+-]*\s*:$"), "key").when(F.col("token").isin("{", "}", "[", "]", ","), "mark").otherwise("value").alias("sort"))
-    sort = lambda k: F.lead("sort", k).over(order)
-    token = lambda k: F.lead("token", k).over(order) if k > 0 else F.lag("token", -k).over(order)
-    heads = (F.col("sort") == "key") & (F.coalesce(token(1) == "{", F.lit(False)) | (F.coalesce(sort(1) == "value", F.lit(False)) & F.coalesce(token(2) == "{", F.lit(False))))
-    step = lambda a, z: F.when(F.col("token") == a, 1).when(F.col("token") == z, -1).otherwise(0)
-    named = F.coalesce(F.lag("sort").over(order) == "value", F.lit(False))
-    clean = lambda c: F.regexp_replace(c, r"\s*:$", "")
-    rows = rows.select(
-        "*",
-        heads.alias("heads"),
-        (F.sum(step("{", "}")).over(order) + F.when(F.col("token") == "}", 1).otherwise(0)).alias("level"),
-        (F.sum(step("[", "]")).over(order) + F.when(F.col("token") == "]", 1).otherwise(0)).alias("listed"),
-        F.when(F.col("token") == "{", clean(F.when(named, token(-2)).otherwise(token(-1)))).alias("kind"),
-        F.when((F.col("token") == "{") & named, token(-1)).alias("name"),
+# Workers get the functions themselves, so they needn't have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: Characters of texts whose rows make one Arrow batch.
+BATCH = 2_000_000
+_TOKEN, _KEY, _LONG_HEAD = (re.compile(p, re.ASCII) for p in (TOKEN, r"[\w.+-]+", rf"{_LONG}\s*:\s*"))
+_SPACES = " \t\n\v\f\r"
+_MARKS = frozenset("{}[],")
+
+
+def _tokens(text: str) -> tuple[Sequence[int], list[str]]:
+    """The places and texts of a file's tokens, without comments."""
+    found = _TOKEN.findall(text)
+    if "#" not in text:
+        return range(len(found)), found
+    at = [i for i, x in enumerate(found) if x[0] != "#"]
+    return at, found if len(at) == len(found) else [found[i] for i in at]
+
+
+def _is_key(x: str) -> bool:
+    return x[-1:] == ":" and len(x) > 1
+
+
+def _is_long(x: str) -> bool:
+    return x[-2:] == ";;"
+
+
+def _is_value(x: str) -> bool:
+    return x != "" and x not in _MARKS and not _is_key(x) and not _is_long(x)
+
+
+def _heads(key: int, t: list[str]) -> bool:
+    """Whether a key is the head of a block; two empty tokens stand behind the last one."""
+    return t[key + 1] == "{" or (t[key + 2] == "{" and _is_value(t[key + 1]))
+
+
+def _attribute(at: int, t: list[str]) -> tuple[int, str, str, list[str]]:
+    first = t[0]
+    if _is_long(first):
+        return at, _KEY.match(first).group(), "long", [first[_LONG_HEAD.match(first).end() : -2].rstrip(_SPACES).strip(" ")]
+    key = first[:-1].rstrip(_SPACES)
+    if len(t) == 1:
+        return at, key, "none", []
+    if t[1] == "[":
+        inside = " ".join("\1" if x == "," else x for x in t[1:] if x not in ("[", "]"))
+        return at, key, "list", [x for x in re.split(" ?\1 ?", inside) if x]
+    return at, key, "text" if t[1][0] == '"' else "word", [t[1]]
+
+
+def _read(text: str) -> list[tuple]:
+    """A text's blocks: at, kind, name, above, attributes, inner, as ``blocks`` says."""
+    at, t = _tokens(text)
+    n = len(t)
+    t = [*t, "", ""]
+    out = [(-1, None, None, [], [], [])]
+    stack: list[tuple] = [None] * LEVELS  # the newest block of each level, and where it begins
+    depth = listed = first = 0
+    own = out[0]
+
+    def end(i: int) -> None:
+        """Ends the part that began at ``first``: an attribute, if it begins with a key."""
+        if first < i and t[first][-1] in ":;" and (_is_key(t[first]) or _is_long(t[first])):
+            own[4].append(_attribute(at[first], t[first:i]))
+
+    def leave(level: int, i: int) -> None:
+        """Ends a block before token i and puts its text under the one around it."""
+        (child, begins), (around, _) = stack[level - 1], stack[level - 2]
+        head = None if child[1] is None else f"{child[1]}: " + ("" if child[2] is None else f"{child[2]} ")
+        around[5].append((child[0], None if head is None else head + " ".join(t[begins:i])))
+
+    for i in range(n):
+        x = t[i]
+        last = x[-1]
+        if last == ":":
+            if len(x) == 1:
+                continue
+            if _heads(i, t):
+                end(i)
+                first = i + 1
+            elif listed == 0:
+                end(i)
+                first = i
+        elif last == ";":
+            if listed == 0 and _is_long(x):
+                end(i)
+                first = i
+        elif x not in _MARKS:
+            continue
+        elif x == "{":
+            end(i)
+            depth += 1
+            if 1 <= depth <= LEVELS:
+                named = i > 0 and _is_value(t[i - 1])
+                before = t[i - 1 - named] if i > named else None
+                kind = before[:-1].rstrip(_SPACES) if before is not None and before[-1] == ":" else before
+                own = (at[i], kind, t[i - 1] if named else None, [b[:3] for b, _ in stack[: depth - 1]], [], [])
+                stack[depth - 1] = (own, i)
+                out.append(own)
+            first = i + 1
+        elif x == "}":
+            end(i)
+            if 2 <= depth <= LEVELS:
+                leave(depth, i + 1)
+            depth -= 1
+            own = stack[min(depth, LEVELS) - 1][0] if depth > 0 else out[0]
+            first = i + 1
+        elif x == "[":
+            listed += 1
+        elif x == "]":
+            listed -= 1
+    end(n)
+    for level in range(min(depth, LEVELS), 1, -1):
+        leave(level, n)
+    return out
+
+
+def _faults(text: str) -> list[str]:
+    """Why a text can't be read whole, as ``faults`` says."""
+    _, t = _tokens(text)
+    n = len(t)
+    t = [*t, "", ""]
+    depth = listed = opened = endless = quotes = bare = 0
+    under = False
+    for i in range(n):
+        x = t[i]
+        if x[-1] == ":":
+            if len(x) > 1 and not _heads(i, t):
+                after = t[i + 1]
+                endless += listed == 0 and _LONG_HEAD.fullmatch(x) is not None
+                bare += after in ("", "}", "]", ",") or _is_key(after) or _is_long(after)
+        elif x == '"':
+            quotes += 1
+        elif x not in _MARKS:
+            continue
+        elif x == "{":
+            opened += 1
+            depth += 1
+        elif x == "}":
+            under = under or depth < 1
+            depth -= 1
+        elif x == "[":
+            listed += 1
+        elif x == "]":
+            listed -= 1
+    told = (
+        (depth > 0, "a block isn't closed"),
+        (depth < 0 or under, "a block is closed too often"),
+        (endless > 0 or quotes > 0, "a value doesn't end"),
+        (bare > endless, "a key has no value"),
+        (opened == 0, "no block"),
     )
-    begins = (F.col("sort").isin("key", "long") & ~F.col("heads") & (F.col("listed") == 0)) | F.col("token").isin("{", "}") | F.col("heads")
-    opened = F.struct("at", "kind", "name")
-    stack = [F.when(F.col("level") >= k, F.last(F.when((F.col("token") == "{") & (F.col("level") == k), opened), ignorenulls=True).over(order)) for k in range(1, LEVELS + 1)]
-    return rows.select("*", F.array_compact(F.array(*stack)).alias("stack"), F.sum(F.when(begins, 1).otherwise(0)).over(order).alias("part"))
+    return [what for when, what in told if when]
+
+
+def _structs(lists: list[list[tuple]], **columns: pa.DataType) -> pa.Array:
+    """Lists of tuples as an array of lists of structs."""
+    flat = list(chain.from_iterable(lists))
+    values = list(zip(*flat, strict=True)) or [()] * len(columns)
+    fields = [pa.array(v, k) for v, k in zip(values, columns.values(), strict=True)]
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), pa.StructArray.from_arrays(fields, names=list(columns)))
+
+
+def _by_file(read, columns, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``read`` finds in each text, with its path, a bounded number of texts' characters at a time."""
+    collects = gc.isenabled()
+    gc.disable()  # it would walk through all that was read, and nothing here holds a cycle
+    try:
+        for batch in batches:
+            path, texts = batch.column(0), batch.column(1)
+            of: list[int] = []
+            rows: list = []
+            size = 0
+            for i in range(batch.num_rows):
+                text = (texts[i].as_py() or b"").decode("utf-8", "replace")
+                found = read(text)
+                rows += found
+                of += [i] * len(found)
+                size += len(text)
+                if size >= BATCH or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_pydict({"path": path.take(pa.array(of, pa.int32())), **columns(rows)})
+                    of, rows, size = [], [], 0
+    finally:
+        if collects:
+            gc.enable()
+
+
+def _files(files: DataFrame) -> DataFrame:
+    # As bytes: a text that isn't UTF-8 is read like any other.
+    return files.select("path", F.col("text").cast("string").cast("binary").alias("text"))
 
 
 def _unquoted(text: Column) -> Column:
@@ -74,32 +246,24 @@ def blocks(files: DataFrame) -> DataFrame:
 
     ``at`` orders the blocks of a file.  ``attributes`` are in order: key, form (long, text, word, list or none), and the value as
     written, or the list's items.  ``inner`` are the blocks directly inside, as (at, text).  A file's own attributes are those of a
-    block without kind, at -1.
+    block without kind, at -1.  Rows with equal paths are files of their own.
     """
-    rows = _tokens(files)
-    own = F.element_at("stack", -1)
-    read = rows.where((F.size("stack") > 0) | ~F.col("token").isin("{", "}"))
-    held = read.where(~F.col("heads") & ~F.col("token").isin("{", "}")).select("path", "part", "at", "token", "sort", F.when(F.size("stack") > 0, own["at"]).otherwise(-1).alias("block"), "listed")
-    # A name before an opening brace is in the part of its head, which is left out with it.
-    parts = held.groupBy("path", "block", "part").agg(F.array_sort(F.collect_list(F.struct("at", "token", "sort", "listed"))).alias("t"))
-    first, rest = F.get("t", F.lit(0)), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))
-    inside = F.filter(rest, lambda x: ~x["token"].isin("[", "]"))
-    items = F.filter(F.split(F.array_join(F.transform(inside, lambda x: F.when(x["token"] == ",", F.lit("\u0001")).otherwise(x["token"])), " "), " ?\u0001 ?"), lambda x: x != "")
-    value = F.get(rest, F.lit(0))["token"]
-    key = F.regexp_extract(first["token"], r"^([\w.+-]+)", 1)
-    form = F.when(first["sort"] == "long", "long").when(F.size("t") == 1, "none").when(value == "[", "list").when(value.startswith('"'), "text").otherwise("word")
-    written = F.when(form == "long", F.array(F.trim(F.regexp_replace(first["token"], rf"(?s)^{_LONG}\s*:\s*|\s*;;$", "")))).when(form == "list", items).when(form == "none", F.array().cast("array<string>")).otherwise(F.array(value))
-    attributes = parts.where(first["sort"].isin("long", "key")).select("path", "block", F.struct(first["at"].alias("at"), key.alias("key"), form.alias("form"), written.alias("items")).alias("a"))
-    attributes = attributes.groupBy("path", "block").agg(F.array_sort(F.collect_list("a")).cast(ATTRIBUTE).alias("attributes"))
-    opened = rows.where("token = '{' and size(stack) > 0").select("path", own["at"].alias("block"), own["kind"].alias("kind"), own["name"].alias("name"), F.slice("stack", 1, F.size("stack") - 1).alias("above"))
-    opened = opened.dropDuplicates(["path", "block"]).unionByName(files.select("path", F.lit(-1).alias("block"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"), F.array().cast(opened.schema["above"].dataType).alias("above")))
-    # The text of every block that stands in another, under the one around it.
-    depth = F.explode(F.filter(F.sequence(F.lit(2), F.greatest(F.size("stack"), F.lit(2))), lambda k: k <= F.size("stack")))
-    nested = rows.where("size(stack) > 1").select("path", "at", "token", "stack", depth.alias("k")).select("path", F.col("stack")[F.col("k") - 2]["at"].alias("block"), F.col("stack")[F.col("k") - 1].alias("child"), "at", "token")
-    nested = nested.groupBy("path", "block", "child").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("text"))
-    nested = nested.groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct(F.col("child.at").alias("at"), F.concat("child.kind", F.lit(": "), F.coalesce(F.concat("child.name", F.lit(" ")), F.lit("")), "text").alias("text")))).alias("inner"))
-    out = opened.join(attributes, ["path", "block"], "left").join(nested, ["path", "block"], "left")
-    return out.select("path", F.col("block").alias("at"), "kind", "name", "above", F.coalesce("attributes", F.array().cast(ATTRIBUTE)).alias("attributes"), F.coalesce("inner", F.array().cast(nested.schema["inner"].dataType)).alias("inner"))
+    text, texts, whole = pa.string(), pa.list_(pa.string()), pa.int32()
+
+    def columns(rows: list[tuple]) -> dict[str, pa.Array]:
+        at, kind, name, above, attributes, inner = zip(*rows, strict=True) if rows else ((),) * 6
+        return {
+            "at": pa.array(at, whole),
+            "kind": pa.array(kind, text),
+            "name": pa.array(name, text),
+            "above": _structs(above, at=whole, kind=text, name=text),
+            "attributes": _structs(attributes, at=whole, key=text, form=text, items=texts),
+            "inner": _structs(inner, at=whole, text=text),
+        }
+
+    shape = f"at int, kind string, name string, above array<struct<at:int,kind:string,name:string>>, attributes {ATTRIBUTE}, inner array<struct<at:int,text:string>>"
+    given = _files(files)
+    return given.mapInArrow(lambda batches: _by_file(_read, columns, batches), f"path {given.schema['path'].dataType.simpleString()}, {shape}")
 
 
 def _no_entries() -> Column:
@@ -118,28 +282,8 @@ def faults(files: DataFrame) -> DataFrame:
     Blocks that aren't closed, or closed too often; values without end (a key whose value should end with ``;;``, a quote that isn't
     closed); keys without value; files that hold no block.
     """
-    order = Window.partitionBy("path").orderBy("at")
-    rows = _tokens(files).select("*", F.lead("token").over(order).alias("after"), F.lead("sort").over(order).alias("next"))
-    plain = (F.col("sort") == "key") & ~F.col("heads")
-    found = rows.groupBy("path").agg(
-        (F.count_if(F.col("token") == "{") - F.count_if(F.col("token") == "}")).alias("open"),
-        F.min(F.when(F.col("token") == "}", F.col("level"))).alias("lowest"),
-        F.count_if(plain & F.col("token").rlike(rf"^{_LONG}\s*:$") & (F.col("listed") == 0)).alias("endless"),
-        F.count_if(F.col("token") == '"').alias("quotes"),
-        F.count_if(plain & (F.coalesce(F.col("after").isin("}", "]", ","), F.lit(True)) | F.col("next").isin("key", "long"))).alias("bare"),
-        F.count_if(F.col("token") == "{").alias("blocks"),
-    )
-    say = lambda when, what: F.when(F.coalesce(when, F.lit(False)), what)
-    all_of = F.array_compact(
-        F.array(
-            say(F.col("open") > 0, "a block isn't closed"),
-            say((F.col("open") < 0) | (F.col("lowest") < 1), "a block is closed too often"),
-            say((F.col("endless") > 0) | (F.col("quotes") > 0), "a value doesn't end"),
-            say(F.col("bare") > F.col("endless"), "a key has no value"),
-            say(F.coalesce("blocks", F.lit(0)) == 0, "no block"),
-        )
-    )
-    return files.select("path").join(found, "path", "left").select("path", F.explode(all_of).alias("fault"))
+    given = _files(files)
+    return given.mapInArrow(lambda batches: _by_file(_faults, lambda rows: {"fault": pa.array(rows, pa.string())}, batches), f"path {given.schema['path'].dataType.simpleString()}, fault string")
 
 
 def _other(*known: str) -> Column:

@@ -89,3 +89,35 @@ def test_origins_join_nothing(spark, sf):
     rows = lambda *r: spark.createDataFrame(list(r), "view string, name string")
     found = proposals.origins(rows(("v", "a"), ("v", "a"), ("v", "b"), ("v", None), (None, "a"), ("w", "c")), rows(("v", "a"), ("v", "a"), ("x", "a")), rows(("v", "a"), ("v", None), (None, "a"), ("w", "c")), rows(("v", "b"), ("w", "c")))
     assert sorted(map(tuple, found.collect()), key=str) == [("v", "existing_preserved", 2), ("v", "inferred", 1), ("v", "mdm", 1), ("w", "gold_query", 1), (None, "inferred", 1)]
+
+
+def test_model_files_are_read_row_by_row(spark):
+    """No window, sort, join or shuffle over the tokens of files; rows of equal paths, or none, are files of their own."""
+    from prismatica.sources import modelfiles as M
+
+    files = spark.createDataFrame([("p", "view: a { dimension: x { tags: [b, c] } }"), ("p", "view: b { measure: y { type: sum }"), (None, "view: c { label: \"C\" }"), ("n", None)], "path string, text string")
+    found, faults = M.blocks(files), M.faults(files)
+    for rows in (found, faults):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not any(step in plan for step in ("Window", "Sort", "Aggregate", "Join", "Exchange"))
+    assert sorted((str(r.path), r["at"], str(r["kind"]), len(r.attributes)) for r in found.collect()) == [
+        ("None", -1, "None", 0), ("None", 2, "view", 1), ("n", -1, "None", 0), ("p", -1, "None", 0), ("p", -1, "None", 0), ("p", 2, "view", 0), ("p", 2, "view", 0), ("p", 5, "dimension", 1), ("p", 5, "measure", 1),
+    ]
+    assert sorted(map(tuple, faults.collect())) == [("n", "no block"), ("p", "a block isn't closed")]
+
+
+def test_texts_that_are_not_utf8_are_read(spark):
+    from pyspark.sql import functions as F
+
+    from prismatica.sources import modelfiles as M
+
+    files = spark.range(1).select(F.lit("p").alias("path"), F.expr("cast(concat(cast('view: a { label: \"' as binary), x'ff', cast('\" }' as binary)) as string)").alias("text"))
+    assert [(r.name, r.attributes[0]["items"]) for r in M.blocks(files).where("kind = 'view'").collect()] == [("a", ['"�"'])] and M.faults(files).count() == 0
+
+
+def test_merge_reads_each_side_once(spark, sf):
+    """The files are read once for their fields and once for their faults, and what can't be read isn't broadcast."""
+    plan = QUERIES["merged_file_fields"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("MapInArrow") == 2
+    # Only the constant list of proposals goes to every task.
+    assert plan.count("BroadcastExchange") == 1
