@@ -51,7 +51,8 @@ FIELD_COLUMNS = ("place", "view", "kind", "name", "type", "sql", "label", "descr
 
 def files_of_customers(spark: SparkSession, sf: str) -> DataFrame:
     """path, text: one model file for each customer."""
-    made = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_mktsegment", "c_acctbal")
+    # A few bytes of a row become a file that takes a worker a millisecond: rows are spread before that, not left in the table's few splits.
+    made = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_mktsegment", "c_acctbal").repartition("c_custkey")
     text = F.lit(FILE)
     amount = F.floor(F.abs("c_acctbal")).cast("bigint").cast("string")
     broken = F.element_at(F.array(*map(F.lit, BROKEN)), (F.col("c_custkey") % 10 + 1).cast("int"))
